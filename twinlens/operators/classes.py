@@ -55,15 +55,19 @@ def within_class_bins(df: DataFrame, keys: list[str], value: str, n_rows: int, n
         return F.max(F.when(hit, F.struct(F.col(value).alias("v"), F.col("w_upto").alias("upto"))))
 
     stats = placed.groupBy(*keys).agg(
-        F.first("w_all").alias("w_all"),
+        F.first("w_all").alias("w_all"), (F.min(value) == F.max(value)).alias("flat"),
         *[picked(j, False).alias(f"lo{j}") for j in range(n_bins + 1)],
         *[picked(j, True).alias(f"hi{j}") for j in range(n_bins + 1)])
-    upto = []  # rows at or below each edge; equal edges repeat the same number
+    # rows at or below each edge; equal edges repeat the same number, and edges equal to the
+    # lowest one bound no bin (a constant class is a single bin)
+    upto = []
+    lowest = F.col("lo0")["v"]
     for j in range(1, n_bins + 1):
         lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
         h = (n - 1).cast("double") * (F.lit(float(j)) / q.cast("double"))
         edge = lo["v"] + (hi["v"] - lo["v"]) * (h - F.floor(h))
-        upto.append(F.when(edge >= hi["v"], hi["upto"]).otherwise(lo["upto"]))
+        below = F.when(edge >= hi["v"], hi["upto"]).otherwise(lo["upto"])
+        upto.append(F.when(edge > lowest, below).when(F.col("flat"), n).otherwise(F.when(edge.isNotNull(), 0)))
     cut = stats.select(*keys, F.col("w_all").alias("n"), *[u.alias(f"u{j + 1}") for j, u in enumerate(upto)])
     sizes = [F.col("u1")] + [F.col(f"u{j}") - F.col(f"u{j - 1}") for j in range(2, n_bins + 1)]
     share = [s / F.col("n") for s in sizes]

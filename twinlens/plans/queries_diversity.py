@@ -18,6 +18,7 @@ from twinlens.plans.pairs import (
     table,
 )
 from twinlens.plans.registry import register
+from twinlens.plans.sql_metrics import diversity_sql
 
 DIM = "diversity"
 DIMS = 64  # fixed value: length of the given embedding vectors
@@ -27,53 +28,28 @@ def _f(metric, source, entries, feature="NULL::VARCHAR"):
     return S.facts(DIM, metric, source, entries, feature)
 
 
-_LI_STATS = f"{LINEITEM_SQL},\n{S.stats(LINEITEM_COLS)}"
-_D1 = f"""WITH {_LI_STATS}, b AS (SELECT m.feature, {S.bins('m.value', 's.a_lo', 's.a_hi')} AS bin, count(*) AS n, max(s.a_n) AS t
- FROM am m JOIN s USING (feature) GROUP BY m.feature, bin),
-e AS (SELECT feature, -sum(n / t * ln(n / t)) AS e FROM b GROUP BY feature), t AS (SELECT avg(e) AS m, sum(e) AS s FROM e)
-{_f('feature_entropy', 'e', [('entropy', 'e', 6)], 'feature')} UNION ALL
-{_f('feature_entropy', 't', [('average_entropy', 'm', 6), ('total_entropy', 's', 6)])}"""
+_LINES = diversity_sql(LINEITEM_SQL, LINEITEM_COLS)
+_PARTS = diversity_sql(PART_SQL, PART_COLS)
 
-
-@register("d1_feature_entropy", _D1)
+@register("d1_feature_entropy", _LINES["d1_feature_entropy"])
 def d1(spark, sf_dir):
     return M.feature_entropy(lineitem_pair(spark, sf_dir))
 
 
-_D2 = f"""WITH {PART_SQL}, {S.scales('o', PART_COLS)},
-n AS (SELECT o.id, min({S.distance('o', 'a', PART_COLS, 'sd')}) AS d FROM o, a, sd GROUP BY o.id),
-q AS (SELECT quantile_cont(d, 0.9) AS q FROM n),
-t AS (SELECT avg(CASE WHEN d < q THEN 1.0 ELSE 0.0 END) AS c, avg(d) AS m, max(d) AS x, max(q) AS q FROM n, q)
-{_f('coverage', 't', [('coverage_ratio', 'c', 6), ('average_distance_to_nearest', 'm', 6),
- ('max_distance_to_nearest', 'x', 6), ('threshold_used', 'q', 6)])}"""
-
 
-@register("d2_coverage", _D2)
+@register("d2_coverage", _PARTS["d2_coverage"])
 def d2(spark, sf_dir):
     return M.coverage(part_pair(spark, sf_dir))
 
 
-_D4 = f"""WITH {PART_SQL}, {S.scales('a', PART_COLS)}, x AS (SELECT * FROM a ORDER BY {S.order(42, 'intra', 'id')}, id LIMIT 500),
-d AS (SELECT {S.distance('l', 'r', PART_COLS, 'sd')} AS d FROM x l, x r, sd WHERE l.id < r.id),
-t AS (SELECT avg(d) AS m, stddev_pop(d) AS s, min(d) AS lo, max(d) AS hi FROM d)
-{_f('intra_diversity', 't', [('mean_pairwise_distance', 'm', 6), ('std_pairwise_distance', 's', 6),
- ('min_pairwise_distance', 'lo', 6), ('max_pairwise_distance', 'hi', 6), ('diversity_score', 'm', 6)])}"""
 
-
-@register("d4_intra_diversity", _D4)
+@register("d4_intra_diversity", _PARTS["d4_intra_diversity"])
 def d4(spark, sf_dir):
     return M.intra_diversity(part_pair(spark, sf_dir))
 
 
-_D5 = f"""WITH {_LI_STATS}, c AS (SELECT feature, greatest(0, least(o_hi, a_hi) - greatest(o_lo, a_lo)) / (o_hi - o_lo) AS c,
- greatest(0, (o_lo - a_lo) / (o_hi - o_lo)) AS b, greatest(0, (a_hi - o_hi) / (o_hi - o_lo)) AS u FROM s),
-t AS (SELECT avg(c) AS c, avg(b + u) AS e FROM c)
-{_f('range_coverage', 'c', [('coverage_ratio', 'c', 6), ('extension_below', 'b', 6), ('extension_above', 'u', 6),
- ('total_extension', 'b + u', 6)], 'feature')} UNION ALL
-{_f('range_coverage', 't', [('average_coverage', 'c', 6), ('average_extension', 'e', 6)])}"""
-
 
-@register("d5_range_coverage", _D5)
+@register("d5_range_coverage", _LINES["d5_range_coverage"])
 def d5(spark, sf_dir):
     return M.range_coverage(lineitem_pair(spark, sf_dir))
 

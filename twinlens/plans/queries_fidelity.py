@@ -5,148 +5,56 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinlens.operators import fidelity as M
-from twinlens.plans import sqlkit as S
 from twinlens.plans.pairs import LINEITEM_COLS, LINEITEM_SQL, PART_COLS, PART_SQL, lineitem_pair, part_pair
 from twinlens.plans.registry import register
+from twinlens.plans.sql_metrics import fidelity_sql
 
-DIM = "fidelity"
-_LI_STATS = f"{LINEITEM_SQL},\n{S.stats(LINEITEM_COLS)}"
+_LINES = fidelity_sql(LINEITEM_SQL, LINEITEM_COLS)
+_PARTS = fidelity_sql(PART_SQL, PART_COLS)
 
 
-def _f(metric, source, entries, feature="NULL::VARCHAR"):
-    return S.facts(DIM, metric, source, entries, feature)
-
-
-_F1 = f"""WITH {_LI_STATS}, d AS (SELECT feature, abs(o_mean - a_mean) / (o_ss + 1e-10) AS d FROM s),
-t AS (SELECT avg(d) AS m, max(d) AS x, min(d) AS n FROM d)
-{_f('mean_absolute_distance', 'd', [('distance', 'd', 6)], 'feature')} UNION ALL
-{_f('mean_absolute_distance', 't', [('overall_distance', 'm', 6), ('max_distance', 'x', 6), ('min_distance', 'n', 6)])}"""
-
-
-@register("f1_mean_absolute_distance", _F1)
+@register("f1_mean_absolute_distance", _LINES["f1_mean_absolute_distance"])
 def f1(spark, sf_dir):
     return M.mean_absolute_distance(lineitem_pair(spark, sf_dir))
 
 
-_F2 = f"""WITH {_LI_STATS}, {S.ecdf()}, {S.pvalue('g')}, t AS (SELECT avg(p) AS p FROM k)
-{_f('kolmogorov_smirnov', 'k', [('statistic', 'd', 6), ('pvalue', 'p', 6), ('similar', 'p > 0.05', 'word')], 'feature')} UNION ALL
-{_f('kolmogorov_smirnov', 't', [('average_pvalue', 'p', 6), ('similarity_score', 'p', 6)])}"""
-
-
-@register("f2_ks_statistic", _F2)
+@register("f2_ks_statistic", _LINES["f2_ks_statistic"])
 def f2(spark, sf_dir):
     return M.ks_test(lineitem_pair(spark, sf_dir))
 
 
-_sample = {t: f"SELECT * FROM {t} ORDER BY {S.order(42, 'mmd.' + t, 'id')}, id LIMIT 1000" for t in "oa"}
-_d2 = " + ".join(f"((l.{c} - r.{c}) / sd_{c}) * ((l.{c} - r.{c}) / sd_{c})" for c in PART_COLS)
-_F3 = f"""WITH {PART_SQL}, x AS ({_sample['o']}), y AS ({_sample['a']}), {S.scales('x', PART_COLS)},
-m AS (SELECT sqrt(greatest(0, (SELECT avg(exp(-({_d2}))) FROM x l, x r, sd) + (SELECT avg(exp(-({_d2}))) FROM y l, y r, sd)
- - 2 * (SELECT avg(exp(-({_d2}))) FROM x l, y r, sd))) AS m)
-{_f('mmd_score', 'm', [('mmd_score', 'm', 6), ('quality', S.grade('m', [('high', '<', 0.1), ('medium', '<', 0.3)], 'low'), 'word')])}"""
-
-
-@register("f3_mmd", _F3)
+@register("f3_mmd", _PARTS["f3_mmd"])
 def f3(spark, sf_dir):
     return M.mmd(part_pair(spark, sf_dir))
 
 
-# two standardised columns have the axes (1, 1) and (1, -1) with variances 1 + r and 1 - r
-_F4 = f"""WITH {PART_SQL}, z AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2,
- stddev_pop(p_retailprice) AS s2, corr(p_size, p_retailprice) AS r FROM o),
-p AS (SELECT t, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v, CASE WHEN r >= 0 THEN 1 ELSE -1 END AS sg
- FROM (SELECT 0 AS t, * FROM o UNION ALL SELECT 1, * FROM a), z),
-w AS (SELECT t, round((u + sg * v) / sqrt(2.0), 9) AS pc1, round((u - sg * v) / sqrt(2.0), 9) AS pc2 FROM p),
-om AS ({S.melt('w', ['pc1', 'pc2'])} ), w2 AS (SELECT 1), om2 AS (SELECT 1),
-c AS (SELECT feature, value, sum(1 - t) AS x, sum(t) AS y FROM (SELECT t, 'pc1' AS feature, pc1 AS value FROM w UNION ALL
- SELECT t, 'pc2', pc2 FROM w) GROUP BY feature, value),
-e AS (SELECT feature, n_o, n_a, sum(x) OVER q / n_o AS fo, sum(y) OVER q / n_a AS fa FROM (SELECT *,
- sum(x) OVER (PARTITION BY feature)::DOUBLE AS n_o, sum(y) OVER (PARTITION BY feature)::DOUBLE AS n_a FROM c)
- WINDOW q AS (PARTITION BY feature ORDER BY value)),
-g AS (SELECT feature, max(abs(fo - fa)) AS d, max(n_o) AS n_o, max(n_a) AS n_a FROM e GROUP BY feature),
-{S.pvalue('g')},
-k2 AS (SELECT k.*, CASE feature WHEN 'pc1' THEN (1 + abs(r)) / 2 ELSE (1 - abs(r)) / 2 END AS ev FROM k, z),
-t AS (SELECT avg(p) AS p, count(*) AS n FROM k)
-{_f('pca_comparison', 'k2', [('component_similarity', 'p', 6), ('explained_variance', 'ev', 6)], 'feature')} UNION ALL
-{_f('pca_comparison', 't', [('average_component_similarity', 'p', 6), ('n_components', 'n', 6)])}"""
-_F4 = _F4.replace(f"om AS ({S.melt('w', ['pc1', 'pc2'])} ), w2 AS (SELECT 1), om2 AS (SELECT 1),\n", "")
-
-
-@register("f4_pca_similarity", _F4)
+@register("f4_pca_similarity", _PARTS["f4_pca_similarity"])
 def f4(spark, sf_dir):
     return M.pca_similarity(part_pair(spark, sf_dir))
 
 
-def _moments(t: str) -> str:
-    return (f"SELECT feature, avg(power(value - mean, 3)) / power(sp, 3) AS {t}_sk, avg(power(value - mean, 4)) / power(sp, 4) - 3 "
-            f"AS {t}_ku FROM (SELECT m.feature, m.value, s.{t}_mean AS mean, s.{t}_sp AS sp FROM {t}m m JOIN s USING (feature)) "
-            "GROUP BY feature, sp")
-
-
-_F5_CTE = f"""WITH {_LI_STATS}, {S.ecdf()},
-h AS (SELECT * FROM s JOIN ({_moments('o')}) USING (feature) JOIN ({_moments('a')}) USING (feature) JOIN g USING (feature)),
-p AS (SELECT *, abs(o_mean - a_mean) AS md, abs(o_sp - a_sp) AS sdd, abs(o_sk - a_sk) AS skd, abs(o_ku - a_ku) AS kud,
- greatest(sqrt((o_sp * o_sp + a_sp * a_sp) / 2), 1e-8) AS pooled, greatest(abs(o_sk), abs(a_sk), 1) AS sks,
- greatest(abs(o_ku), abs(a_ku), 1) AS kus FROM h),
-q AS (SELECT *, 0.4 * md / pooled + 0.2 * sdd / pooled + 0.2 * skd / sks + 0.2 * kud / kus AS comp FROM p),
-t AS (SELECT avg(comp) AS m, max(comp) AS x FROM q)"""
-_F5 = f"""{_F5_CTE}
-{_f('statistical_moments', 'q', [('mean_diff', 'md', 4), ('std_diff', 'sdd', 4), ('skew_diff', 'skd', 4), ('kurt_diff', 'kud', 4),
- ('cohens_d', 'md / pooled', 4), ('std_rel', 'sdd / pooled', 4), ('skew_norm', 'skd / sks', 4), ('kurt_norm', 'kud / kus', 4),
- ('composite_score', 'comp', 6), ('wasserstein', 'w', 4), ('ks_stat', 'd', 6)], 'feature')} UNION ALL
-{_f('statistical_moments', 't', [('average_moment_difference', 'm', 6), ('max_moment_difference', 'x', 6),
- ('stat_badge', "CASE WHEN m <= 0.2 THEN 'high' WHEN m >= 0.5 THEN 'low' ELSE 'medium' END", 'word')])}"""
-
-
-@register("f5_statistical_moments", _F5)
+@register("f5_statistical_moments", _LINES["f5_statistical_moments"])
 def f5(spark, sf_dir):
     return M.statistical_moments(lineitem_pair(spark, sf_dir))
 
 
-@register("f6_wasserstein", f"WITH {_LI_STATS}, {S.ecdf()} SELECT feature, {S.num('w', 4)} AS wasserstein FROM g")
+@register("f6_wasserstein", _LINES["f6_wasserstein"])
 def f6(spark, sf_dir):
     pair = lineitem_pair(spark, sf_dir)
     gaps = M.distribution_gaps(M.ecdf(pair), {c: pair.o_stats[c]["mean"] for c in pair.cols})
     return gaps.select("feature", (F.round("w", 4) + 0.0).alias("wasserstein"))
 
 
-_HIST = f"""{_LI_STATS},
-b AS (SELECT feature, bin, sum(x) AS x, sum(y) AS y FROM (
- SELECT m.feature, {S.bins('m.value', 's.o_lo', 's.o_hi')} AS bin, 1 AS x, 0 AS y FROM om m JOIN s USING (feature) UNION ALL
- SELECT m.feature, {S.bins('m.value', 's.o_lo', 's.o_hi')} AS bin, 0, 1 FROM am m JOIN s USING (feature)) WHERE bin IS NOT NULL GROUP BY feature, bin),
-dense AS (SELECT feature, i AS bin, coalesce(x, 0) + 1e-10 AS x, coalesce(y, 0) + 1e-10 AS y FROM (SELECT feature, i::DOUBLE AS i FROM s, range(50) r(i))
- LEFT JOIN b ON b.feature = s.feature AND b.bin = i),
-pq AS (SELECT feature, x / sum(x) OVER (PARTITION BY feature) AS p, y / sum(y) OVER (PARTITION BY feature) AS q FROM dense),
-v AS (SELECT feature, sum(p * ln(p / q)) AS kl,
- sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2))) / 2 + sum(q * ln(q / ((p + q) / 2))) / 2)) AS js FROM pq GROUP BY feature),
-t AS (SELECT avg(kl) AS kl, avg(js) AS js FROM v)"""
-_HIST = (_HIST.replace("SELECT feature, i AS bin, coalesce", "SELECT u.feature, u.i AS bin, coalesce")
-         .replace("FROM s, range(50) r(i))\n LEFT JOIN b ON b.feature = s.feature AND b.bin = i)",
-                  "FROM s, range(50) r(i)) u\n LEFT JOIN b ON b.feature = u.feature AND b.bin = u.i)"))
-
-
-@register("f7_kl_divergence", f"""WITH {_HIST} {_f('kl_divergence', 'v', [('kl', 'kl', 6)], 'feature')} UNION ALL
-{_f('kl_divergence', 't', [('average_kl_divergence', 'kl', 6), ('similarity_score', '1 / (1 + kl)', 6),
- ('quality', S.grade('kl', [('high', '<', 0.1), ('medium', '<', 0.5)], 'low'), 'word')])}""")
+@register("f7_kl_divergence", _LINES["f7_kl_divergence"])
 def f7(spark, sf_dir):
     return M.kl_divergence(lineitem_pair(spark, sf_dir))
 
 
-@register("f8_js_divergence", f"""WITH {_HIST} {_f('js_divergence', 'v', [('js', 'js', 6)], 'feature')} UNION ALL
-{_f('js_divergence', 't', [('average_js_divergence', 'js', 6), ('similarity_score', 'greatest(0, 1 - js)', 6),
- ('quality', S.grade('js', [('high', '<', 0.1), ('medium', '<', 0.3)], 'low'), 'word')])}""")
+@register("f8_js_divergence", _LINES["f8_js_divergence"])
 def f8(spark, sf_dir):
     return M.js_divergence(lineitem_pair(spark, sf_dir))
 
 
-_F9 = f"""WITH {PART_SQL}, {S.scales('o', PART_COLS)},
-n AS (SELECT a.id, min({S.distance('a', 'o', PART_COLS, 'sd')}) AS d FROM a, o, sd GROUP BY a.id),
-t AS (SELECT 1 / (1 + avg(d)) AS q FROM n)
-{_f('q_function', 't', [('q', 'q', 6)], "'p_size+p_retailprice'")} UNION ALL
-{_f('q_function', 't', [('q_score', 'q', 6), ('privacy_score', 'q', 6), ('n_combinations_tested', '1', 6), ('min_q_score', 'q', 6),
- ('max_q_score', 'q', 6), ('privacy_quality', S.grade('q', [('high', '>', 0.7), ('medium', '>', 0.4)], 'low'), 'word')])}"""
-
-
-@register("f9_q_function", _F9)
+@register("f9_q_function", _PARTS["f9_q_function"])
 def f9(spark, sf_dir):
     return M.q_function(part_pair(spark, sf_dir))

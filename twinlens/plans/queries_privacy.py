@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from twinlens.operators import privacy as M
+from twinlens.operators.neighbors import nearest
 from twinlens.plans import sqlkit as S
 from twinlens.plans.pairs import (
     ACCOUNT_COLS,
@@ -16,36 +19,23 @@ from twinlens.plans.pairs import (
     part_pair,
 )
 from twinlens.plans.registry import register
+from twinlens.plans.sql_metrics import nearest_sql, privacy_sql
 
-DIM = "privacy"
-
-
-def _f(metric, source, entries, feature="NULL::VARCHAR"):
-    return S.facts(DIM, metric, source, entries, feature)
-
+_LINES = privacy_sql(LINEITEM_SQL, LINEITEM_COLS)
+_PARTS = privacy_sql(PART_SQL, PART_COLS)
+_ACCOUNTS = privacy_sql(ACCOUNT_SQL, ACCOUNT_COLS)
 
-def _nn(pair_sql: str, cols: list[str]) -> str:
-    return f"""WITH {pair_sql}, {S.scales('o', cols)}, n AS (SELECT a.id AS qid, o.id AS bid, {S.distance('a', 'o', cols, 'sd')} AS d
- FROM a, o, sd), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, bid) AS rank FROM n QUALIFY rank <= 2)"""
 
-
-@register("k5_nearest_two", f"""{_nn(ACCOUNT_SQL, ACCOUNT_COLS)}
+@register("k5_nearest_two", f"""{nearest_sql(ACCOUNT_SQL, ACCOUNT_COLS)}
 SELECT qid, bid, rank::INTEGER AS rank, {S.num('d')} AS dist FROM r""")
 def k5(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from twinlens.operators.neighbors import nearest
-
+    """The leaf-partitioned path of the join, whatever the table size."""
     p = account_pair(spark, sf_dir)
     found = nearest(p.a_keyed, p.o_keyed, p.cols, p.scale, 2, broadcast_rows=0, leaf_rows=256)
     return found.select("qid", "bid", F.col("rank").cast("int").alias("rank"), (F.round("dist", 6) + 0.0).alias("dist"))
 
 
-@register("v1_nearest_neighbor_risk", f"""{_nn(PART_SQL, PART_COLS)}, p AS (SELECT qid, max(CASE WHEN rank = 1 THEN d END) AS d1,
- max(CASE WHEN rank = 2 THEN d END) AS d2 FROM r GROUP BY qid),
-t AS (SELECT avg(d1 / (d2 + 1e-10)) AS r, avg(CASE WHEN d1 / (d2 + 1e-10) < 0.5 THEN 1.0 ELSE 0 END) AS h, min(d1) AS lo, avg(d1) AS m FROM p)
-{_f('nearest_neighbor_risk', 't', [('average_nn_ratio', 'r', 6), ('high_risk_ratio', 'h', 6), ('min_distance_to_original', 'lo', 6),
- ('average_distance_to_nearest', 'm', 6), ('risk_level', S.grade('h', [('high', '>', 0.3), ('medium', '>', 0.1)], 'low'), 'word')])}""")
+@register("v1_nearest_neighbor_risk", _PARTS["v1_nearest_neighbor_risk"])
 def v1(spark, sf_dir):
     return M.nearest_neighbor_risk(M.pair_neighbors(part_pair(spark, sf_dir)))
 
@@ -55,87 +45,33 @@ def v2(spark, sf_dir):
     return M.membership_inference(lineitem_pair(spark, sf_dir))
 
 
-_ATTR = "\nUNION ALL ".join(
-    f"SELECT '{c}' AS feature, avg(abs(a.{c} - o.{c})) AS m, (SELECT max({c}) - min({c}) FROM o) AS w FROM r JOIN a ON a.id = qid "
-    f"JOIN o ON o.id = bid WHERE rank = 1" for c in ACCOUNT_COLS)
-
-
-@register("v3_attribute_disclosure", f"""{_nn(ACCOUNT_SQL, ACCOUNT_COLS)}, d AS ({_ATTR}),
-e AS (SELECT *, CASE WHEN w > 0 THEN m / w ELSE 0 END AS r FROM d), t AS (SELECT avg(r) AS r FROM e)
-{_f('attribute_disclosure', 'e', [('absolute_difference', 'm', 6), ('normalized_difference', 'r', 6),
- ('risk', S.grade('r', [('high', '<', 0.1), ('medium', '<', 0.3)], 'low'), 'word')], 'feature')} UNION ALL
-{_f('attribute_disclosure', 't', [('average_attribute_risk', 'r', 6),
- ('overall_risk', S.grade('r', [('high', '<', 0.15), ('medium', '<', 0.35)], 'low'), 'word')])}""")
+@register("v3_attribute_disclosure", _ACCOUNTS["v3_attribute_disclosure"])
 def v3(spark, sf_dir):
     pair = account_pair(spark, sf_dir)
     return M.attribute_disclosure(pair, M.pair_neighbors(pair))
 
 
-@register("v4_distance_to_closest", f"""{_nn(PART_SQL, PART_COLS)}, q AS (SELECT quantile_cont(d, 0.1) AS q, quantile_cont(d, 0.5) AS mid FROM r WHERE rank = 1),
-t AS (SELECT avg(d) AS m, max(mid) AS mid, min(d) AS lo, max(d) AS hi, sum(CASE WHEN d < q THEN 1 ELSE 0 END) AS k, count(*) AS n, max(q) AS q
- FROM r, q WHERE rank = 1)
-{_f('distance_to_closest', 't', [('mean_dcr', 'm', 6), ('median_dcr', 'mid', 6), ('min_dcr', 'lo', 6), ('max_dcr', 'hi', 6),
- ('risky_records_count', 'k', 6), ('risky_records_ratio', 'k / n', 6), ('privacy_threshold', 'q', 6)])}""")
+@register("v4_distance_to_closest", _PARTS["v4_distance_to_closest"])
 def v4(spark, sf_dir):
     pair = part_pair(spark, sf_dir)
     return M.distance_to_closest(pair, M.pair_neighbors(pair))
 
 
-@register("v5_uniqueness", f"""WITH {PART_SQL}, {S.scales('o', PART_COLS)}, n AS (SELECT a.id,
- sum(CASE WHEN {S.distance('a', 'o', PART_COLS, 'sd')} <= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n FROM a, o, sd GROUP BY a.id),
-t AS (SELECT avg(1 / (1 + n)::DOUBLE) AS m, quantile_cont(1 / (1 + n)::DOUBLE, 0.5) AS mid,
- avg(CASE WHEN 1 / (1 + n)::DOUBLE > 0.7 THEN 1.0 ELSE 0 END) AS h, avg(n) AS near FROM n)
-{_f('uniqueness', 't', [('average_uniqueness', 'm', 6), ('median_uniqueness', 'mid', 6), ('highly_unique_ratio', 'h', 6),
- ('average_neighbors', 'near', 6), ('privacy_quality', S.grade('m', [('good', '>', 0.6), ('fair', '>', 0.4)], 'poor'), 'word')])}""")
+@register("v5_uniqueness", _PARTS["v5_uniqueness"])
 def v5(spark, sf_dir):
     return M.uniqueness(part_pair(spark, sf_dir))
 
 
-def _keyed(cols: list[str]) -> str:
-    """CTE ``z``: augmented rows with one bin number per column, -1 out of range."""
-    probs = "[" + ", ".join(f"{i / 10}" for i in range(11)) + "]"
-    edges = ", ".join(f"list_sort(list_distinct(quantile_cont({c}, {probs}))) AS e_{c}" for c in cols)
-    pick = ", ".join(
-        f"CASE WHEN len(e_{c}) < 2 OR a.{c} < e_{c}[1] OR a.{c} > e_{c}[-1] THEN -1 ELSE "
-        f"greatest(0, len(list_filter(e_{c}, lambda x: x < a.{c})) - 1) END AS b_{c}" for c in cols)
-    return f"q AS (SELECT {edges} FROM o), z AS (SELECT {pick}, a.* FROM a, q)"
-
-
-_KEYS = ", ".join(f"b_{c}" for c in LINEITEM_COLS)
-
-
-@register("v6_k_anonymity", f"""WITH {LINEITEM_SQL}, {_keyed(LINEITEM_COLS)}, g AS (SELECT {_KEYS}, count(*) AS n FROM z GROUP BY {_KEYS}),
-t AS (SELECT min(n) AS k, count(*) AS g, quantile_cont(n, 0.5) AS mid, avg(n) AS m, sum(n)::DOUBLE AS total,
- {', '.join(f'sum(CASE WHEN n < {i} THEN 1 ELSE 0 END)::DOUBLE AS g{i}, sum(CASE WHEN n < {i} THEN n ELSE 0 END)::DOUBLE AS r{i}' for i in (1, 2, 5, 10))} FROM g)
-{_f('k_anonymity', 't', [('k_anonymity', 'k', 6), ('n_equivalence_classes', 'g', 6), ('median_equivalence_class_size', 'mid', 6),
- ('mean_equivalence_class_size', 'm', 6), *[(f'ratio_groups_lt_{i}', f'g{i} / g', 6) for i in (1, 2, 5, 10)],
- *[(f'ratio_records_in_groups_lt_{i}', f'r{i} / total', 6) for i in (1, 2, 5, 10)]])}""")
+@register("v6_k_anonymity", _LINES["v6_k_anonymity"])
 def v6(spark, sf_dir):
     return M.k_anonymity(lineitem_pair(spark, sf_dir))
 
 
-def _l_sql(pair_sql: str, cols: list[str]) -> str:
-    keys = ", ".join(f"b_{c}" for c in cols)
-    h = "(n - 1)::DOUBLE * (j::DOUBLE / least(10, greatest(2, n))::DOUBLE)"
-    return f"""WITH {pair_sql}, {_keyed(cols)},
-w AS (SELECT {keys}, {cols[-1]} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {cols[-1]}) - 1 AS r, count(*) OVER (PARTITION BY {keys}) AS n FROM z),
-h AS (SELECT DISTINCT {keys}, n, j, {h} AS h FROM w, range(0, 11) t(j) WHERE j <= least(10, greatest(2, n))),
-e AS (SELECT h.*, lo.v AS lo, hi.v AS hi FROM h JOIN w lo USING ({keys}) JOIN w hi USING ({keys}) WHERE lo.r = floor(h.h) AND hi.r = least(floor(h.h) + 1, h.n - 1)),
-x AS (SELECT {keys}, list_sort(list_distinct(list(lo + (hi - lo) * (h - floor(h))))) AS edges FROM e GROUP BY {keys}),
-b AS (SELECT {keys}, n, greatest(0, len(list_filter(edges, lambda y: y < v)) - 1) AS bin, count(*) AS c FROM w JOIN x USING ({keys}) GROUP BY ALL),
-d AS (SELECT {keys}, count(*) AS d, round(-sum(c / n * log2(c / n)), 9) AS e FROM b GROUP BY {keys}),
-t AS (SELECT avg(d) AS d, quantile_cont(d, 0.5) AS dm, avg(e) AS e, quantile_cont(e, 0.5) AS em, count(*) AS g,
- {', '.join(f'avg(CASE WHEN d >= {i} THEN 1.0 ELSE 0 END) AS l{i}' for i in (2, 3, 5))} FROM d)
-{_f('l_diversity', 't', [('average_distinct_sensitive_values', 'd', 6), ('median_distinct_sensitive_values', 'dm', 6),
- ('average_entropy_bits', 'e', 6), ('median_entropy_bits', 'em', 6), ('n_equivalence_classes', 'g', 6),
- *[(f'ratio_classes_l_{i}', f'l{i}', 6) for i in (2, 3, 5)]])}"""
-
-
-@register("v7_l_diversity", _l_sql(LINEITEM_SQL, LINEITEM_COLS))
+@register("v7_l_diversity", _LINES["v7_l_diversity"])
 def v7(spark, sf_dir):
     return M.l_diversity(lineitem_pair(spark, sf_dir))
 
 
-@register("v7_l_diversity_accounts", _l_sql(ACCOUNT_SQL, ACCOUNT_COLS))
+@register("v7_l_diversity_accounts", _ACCOUNTS["v7_l_diversity"])
 def v7_accounts(spark, sf_dir):
     return M.l_diversity(account_pair(spark, sf_dir))
