@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.functions.numbers import tidy
+from twinlens.functions.numbers import sql_text
 
 FACT_COLUMNS = ("dimension", "metric", "feature", "field", "value", "label")
 
@@ -21,27 +21,26 @@ def word(field: str, label: Column) -> tuple[str, Column, bool, int]:
     return field, label, True, 0
 
 
-def _struct(dimension: str, metric: str, feature: Column, entry) -> Column:
-    field, column, is_word, digits = entry
-    value = F.lit(None).cast("double") if is_word else tidy(column, digits)
-    label = column.cast("string") if is_word else F.lit(None).cast("string")
-    return F.struct(F.lit(dimension).alias("dimension"), F.lit(metric).alias("metric"),
-                    feature.cast("string").alias("feature"), F.lit(field).alias("field"),
-                    value.alias("value"), label.alias("label"))
+def _struct(dimension: str, metric: str, feature: str, entry, column: str) -> str:
+    """SQL text of one fact; ``feature`` and ``column`` are names or NULL."""
+    field, _, is_word, digits = entry
+    value = "cast(NULL AS double)" if is_word else f"round(cast({column} AS double), {digits}) + 0.0D"
+    label = f"cast({column} AS string)" if is_word else "cast(NULL AS string)"
+    return (f"named_struct('dimension', {sql_text(dimension)}, 'metric', {sql_text(metric)}, "
+            f"'feature', cast({feature} AS string), 'field', {sql_text(field)}, 'value', {value}, 'label', {label})")
 
 
-def single_facts(row: DataFrame, dimension: str, metric: str, entries: list,
-                 feature: Column | None = None) -> DataFrame:
-    """Turn the columns of every row into fact rows."""
-    feature = F.lit(None) if feature is None else feature
-    return row.select(F.inline(F.array(*[_struct(dimension, metric, feature, e) for e in entries])))
+def single_facts(row: DataFrame, dimension: str, metric: str, entries: list) -> DataFrame:
+    """Turn every row into one overall fact per entry."""
+    named = row.select(*[e[1].alias(f"e{i}") for i, e in enumerate(entries)])
+    cells = ", ".join(_struct(dimension, metric, "NULL", e, f"e{i}") for i, e in enumerate(entries))
+    return named.selectExpr(f"inline(array({cells}))")
 
 
 def feature_facts(df: DataFrame, dimension: str, metric: str, per: list, overall: list) -> DataFrame:
     """Per-feature facts plus overall facts from one pass over a row-per-feature table.
 
-    ``overall`` entries are aggregate expressions; grades of them go through
-    :func:`single_facts` on the totals row, so they may be lambdas of earlier fields.
+    ``overall`` entries are aggregates, or functions of earlier overall fields (a grade).
     """
     totals = [e for e in overall if not callable(e[1])]
     later = [e for e in overall if callable(e[1])]
@@ -49,18 +48,11 @@ def feature_facts(df: DataFrame, dimension: str, metric: str, per: list, overall
         F.grouping("feature").alias("__total"),
         *[F.first(e[1]).alias(f"p_{e[0]}") for e in per],
         *[e[1].alias(f"t_{e[0]}") for e in totals])
-    per_rows = [_struct(dimension, metric, F.col("feature"), (e[0], F.col(f"p_{e[0]}"), e[2], e[3])) for e in per]
-    all_rows = [_struct(dimension, metric, F.lit(None), (e[0], F.col(f"t_{e[0]}"), e[2], e[3])) for e in totals]
-    all_rows += [_struct(dimension, metric, F.lit(None),
-                         (e[0], e[1](lambda name: F.col(f"t_{name}")), e[2], e[3])) for e in later]
-    none = F.array().cast(_array_type())
-    rows = F.when(F.col("__total") == 0, F.array(*per_rows) if per_rows else none).otherwise(F.array(*all_rows))
-    return g.select(F.inline(rows))
-
-
-def _array_type() -> str:
-    return ("array<struct<dimension:string,metric:string,feature:string,"
-            "field:string,value:double,label:string>>")
+    if later:
+        g = g.withColumns({f"t_{e[0]}": e[1](lambda name: F.col(f"t_{name}")) for e in later})
+    per_rows = ", ".join(_struct(dimension, metric, "feature", e, f"p_{e[0]}") for e in per)
+    all_rows = ", ".join(_struct(dimension, metric, "NULL", e, f"t_{e[0]}") for e in overall)
+    return g.selectExpr(f"inline(CASE WHEN __total = 0 THEN array({per_rows}) ELSE array({all_rows}) END)")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -6,6 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def sql_name(column: str) -> str:
+    """Column name quoted for SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """String literal for SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def tidy(value: Column, digits: int = 6) -> Column:
     """Rounded double without a negative zero."""
     return F.round(value.cast("double"), digits) + F.lit(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions.binning import right_closed_bin
+from twinlens.functions.numbers import sql_name
 from twinlens.operators.ranking import add_buckets, bucket_splits, exact_quantiles, running_counts
 from twinlens.pair import Pair
 
@@ -43,36 +44,32 @@ def within_class_bins(df: DataFrame, keys: list[str], value: str, n_rows: int, n
     counts = (add_buckets(df, splits).groupBy(*keys, bucket, value)
               .agg(F.count(F.lit(1)).alias("w")))
     placed = running_counts(counts, keys, bucket, value, ["w"])
-    n = F.col("w_all")
-    q = F.least(F.lit(n_bins), F.greatest(F.lit(2), n)).cast("int")
+    q = f"least({n_bins}, greatest(2, w_all))"
+    marks = range(n_bins + 1)
 
-    def picked(j: int, upper: bool) -> Column:
+    def picked(j: int, upper: bool) -> str:
         """(value, rows up to it) at the lower or upper order statistic of quantile j/q."""
-        h = (n - 1).cast("double") * (F.lit(float(j)) / q.cast("double"))
-        low = F.floor(h)
-        rank = F.least(low + 1, n - 1) if upper else low
-        hit = (F.lit(j) <= q) & (F.col("w_before") <= rank) & (rank < F.col("w_upto"))
-        return F.max(F.when(hit, F.struct(F.col(value).alias("v"), F.col("w_upto").alias("upto"))))
-
-    stats = placed.groupBy(*keys).agg(
-        F.first("w_all").alias("w_all"), (F.min(value) == F.max(value)).alias("flat"),
-        *[picked(j, False).alias(f"lo{j}") for j in range(n_bins + 1)],
-        *[picked(j, True).alias(f"hi{j}") for j in range(n_bins + 1)])
+        low = f"floor(cast(w_all - 1 AS double) * (cast({j} AS double) / cast({q} AS double)))"
+        rank = f"least({low} + 1, w_all - 1)" if upper else low
+        return (f"max(CASE WHEN {j} <= {q} AND w_before <= {rank} AND {rank} < w_upto "
+                f"THEN named_struct('v', {sql_name(value)}, 'upto', w_upto) END) AS {'hi' if upper else 'lo'}{j}")
+
+    v = sql_name(value)
+    stats = placed.groupBy(*keys).agg(*[F.expr(t) for t in (
+        "first(w_all) AS n", f"min({v}) = max({v}) AS flat",
+        *[picked(j, False) for j in marks], *[picked(j, True) for j in marks])])
     # rows at or below each edge; equal edges repeat the same number, and edges equal to the
     # lowest one bound no bin (a constant class is a single bin)
     upto = []
-    lowest = F.col("lo0")["v"]
-    for j in range(1, n_bins + 1):
-        lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
-        h = (n - 1).cast("double") * (F.lit(float(j)) / q.cast("double"))
-        edge = lo["v"] + (hi["v"] - lo["v"]) * (h - F.floor(h))
-        below = F.when(edge >= hi["v"], hi["upto"]).otherwise(lo["upto"])
-        upto.append(F.when(edge > lowest, below).when(F.col("flat"), n).otherwise(F.when(edge.isNotNull(), 0)))
-    cut = stats.select(*keys, F.col("w_all").alias("n"), *[u.alias(f"u{j + 1}") for j, u in enumerate(upto)])
-    sizes = [F.col("u1")] + [F.col(f"u{j}") - F.col(f"u{j - 1}") for j in range(2, n_bins + 1)]
-    share = [s / F.col("n") for s in sizes]
-    entropy = sum((F.when(s > 0, -p * F.log2(p)).otherwise(F.lit(0.0)) for s, p in zip(sizes, share)), F.lit(0.0))
-    distinct = sum((F.when(s > 0, 1).otherwise(0) for s in sizes), F.lit(0))
+    for j in marks[1:]:
+        h = f"(cast(n - 1 AS double) * (cast({j} AS double) / cast(least({n_bins}, greatest(2, n)) AS double)))"
+        edge = f"(lo{j}.v + (hi{j}.v - lo{j}.v) * ({h} - floor({h})))"
+        upto.append(f"CASE WHEN {edge} > lo0.v THEN CASE WHEN {edge} >= hi{j}.v THEN hi{j}.upto ELSE lo{j}.upto END "
+                    f"WHEN flat THEN n WHEN {edge} IS NOT NULL THEN 0 END AS u{j}")
+    cut = stats.selectExpr(*keys, "n", *upto)
+    sizes = ["u1"] + [f"(u{j} - u{j - 1})" for j in marks[2:]]
+    entropy = F.expr(" + ".join(f"CASE WHEN {s} > 0 THEN -({s} / n) * log2({s} / n) ELSE 0D END" for s in sizes))
+    distinct = F.expr(" + ".join(f"CASE WHEN {s} > 0 THEN 1 ELSE 0 END" for s in sizes))
     return cut.select(*keys, "n", distinct.alias("distinct_bins"), entropy.alias("entropy_bits"))
 
 

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.functions.numbers import sql_name, sql_text
+
+# Aggregate text per field; one parsed expression per column keeps plan building cheap.
 _FIELDS = {
-    "n": lambda c: F.count(c).cast("double"),
-    "mean": F.avg,
-    "std_pop": F.stddev_pop,
-    "std_samp": F.stddev_samp,
-    "lo": F.min,
-    "hi": F.max,
-    "skew": F.skewness,
-    "kurt": F.kurtosis,
+    "n": "cast(count({c}) AS double)",
+    "mean": "avg({c})",
+    "std_pop": "stddev_pop({c})",
+    "std_samp": "stddev_samp({c})",
+    "lo": "min({c})",
+    "hi": "max({c})",
+    "skew": "skewness({c})",
+    "kurt": "kurtosis({c})",
 }
 
 
 def feature_stats(df: DataFrame, cols: list[str], fields: tuple[str, ...] = tuple(_FIELDS)) -> DataFrame:
     """(pos, feature, <fields>) with one wide partial aggregate, no row explosion."""
     row = df.agg(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"),
-                 *[_FIELDS[f](F.col(c)).alias(f) for f in fields]).alias(f"s{i}")
+        F.expr(f"named_struct('pos', {i}, 'feature', {sql_text(c)}, "
+               + ", ".join(f"'{f}', {_FIELDS[f].format(c=sql_name(c))}" for f in fields) + f") AS s{i}")
         for i, c in enumerate(cols)
     ])
-    return row.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
+    return row.selectExpr("inline(array(" + ", ".join(f"s{i}" for i in range(len(cols))) + "))")
 
 
 def collect_stats(df: DataFrame, cols: list[str]) -> dict[str, dict[str, float]]:
@@ -37,8 +40,8 @@ def joined_stats(pair) -> DataFrame:
     """(pos, feature, o_*, a_*), one row per common column."""
     o = feature_stats(pair.o, pair.cols)
     a = feature_stats(pair.a, pair.cols)
-    left = o.select("pos", "feature", *[F.col(f).alias(f"o_{f}") for f in _FIELDS])
-    right = a.select("feature", *[F.col(f).alias(f"a_{f}") for f in _FIELDS])
+    left = o.selectExpr("pos", "feature", *[f"{f} AS o_{f}" for f in _FIELDS])
+    right = a.selectExpr("feature", *[f"{f} AS a_{f}" for f in _FIELDS])
     return left.join(right, "feature")
 
 

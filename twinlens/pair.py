@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinlens.functions.numbers import sql_name
+
 ROW_ID = "row_id"
 
 
@@ -22,10 +24,10 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def double_or_null(df: DataFrame, name: str) -> Column:
     """The column as double with NaN turned into null."""
-    c = F.col(name).cast("double")
+    q = sql_name(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(c), c)
-    return c
+        return F.expr(f"nanvl(cast({q} AS double), NULL) AS {q}")
+    return F.expr(f"cast({q} AS double) AS {q}")
 
 
 @dataclass
@@ -47,7 +49,7 @@ class Pair:
             self.cols = [c for c in numeric_columns(self.orig) if c in other and c != self.key]
 
     def _side(self, df: DataFrame, keyed: bool) -> DataFrame:
-        values = [double_or_null(df, c).alias(c) for c in self.cols]
+        values = [double_or_null(df, c) for c in self.cols]
         if not keyed:
             return df.select(*values).dropna(subset=self.cols)
         if self.key is not None:

@@ -11,7 +11,7 @@ from twinlens.facts import union_all
 from twinlens.operators import diversity, fidelity, privacy
 from twinlens.pair import Pair
 from twinlens.plans.score import score_facts
-from twinlens.session import materialize
+from twinlens.session import materialize_all
 
 _EXTRA_METRICS: dict[str, Callable[[Pair], DataFrame]] = {}
 
@@ -36,7 +36,7 @@ def _guarded(pair: Pair, dimension: str, build: Callable[[], list[DataFrame]]) -
     if not pair.cols:
         return _error(pair, dimension, "no common numeric column")
     try:
-        return materialize(union_all(build()))
+        return materialize_all(build())
     except Exception as e:  # noqa: BLE001 - one failing dimension must not stop the others
         return _error(pair, dimension, str(e)[:500])
 

@@ -21,7 +21,8 @@ def fidelity_sql(pair: str, cols: list[str]) -> dict[str, str]:
     {fact('kolmogorov_smirnov', 'k', [('statistic', 'd', 6), ('pvalue', 'p', 6), ('similar', 'p > 0.05', 'word')], 'feature')} UNION ALL
     {fact('kolmogorov_smirnov', 't', [('average_pvalue', 'p', 6), ('similarity_score', 'p', 6)])}"""
     out["f2_ks_statistic"] = f2_sql
-    sample = {t: f"SELECT * FROM {t} ORDER BY {S.order(42, 'mmd.' + t, 'id')}, id LIMIT 1000" for t in "oa"}
+    size = "(SELECT least(1000, (SELECT count(*) FROM o), (SELECT count(*) FROM a)))"
+    sample = {t: f"SELECT * FROM {t} ORDER BY {S.order(42, 'mmd.' + t, 'id')}, id LIMIT {size}" for t in "oa"}
     d2 = " + ".join(f"((l.{c} - r.{c}) / sd_{c}) * ((l.{c} - r.{c}) / sd_{c})" for c in cols)
     f3_sql = f"""WITH {pair}, x AS ({sample['o']}), y AS ({sample['a']}), {S.scales('x', cols)},
     m AS (SELECT sqrt(greatest(0, (SELECT avg(exp(-({d2}))) FROM x l, x r, sd) + (SELECT avg(exp(-({d2}))) FROM y l, y r, sd)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")  # no stack capture per expression
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -41,6 +43,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def materialize_all(frames: list[DataFrame], threads: int = 4) -> DataFrame:
+    """Write frames of one schema side by side and read them back as one table.
+
+    Small results of many metrics: separate jobs keep every plan small and let the
+    scheduler overlap them, where one union would be planned as a single huge query.
+    """
+    spark = frames[0].sparkSession
+    root = f"{shared_folder(spark).rstrip('/')}/twinlens-{uuid.uuid4().hex}"
+    paths = [f"{root}/{i}" for i in range(len(frames))]
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(lambda job: job[0].write.parquet(job[1]), zip(frames, paths)))
+    return spark.read.schema(frames[0].schema).parquet(*paths)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -33,12 +33,13 @@ def _shaped(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _append(rows: DataFrame, schema: T.StructType, path: str) -> None:
-    shaped = _shaped(rows, schema).withColumn("day", F.to_date("timestamp"))
-    shaped.write.mode("append").partitionBy("day").parquet(path)
+    """One folder per month; rows are gathered by month first, and hot months are split."""
+    shaped = _shaped(rows, schema).withColumn("month", F.date_format("timestamp", "yyyy-MM"))
+    shaped.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def append_analyses(rows: DataFrame, path: str) -> None:
-    """Append analysis rows (partitioned by day)."""
+    """Append analysis rows (partitioned by month)."""
     _append(rows, ANALYSIS, path)
 
 
@@ -47,11 +48,11 @@ def append_suggestions(rows: DataFrame, path: str) -> None:
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*ANALYSIS.fields, T.StructField("day", T.DateType())])).parquet(path)
+    return spark.read.schema(T.StructType([*ANALYSIS.fields, T.StructField("month", T.StringType())])).parquet(path)
 
 
 def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*SUGGESTION.fields, T.StructField("day", T.DateType())])).parquet(path)
+    return spark.read.schema(T.StructType([*SUGGESTION.fields, T.StructField("month", T.StringType())])).parquet(path)
 
 
 def recent(rows: DataFrame, limit: int = 10) -> DataFrame:
