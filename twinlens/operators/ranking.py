@@ -87,29 +87,63 @@ def ecdf_tagged(tagged: DataFrame, cols: list[str], n_rows: int,
     return running_counts(counts, ["feature"], "bucket", "value", ["o", "a"])
 
 
-def row_number_global(df: DataFrame, order: str | None, name: str = "row_id",
-                      rows_per_bucket: int | None = None) -> DataFrame:
-    """Add a gap-free zero-based number following ``order`` (a unique number column).
+def _axis(df: DataFrame, order: str) -> Column:
+    """A double that never decreases along ``order``; strings use their first six bytes."""
+    if dict(df.dtypes)[order] == "string":
+        prefix = F.rpad(F.substring(F.hex(F.encode(F.col(order), "UTF-8")), 1, 12), 12, "0")
+        return F.conv(prefix, 16, 10).cast("double")
+    return F.col(order).cast("double")
+
+
+def row_number_global(df: DataFrame, order: str | None, name: str = "row_id", by: list[str] | None = None,
+                      n_rows: int | None = None, rows_per_bucket: int | None = None,
+                      tie: list[str] | None = None) -> DataFrame:
+    """Add a gap-free zero-based number following ``order``, per group of ``by``.
+
+    ``order`` must be unique, or unique together with the ``tie`` columns.
 
     Without ``order`` rows follow a hash of their content; equal rows are
     interchangeable, so the numbered table is the same on every run.
     """
-    key = "__order"
+    by = list(by or [])
     by_hash = order is None
-    base = df.withColumn(key, F.xxhash64(*df.columns) if by_hash else F.col(order))
-    spread = base.withColumn("__d", F.col(key).cast("double"))
-    splits = bucket_splits(spread, ["__d"], base.count(), rows_per_bucket)
+    base = df.withColumn("__order", F.xxhash64(*df.columns) if by_hash else F.col(order))
+    spread = base.withColumn("__axis", _axis(base, "__order"))
+    splits = bucket_splits(spread, ["__axis"], n_rows if n_rows is not None else base.count(), rows_per_bucket)
     cut = add_buckets(spread, splits)
-    ahead = W.orderBy("__d__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (cut.groupBy("__d__b").agg(F.count(F.lit(1)).alias("__n"))  # at most MAX_BUCKETS rows
-               .select("__d__b", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__offset")))
-    ties = [F.col(c) for c, t in df.dtypes if not t.startswith("map")] if by_hash else []
-    inside = W.partitionBy("__d__b").orderBy(key, *ties)
-    return (cut.join(F.broadcast(offsets), "__d__b")
+    part = [*by, "__axis__b"]
+    ties = [F.col(c) for c, t in df.dtypes if not t.startswith("map")] if by_hash else list(tie or [])
+    inside = W.partitionBy(*part).orderBy("__order", *ties)
+    if not splits["__axis"]:
+        return cut.withColumn(name, (F.row_number().over(inside) - 1).cast("bigint")).select(*df.columns, name)
+    ahead = W.partitionBy(*by).orderBy("__axis__b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (cut.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))  # a row per group and bucket
+               .select(*part, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__offset")))
+    return (cut.join(offsets, part)
             .withColumn(name, (F.row_number().over(inside) - 1 + F.col("__offset")).cast("bigint"))
             .select(*df.columns, name))
 
 
+INTERVAL_BLOCK = 256
+
+
+def lookup_intervals(points: DataFrame, position: str, intervals: DataFrame, start: str, end: str,
+                     by: list[str] | None = None) -> DataFrame:
+    """Join every point to the one interval [start, end) that holds its position.
+
+    Both sides are cut into blocks of positions and meet in an equi-join on the block, so
+    a wide interval is spread over its blocks and a block offers at most a block's worth
+    of intervals per point.
+    """
+    by = list(by or [])
+    first, last = F.floor(F.col(start) / INTERVAL_BLOCK), F.floor((F.col(end) - 1) / INTERVAL_BLOCK)
+    pieces = (intervals.where(F.col(end) > F.col(start))
+              .withColumn("__block", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))))
+    placed = points.withColumn("__block", F.floor(F.col(position) / INTERVAL_BLOCK).cast("bigint"))
+    return (placed.join(pieces, [*by, "__block"])
+            .where((F.col(position) >= F.col(start)) & (F.col(position) < F.col(end))).drop("__block"))
+
+
 def interpolation_ranks(n: int, prob: float) -> tuple[int, int, float]:
     """Zero-based order statistics and weight of numpy's linear quantile."""
     h = (n - 1) * prob
@@ -189,7 +223,3 @@ def quantile_of(df: DataFrame, column: str, probs: list[float]) -> list[float |
     """Exact quantiles of a single column whose row count is not known yet."""
     n = df.agg(F.count(column)).first()[0]
     return exact_quantiles(df, [column], probs, {column: n})[column]
-
-
-def rank_fraction(rank: Column, n: Column) -> Column:
-    return rank / n
