@@ -43,7 +43,7 @@ def within_class_bins(df: DataFrame, keys: list[str], value: str, n_rows: int, n
     bucket = value + "__b"
     counts = (add_buckets(df, splits).groupBy(*keys, bucket, value)
               .agg(F.count(F.lit(1)).alias("w")))
-    placed = running_counts(counts, keys, bucket, value, ["w"])
+    placed = running_counts(counts, keys, bucket, value, ["w"], not splits[value])
     q = f"least({n_bins}, greatest(2, w_all))"
     marks = range(n_bins + 1)
 

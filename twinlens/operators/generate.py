@@ -169,7 +169,7 @@ def gaussian_copula(t: Table, n: int, seed: int = 42, keep_id: bool = False) ->
                                          F.col(c + "__b").alias("bucket")) for c in cols])).alias("cell")
     counts = (add_buckets(values, splits).select(cells).select("cell.*")
               .groupBy("feature", "bucket", "value").agg(F.count(F.lit(1)).alias("w")))
-    placed = running_counts(counts, ["feature"], "bucket", "value", ["w"])
+    placed = running_counts(counts, ["feature"], "bucket", "value", ["w"], not any(splits.values()))
     # ties share the mean of their ranks
     scores = (placed.withColumn("u", (F.col("w_before") + (F.col("w") + 1) / 2) / F.lit(float(t.n + 1)))
               .withColumn("z", normal_ppf("u")).select("feature", "value", "z"))

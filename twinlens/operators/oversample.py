@@ -204,8 +204,9 @@ def adasyn(t: Table, n: int, seed: int = 42, label: str | None = None, pseudo_la
     quota = share.select("qid", F.rint(F.round(F.col("r") / F.lit(total) * F.lit(float(want)), 9)).cast("bigint").alias("w"))
     # running totals over the rare rows give every row its range of synthetic numbers
     keyed = quota.withColumn("axis", F.col("qid").cast("double"))
-    placed = running_counts(add_buckets(keyed, bucket_splits(keyed, ["axis"], n_rare)).withColumn("one", F.lit(1)),
-                            ["one"], "axis__b", "axis", ["w"]).select("qid", "w_before", "w_upto")
+    splits = bucket_splits(keyed, ["axis"], n_rare)
+    placed = running_counts(add_buckets(keyed, splits).withColumn("one", F.lit(1)), ["one"], "axis__b", "axis", ["w"],
+                            not splits["axis"]).select("qid", "w_before", "w_upto")
     placed = materialize(placed)
     made = placed.agg(F.max("w_upto")).first()[0]
     if not made:

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 16384
 SMALL_ROWS = 2_000_000  # up to here one exact `percentile` aggregate is cheaper
 
 
@@ -48,8 +48,18 @@ def add_buckets(df: DataFrame, splits: dict[str, list[float]], suffix: str = "__
 
 
 def running_counts(counts: DataFrame, by: list[str], bucket: str, value: str,
-                   weights: list[str]) -> DataFrame:
-    """Add ``<w>_before``, ``<w>_upto`` and ``<w>_all`` to rows distinct on (by, value)."""
+                   weights: list[str], single: bool = False) -> DataFrame:
+    """Add ``<w>_before``, ``<w>_upto`` and ``<w>_all`` to rows distinct on (by, value).
+
+    ``single``: the table was small enough for one bucket, so no offsets are needed.
+    """
+    if single:
+        inside = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        whole = W.partitionBy(*by)
+        return counts.withColumns({
+            **{f"{w}_all": F.sum(w).over(whole) for w in weights},
+            **{f"{w}_upto": F.sum(w).over(inside) for w in weights},
+        }).withColumns({f"{w}_before": F.col(f"{w}_upto") - F.col(w) for w in weights})
     sums = counts.groupBy(*by, bucket).agg(*[F.sum(w).alias(w) for w in weights])
     ahead = W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
@@ -84,7 +94,7 @@ def ecdf_tagged(tagged: DataFrame, cols: list[str], n_rows: int,
     counts = (add_buckets(tagged, splits).select("side", cells).select("side", "cell.*")
               .groupBy("feature", "bucket", "value")
               .agg(F.sum(1 - F.col("side")).alias("o"), F.sum("side").cast("bigint").alias("a")))
-    return running_counts(counts, ["feature"], "bucket", "value", ["o", "a"])
+    return running_counts(counts, ["feature"], "bucket", "value", ["o", "a"], not any(splits.values()))
 
 
 def _axis(df: DataFrame, order: str) -> Column:
