@@ -53,7 +53,8 @@ def test_nearest_is_exact(spark, path, k, same, skip):
 
 def test_hot_leaf_is_salted_and_blocked(spark, monkeypatch):
     monkeypatch.setattr(N, "GROUP_QUERIES", 50)
-    monkeypatch.setattr(N, "LEAF_ROWS", 32)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(N.LocalIndex, "CELL", 16)
     b, q = cloud(2000, 0), cloud(600, 300, 3)
     got = N.nearest(spark.createDataFrame(q), spark.createDataFrame(b), ["a", "b", "c"], SCALE, 2,
                     broadcast_rows=0, leaf_rows=256).toPandas().sort_values(["qid", "rank"])

@@ -68,7 +68,7 @@ def stratified_rank(df: DataFrame, stream: str, seed: int = 42) -> DataFrame:
 def stratified_split(df: DataFrame, stream: str = "split", share: float = 0.7, seed: int = 42) -> DataFrame:
     """Add ``train``: the first ceil(share * n) rows of every label."""
     sizes = df.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = stratified_rank(df, stream, seed).join(F.broadcast(sizes), "label")  # one row per class
+    ranked = stratified_rank(df, stream, seed).join(F.broadcast(sizes), "label")  # a row per class, bounded by label_codes
     return ranked.withColumn("train", F.col("__rank") < F.ceil(F.round(F.lit(share) * F.col("__n"), 6))).drop("__rank", "__n")
 
 

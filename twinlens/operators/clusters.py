@@ -18,7 +18,7 @@ from twinlens.pair import ROW_ID, Pair
 
 BROADCAST_ROWS = 8192
 BLOCK_ROWS = 4096
-MAX_CLUSTERS = 10_000
+MAX_CLUSTERS = 2000
 
 
 def cluster_count(n_o: int, n_a: int) -> int:
@@ -154,7 +154,9 @@ def silhouette(df: DataFrame, cols: list[str], broadcast_rows: int = BROADCAST_R
 def davies_bouldin(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row (db): mean over clusters of the worst (scatter + scatter) / centre distance."""
     centres = df.groupBy("label").agg(F.array(*[F.avg(c) for c in cols]).alias("centre"))
-    near = df.join(F.broadcast(centres), "label")  # one row per cluster
+    if df.select("label").distinct().limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
+        raise ValueError("too many clusters to compare their centres")
+    near = df.join(F.broadcast(centres), "label")  # one row per cluster, their number was checked
     own = F.sqrt(sum(((F.col(c) - F.col("centre")[i]) * (F.col(c) - F.col("centre")[i])
                       for i, c in enumerate(cols)), F.lit(0.0)))
     scatter = near.groupBy("label").agg(F.avg(own).alias("s"), F.first("centre").alias("centre"))

@@ -3,7 +3,7 @@
 Base rows are cut into leaves of bounded size along median splits of a sample. A query
 row is sent only to leaves whose bounding box can still hold a better neighbour (the
 bound comes from sampled base rows of its own leaf), Spark shuffles query and base
-rows together by leaf, a vectorised search runs inside each leaf, and the partial
+rows together by leaf, each task indexes its leaf and searches it, and the partial
 results are merged per query row. The sample only steers the work: results are exact
 for any sample. Hot spots are handled before the shuffle: equal base rows are reduced
 to the few that can matter, oversized leaves become several blocks, and leaves that
@@ -23,8 +23,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_ROWS = 8192
-LEAF_ROWS = 2048
+BROADCAST_ROWS = 50_000
+LEAF_ROWS = 32_768
+BLOCK_ROWS = 262_144  # base rows one task indexes at most, on average
 MAX_LEAVES = 16384
 GROUP_QUERIES = 50_000
 SAMPLE_ROWS = 200_000
@@ -64,26 +65,105 @@ def _chunks(n: int, width: int) -> Iterator[slice]:
         yield slice(start, start + step)
 
 
-def _top_k(spec: SearchSpec, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """The k nearest base rows of every query row; ties go to the lowest base id."""
-    b = b.sort_values("bid", kind="stable")
-    qx, bx, qc, bc = spec.points(q), spec.points(b), spec.codes(q), spec.codes(b)
-    qid, bid = q["qid"].to_numpy(), b["bid"].to_numpy()
-    parts = []
-    for piece in _chunks(len(q), len(b)):
-        d = squared_distances(qx[piece], bx, spec.scale)
-        if spec.same:
-            d[qc[piece][:, None] != bc[None, :]] = np.inf
-        if spec.skip_self:
-            d[qid[piece][:, None] == bid[None, :]] = np.inf
-        rows = np.arange(len(d))
-        for _ in range(min(spec.k, len(b))):
-            at = d.argmin(axis=1)
-            best = d[rows, at]
-            ok = np.isfinite(best)
-            parts.append(pd.DataFrame({"qid": qid[piece][ok], "bid": bid[at[ok]], "dist": np.sqrt(best[ok])}))
-            d[rows, at] = np.inf
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"qid": [], "bid": [], "dist": []})
+class LocalIndex:
+    """Median-split cells over the base rows of one task, searched nearest cell first."""
+
+    CELL = 512
+
+    def __init__(self, spec: SearchSpec, b: pd.DataFrame):
+        self.spec = spec
+        if "bid" in b:
+            b = b.sort_values("bid", kind="stable")
+            self.ids = b["bid"].to_numpy()
+        self.weight = b["w"].to_numpy() if "w" in b else None
+        self.x, self.codes = spec.points(b), spec.codes(b)
+        z = np.column_stack([self.codes.astype(float), self.x / np.array(spec.scale)])
+        self.cells: list[np.ndarray] = []
+        todo = [np.arange(len(z))] if len(z) else []
+        while todo:
+            rows = todo.pop()
+            spread = np.ptp(z[rows], axis=0)
+            if len(rows) <= self.CELL or spread.max() == 0:
+                self.cells.append(rows)  # ascending positions, hence ascending ids
+                continue
+            v = z[rows, 0 if spread[0] > 0 else int(spread.argmax())]
+            cut = np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+            right = v > cut if cut < v.max() else v >= cut
+            todo += [rows[~right], rows[right]]
+        self.lo = np.array([z[r].min(axis=0) for r in self.cells])
+        self.hi = np.array([z[r].max(axis=0) for r in self.cells])
+        if self.weight is not None:
+            self.cell_weight = np.array([self.weight[r].sum() for r in self.cells])
+
+    def _reach(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance to the near side and to the far side of every cell."""
+        near, far = np.zeros((len(z), len(self.cells))), np.zeros((len(z), len(self.cells)))
+        for j in range(1, z.shape[1]):
+            below, above = self.lo[None, :, j] - z[:, j, None], z[:, j, None] - self.hi[None, :, j]
+            gap, span = np.maximum(np.maximum(below, above), 0.0), np.maximum(np.abs(below), np.abs(above))
+            near += gap * gap
+            far += span * span
+        near[(z[:, 0, None] < self.lo[None, :, 0]) | (z[:, 0, None] > self.hi[None, :, 0])] = np.inf
+        return near, far
+
+    def top_k(self, q: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest rows of every query row; ties go to the lowest base id."""
+        spec, k, qid = self.spec, self.spec.k, q["qid"].to_numpy()
+        qx, qc = spec.points(q), spec.codes(q)
+        z = np.column_stack([qc.astype(float), qx / np.array(spec.scale)])
+        parts = []
+        for piece in _chunks(len(q) if self.cells else 0, max(len(self.cells), 4 * k)):
+            near, _ = self._reach(z[piece])
+            dist, at = np.full((len(near), k), np.inf), np.full((len(near), k), -1, dtype=np.int64)
+            home = near.argmin(axis=1)
+            for first in (True, False):
+                for c, cell in enumerate(self.cells):
+                    if first:
+                        rows = np.flatnonzero((home == c) & np.isfinite(near[:, c]))
+                    else:
+                        rows = np.flatnonzero((home != c) & (near[:, c] <= dist[:, -1] * (1 + 1e-9) + 1e-12) & np.isfinite(near[:, c]))
+                    for some in _chunks(len(rows), len(cell)):
+                        self._offer(qx[piece], qc[piece], qid[piece], rows[some], cell, dist, at)
+            r, c = np.nonzero(at >= 0)
+            parts.append(pd.DataFrame({"qid": qid[piece][r], "bid": self.ids[at[r, c]], "dist": np.sqrt(dist[r, c])}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"qid": [], "bid": [], "dist": []})
+
+    def _offer(self, qx, qc, qid, rows, cell, dist, at) -> None:
+        """Merge the base rows of a cell into the best lists of some query rows."""
+        d = squared_distances(qx[rows], self.x[cell], self.spec.scale)
+        if self.spec.same:
+            d[qc[rows][:, None] != self.codes[cell][None, :]] = np.inf
+        if self.spec.skip_self:
+            d[qid[rows][:, None] == self.ids[cell][None, :]] = np.inf
+        new_d, new_at, line = [], [], np.arange(len(rows))
+        for _ in range(min(self.spec.k, len(cell))):
+            best = d.argmin(axis=1)
+            new_d.append(d[line, best])
+            new_at.append(np.where(np.isfinite(new_d[-1]), cell[best], -1))
+            d[line, best] = np.inf
+        all_d = np.column_stack([dist[rows], *new_d])
+        all_at = np.column_stack([at[rows], *new_at])
+        # equal distances are ordered by position, i.e. by base id
+        order = np.lexsort((all_at, all_d), axis=1)[:, :self.spec.k]
+        dist[rows], at[rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_at, order, 1)
+
+    def count(self, q: pd.DataFrame, radius: float) -> np.ndarray:
+        """Weight of the rows within the radius of every query row."""
+        qx, r2 = self.spec.points(q), radius * radius
+        z = np.column_stack([np.zeros(len(q)), qx / np.array(self.spec.scale)])
+        out = np.zeros(len(q), dtype=np.int64)
+        for piece in _chunks(len(q) if self.cells else 0, len(self.cells)):
+            near, far = self._reach(z[piece])
+            inside = far < r2 * (1 - 1e-9)
+            got = inside @ self.cell_weight
+            edge = (near <= r2 * (1 + 1e-9) + 1e-12) & ~inside
+            for c, cell in enumerate(self.cells):
+                rows = np.flatnonzero(edge[:, c])
+                for some in _chunks(len(rows), len(cell)):
+                    d = squared_distances(qx[piece][rows[some]], self.x[cell], self.spec.scale)
+                    got[rows[some]] += (np.sqrt(d) <= radius) @ self.weight[cell]
+            out[piece] = got
+        return out
 
 
 class Leaves:
@@ -154,7 +234,7 @@ class Leaves:
         slack = 1e-12 * np.maximum(np.abs(self.lo), np.abs(self.hi))
         with np.errstate(invalid="ignore"):
             self.lo, self.hi = self.lo - slack, self.hi + slack
-        self.blocks = np.maximum(1, np.ceil(distinct / (4 * LEAF_ROWS))).astype(np.int64)
+        self.blocks = np.maximum(1, np.ceil(distinct / BLOCK_ROWS)).astype(np.int64)
 
     def _near_far(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near, far = np.zeros((len(x), self.n)), np.zeros((len(x), self.n))
@@ -327,8 +407,9 @@ def nearest(query: DataFrame, base: DataFrame, cols: list[str], scale: list[floa
         small = b.toPandas()
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = LocalIndex(spec, small)
             for pdf in batches:
-                yield _top_k(spec, pdf, small)
+                yield index.top_k(pdf)
 
         found = q.mapInPandas(search, schema)
     else:
@@ -344,7 +425,7 @@ def nearest(query: DataFrame, base: DataFrame, cols: list[str], scale: list[floa
         def search_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if len(left) == 0 or len(right) == 0:
                 return pd.DataFrame({"qid": [], "bid": [], "dist": []})
-            return _top_k(spec, left, right)
+            return LocalIndex(spec, right).top_k(left)
 
         found = (_placed_query(q, leaves, None, 1).groupBy("cell")
                  .cogroup(_placed_base(lean, leaves, False).groupBy("cell"))
@@ -370,27 +451,21 @@ def count_within(query: DataFrame, base: DataFrame, cols: list[str], scale: list
     radius2 = radius * radius
     schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("n", T.LongType())])
 
-    def counted(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        qx, bx, w = spec.points(left), spec.points(right), right["w"].to_numpy()
-        out = np.zeros(len(left), dtype=np.int64)
-        for piece in _chunks(len(left), len(right)):
-            out[piece] = (np.sqrt(squared_distances(qx[piece], bx, spec.scale)) <= radius) @ w
-        return out
-
     weighted = b.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
     n_base = b.count()
     if n_base <= broadcast_rows and n_base * len(cols) <= SAMPLE_VALUES:
         small = weighted.toPandas()
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = LocalIndex(spec, small)
             for pdf in batches:
-                yield pd.DataFrame({"qid": pdf["qid"], "n": counted(pdf, small)})
+                yield pd.DataFrame({"qid": pdf["qid"], "n": index.count(pdf, radius)})
 
         return q.mapInPandas(search, schema)
     leaves = _plan_leaves(spec, q, b, n_base, leaf_rows, 1, radius2)
 
     def search_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near = counted(left, right) if len(left) and len(right) else 0
+        near = LocalIndex(spec, right).count(left, radius) if len(left) and len(right) else 0
         return pd.DataFrame({"qid": left["qid"], "n": left["whole"] + near})
 
     cells = max(1, q.count() // GROUP_QUERIES)
