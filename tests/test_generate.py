@@ -150,3 +150,11 @@ def test_own_generator_and_manifest(spark, base, tmp_path):
 
     got = {r.technique: r for r in G.run_techniques(base, ["first_rows", "dummy", "nope"], 20, str(tmp_path), fmt="csv").collect()}
     assert got["first_rows"].n_rows == 20 and got["dummy"].n_rows == 20 and "unknown technique" in got["nope"].error
+
+
+def test_adasyn_variants(base):
+    assert G.generate(base, "adasyn", 90, 3, pseudo_label=True).count() == 90
+    got = O.adasyn(base, 200, 3, label="town").toPandas()
+    p = people()
+    rare = p[p.town == p.town.value_counts().index[-1]]
+    assert len(got) == 200 and got.pay.between(rare.pay.min(), rare.pay.max()).all()
