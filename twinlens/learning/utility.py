@@ -118,19 +118,26 @@ def classification_metrics(predictions: DataFrame, by: list[str] = (), weighted:
         F.expr(figure("r")).alias("recall"), F.expr(figure("f")).alias("f1"), F.sum("support").alias("n"))
 
 
-def standardized(train: DataFrame, others: list[DataFrame], cols: list[str]) -> list[DataFrame]:
-    """Scale by the training rows' mean and population deviation; add ``features``."""
+ROWS_PER_TASK = 100_000  # iterative fits run a job per step: tiny tables need no more than one task
+
+
+def standardized(train: DataFrame, others: list[DataFrame], cols: list[str]) -> tuple[list[DataFrame], int]:
+    """Scale by the training rows' mean and population deviation; add ``features``.
+
+    Also returns the number of training rows.
+    """
     s = collect_stats(train, cols)
     text = [f"({sql_name(c)} - ({s[c]['mean']!r}D)) / ({(s[c]['std_pop'] or 1.0)!r}D) AS {sql_name(c)}" for c in cols]
     vectors = VectorAssembler(inputCols=cols, outputCol="features")
-    return [vectors.transform(df.selectExpr("row_id", "label", *text)) for df in [train, *others]]
+    scaled = [vectors.transform(df.selectExpr("row_id", "label", *text)) for df in [train, *others]]
+    return scaled, int(s[cols[0]]["n"])
 
 
 def fit_predict(name: str, params: dict, train: DataFrame, test: DataFrame, cols: list[str], classes: int) -> DataFrame:
-    scaled, probe = standardized(train, [test], cols)
-    scaled = scaled.persist()
+    (scaled, probe), n = standardized(train, [test], cols)
+    scaled = scaled.coalesce(max(1, -(-n // ROWS_PER_TASK))).persist()
     try:
-        ctx = Context(tuple(cols), classes, scaled.count())
+        ctx = Context(tuple(cols), classes, n)
         return materialize(predict(name, scaled, probe, ctx, params))
     finally:
         scaled.unpersist()

@@ -93,7 +93,22 @@ def a4(spark, sf_dir):
     return score.variant_scores(checked_facts(spark, sf_dir)).select("variant", tidy(F.col("overall")).alias("overall"))
 
 
-@register("a4_corrected_scores")
+def _corrected_sql(dimension: str) -> str:
+    terms, total = [], sum(w for *_, w in score.TERMS[dimension])
+    for metric, field, shape, weight in score.TERMS[dimension]:
+        v = _pick(metric, field)
+        if shape == "one minus" or (metric, field) in score.LARGER_IS_WORSE:
+            v = f"greatest(0, 1 - {v})"
+        elif shape != "as is":
+            v = f"least(1, {v} / {shape})"
+        terms.append(f"{weight / total!r}::DOUBLE * coalesce({v}, 0)")
+    return f"least(1, greatest(0, {' + '.join(terms)}))"
+
+
+@register("a4_corrected_scores", f"""WITH {FACTS}, c AS (SELECT variant, {_corrected_sql('fidelity')} AS fidelity, {_corrected_sql('diversity')} AS diversity,
+ {_corrected_sql('privacy')} AS privacy FROM facts GROUP BY variant)
+SELECT variant, {S.num('fidelity')} AS fidelity, {S.num('diversity')} AS diversity, {S.num('privacy')} AS privacy,
+{S.num('0.5 * fidelity + 0.25 * diversity + 0.25 * privacy')} AS overall FROM c""")
 def a4_corrected(spark, sf_dir):
     s = score.variant_scores(checked_facts(spark, sf_dir), {"fidelity": 2, "diversity": 1, "privacy": 1}, "corrected")
     return s.select("variant", *[tidy(F.col(c)).alias(c) for c in ("fidelity", "diversity", "privacy", "overall")])
@@ -223,7 +238,7 @@ def s9(spark, sf_dir):
                                       F.col("value").alias("size_ratio"))))
 
 
-@register("s3_jdbc_query")
+@register("s3_jdbc_query", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def s3(spark, sf_dir):
     """Write suppliers to an in-process database and read a query back in four tasks."""
     url = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
@@ -236,7 +251,8 @@ def s3(spark, sf_dir):
         "partition_column": '"s_suppkey"', "lower": 0, "upper": top + 1, "partitions": 4})
 
 
-@register("s4_database_landing")
+@register("s4_database_landing", """SELECT 'nation' AS name, count(*) AS n_rows, 3::INTEGER AS n_columns, 2::INTEGER AS n_numeric, 1::INTEGER AS n_categorical,
+'n_nationkey,n_name,n_regionkey' AS columns, 'n_nationkey,n_regionkey' AS numeric_columns, 'n_name' AS categorical_columns FROM nation""")
 def s4(spark, sf_dir):
     url = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
     driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
