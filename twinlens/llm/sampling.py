@@ -12,9 +12,9 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id",
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int | dict, id_col: str = "doc_id",
                    text_col: str = "text", most_labels: int = 1000) -> pd.DataFrame:
-    """About ``per_label`` (label, text) rows of each label, for fitting on the driver.
+    """About ``per_label`` (label, text) rows of each label (a number, or one per label), for fitting on the driver.
 
     ``labels`` has (id_col, label_col). Ids are kept where a hash of them falls below the share that gives ``per_label``
     rows, so the sample is the same on every run and its size follows from the parameter, not from the data.
@@ -28,7 +28,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label
     keep = F.lit(False)
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003.0
     for value, n in counts.items():
-        keep = keep | ((F.col("_label") == value) & (place < per_label / n))
+        keep = keep | ((F.col("_label") == value) & (place < (per_label[value] if isinstance(per_label, dict) else per_label) / n))
     chosen = marks.where(keep)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     return (texts.join(F.broadcast(chosen), id_col)  # bounded by per_label * labels

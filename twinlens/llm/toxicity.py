@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters by its own vector (words seen in enough training texts) beside the mean of its character-pair vectors. All
-windows of ``WINDOW`` words, each overlapping the next by half, are scored; a text's logit is its largest window's,
+A word enters by its own vector (words seen in enough training texts) beside the mean of the vectors of its runs of three
+and four characters (hashed), so forms that were never seen are known by their stems. All windows of ``WINDOW`` words, each overlapping the next by half, are scored; a text's logit is its largest window's,
 calibrated on the training texts. Training (backpropagation through time, Adam) uses a bounded sample of labelled texts: at
 first every window bears its text's label, then toxic texts are represented by their highest windows.
 
@@ -22,7 +22,7 @@ from twinlens.llm import textarrays as ta
 from twinlens.llm.sampling import labelled_texts, remainder
 
 WINDOW, STRIDE = 16, 8
-_HIDDEN, _WORD, _CHAR, _PAIRS = 8, 12, 8, 2048
+_HIDDEN, _WORD, _CHAR, _GRAMS = 8, 8, 12, 1 << 15
 _EMPTY = -8.0
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -34,23 +34,44 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _fold(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and the accented capitals of Latin-1."""
+    folded = _FOLD[data]
+    if len(data):
+        folded[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
+    return folded
+
+
+def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    for j in range(total.shape[1]):
+        total[:, j] += np.bincount(rows, values[:, j], len(total))
+
+
 class Words:
-    """Distinct words of a range of texts: hashes, character pairs; and which word stands where."""
+    """Distinct words of a range of texts: hashes, runs of bytes; and which word stands where."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
-        folded = _FOLD[data]
+        folded = _fold(data)
         starts, ends, self.doc = ta.pieces(data, bounds, _GAP)
         hashed = ta.hashes(folded, starts, ends)
         self.hash, first, self.at = np.unique(hashed, return_index=True, return_inverse=True)
-        s, size = starts[first], (ends - starts)[first] + 1  # pairs with a mark before and after
+        s, length = starts[first], (ends - starts)[first]
+        # runs of 3 and of 4 bytes of the word with a mark before and after
+        size = length + np.maximum(length - 1, 0)
         self.bounds = np.concatenate([[0], np.cumsum(size)])
         owner = np.repeat(np.arange(len(s)), size)
         k = np.arange(self.bounds[-1]) - self.bounds[owner]
-        padded = np.concatenate([[0], folded.astype(np.int64), [0]])
-        left, right = padded[s[owner] + k], padded[s[owner] + k + 1]
-        left[k == 0] = 1
-        right[k == size[owner] - 1] = 2
-        self.pair = ((left * 0x9E37 + right * 0x85EB + (left ^ right << 3)) % _PAIRS).astype(np.int64)
+        three = k < length[owner]
+        k = np.where(three, k, k - length[owner]) - 1
+        code = np.where(three, 7, 11).astype(np.uint64)
+        padded = np.concatenate([[0], folded, np.zeros(4, np.uint8)]).astype(np.uint64)
+        for j in range(4):
+            at = k + j
+            byte = padded[s[owner] + at + 1]
+            byte[at < 0], byte[at == length[owner]] = 1, 2
+            used = (j < 3) | ~three
+            code = np.where(used, code * np.uint64(0x100000001B3) + byte, code)
+        self.gram = (ta.mix(code) >> np.uint64(49)).astype(np.int64)
         self.owner, self.size = owner, size
 
     def windows(self, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +91,7 @@ class Network:
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.vocabulary = vocabulary  # sorted hashes; row 0 of the word vectors stands for all other words
         self.p = {"word": 0.1 * r.standard_normal((len(vocabulary) + 1, _WORD)).astype(np.float32),
-                  "char": 0.1 * r.standard_normal((_PAIRS, _CHAR)).astype(np.float32),
+                  "char": 0.1 * r.standard_normal((_GRAMS, _CHAR)).astype(np.float32),
                   "att": init(2 * h, h), "att_v": init(h, 1)[:, 0], "out": init(2 * h, 1)[:, 0], "bias": np.zeros(1, np.float32)}
         self.p["word"][0] = 0
         for side in "fb":
@@ -82,7 +103,7 @@ class Network:
         known = at < len(self.vocabulary)
         known[known] = self.vocabulary[at[known]] == words.hash[known]
         self.rows = np.where(known, at + 1, 0)
-        chars = np.add.reduceat(self.p["char"][words.pair], words.bounds[:-1], axis=0) / words.size[:, None] if len(words.hash) else np.zeros((0, _CHAR))
+        chars = np.add.reduceat(self.p["char"][words.gram], words.bounds[:-1], axis=0) / words.size[:, None] if len(words.hash) else np.zeros((0, _CHAR))
         return np.concatenate([self.p["word"][self.rows], chars], axis=1).astype(np.float32)
 
     def _run(self, x: np.ndarray, live: np.ndarray, side: str, keep: list | None) -> np.ndarray:
@@ -156,7 +177,8 @@ class Network:
                 d_inputs[:, j] += np.bincount(flat[some], back[:, j], len(inputs))
         return g, d_inputs
 
-    def train(self, words: Words, index: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, seed: int) -> None:
+    def train(self, words: Words, index: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, seed: int,
+              dropped: float = 0.3, decay: float = 0.02) -> None:
         rng, moments = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         for _ in range(epochs):
@@ -168,19 +190,23 @@ class Network:
                 used = used[used >= 0]
                 part = _Subset(words, used)
                 inputs = self.inputs(part)
+                hidden = rng.random(len(used)) < dropped  # so that stems are learned beside whole words
+                inputs[hidden, :_WORD], self.rows[hidden] = 0, 0
                 self.kept = {}
                 p = _sigmoid(self.forward(self.project(inputs), local, self.kept))
                 g, d_inputs = self.gradients(inputs, local, (weight[rows] * (p - y[rows]) / weight[rows].sum()).astype(np.float32))
                 g["word"] = np.zeros_like(self.p["word"])
-                np.add.at(g["word"], self.rows, d_inputs[:, :_WORD])
+                _add_rows(g["word"], self.rows, d_inputs[:, :_WORD])
                 g["word"][0] = 0
                 g["char"] = np.zeros_like(self.p["char"])
-                np.add.at(g["char"], part.pair, (d_inputs[:, _WORD:] / part.size[:, None])[part.owner])
+                _add_rows(g["char"], part.gram, (d_inputs[:, _WORD:] / part.size[:, None])[part.owner])
                 step += 1
                 for name, grad in g.items():
                     m, v = moments[name]
                     m += 0.1 * (grad - m)
                     v += 0.01 * (grad * grad - v)
+                    if name in ("word", "char"):
+                        self.p[name] *= 1 - rate * decay
                     self.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         self.kept = {}
 
@@ -209,10 +235,10 @@ class _Subset:
         self.hash, self.size = words.hash[used], words.size[used]
         self.bounds = np.concatenate([[0], np.cumsum(self.size)])
         self.owner = np.repeat(np.arange(len(used)), self.size)
-        self.pair = words.pair[words.bounds[used][self.owner] + np.arange(self.bounds[-1]) - self.bounds[self.owner]]
+        self.gram = words.gram[words.bounds[used][self.owner] + np.arange(self.bounds[-1]) - self.bounds[self.owner]]
 
 
-def train(texts: list[str], labels: np.ndarray, least_texts: int = 3, windows_per_text: int = 48, seed: int = 11) -> Network | None:
+def train(texts: list[str], labels: np.ndarray, least_texts: int = 4, windows_per_text: int = 48, seed: int = 11) -> Network | None:
     """A network from texts and labels 0/1; None unless both occur. ``windows_per_text`` bounds what one text adds to the fit."""
     labels = np.asarray(labels, float)
     if len(set(labels.tolist())) < 2:
@@ -232,7 +258,7 @@ def train(texts: list[str], labels: np.ndarray, least_texts: int = 3, windows_pe
     y = labels[doc[sample]]
     weight = np.where(y == 1, (y == 0).sum() / max(1, y.sum()), 1.0)
     net.train(words, index[sample], y, np.minimum(weight, 20), epochs=3, rate=0.01, seed=seed)
-    for turn in range(2):
+    for turn in range(3):
         logit, _, _ = net.logits(words, n)
         top = np.full(n, _EMPTY)
         np.maximum.at(top, doc, logit)
@@ -262,10 +288,10 @@ def train(texts: list[str], labels: np.ndarray, least_texts: int = 3, windows_pe
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        per_label: int = 700) -> Network | None:
-    """Learn from about ``per_label`` texts of each label whose id is not held out (bounded by that parameter)."""
+        toxic_texts: int = 700, clean_texts: int = 2000) -> Network | None:
+    """Learn from about so many texts of each label whose id is not held out (the bounds of the sample)."""
     known = labels.where((remainder(id_col) != 1) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
-    sample = labelled_texts(docs.where(remainder(id_col) != 1), known, label_col, per_label, id_col, text_col)
+    sample = labelled_texts(docs.where(remainder(id_col) != 1), known, label_col, {1: toxic_texts, 0: clean_texts}, id_col, text_col)
     return train(sample["text"].tolist(), sample["_label"].to_numpy())
 
 
@@ -287,9 +313,9 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-             per_label: int = 700, threshold: float = 0.7) -> DataFrame:
+             toxic_texts: int = 700, clean_texts: int = 2000, threshold: float = 0.7) -> DataFrame:
     """id, held_out, score, predicted of every row, by a network fitted on labelled rows that are not held out."""
-    net = fit(docs, labels, label_col, id_col, text_col, per_label)
+    net = fit(docs, labels, label_col, id_col, text_col, toxic_texts, clean_texts)
     return score(docs, net, id_col, text_col).select(
         id_col, (remainder(id_col) == 1).alias("held_out"), F.col("tox_score").alias("score"),
         (F.col("tox_score") >= threshold).cast("int").alias("predicted"))
