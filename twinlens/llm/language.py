@@ -105,8 +105,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 
 def predict(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", text_col: str = "text",
-            carried: list[str] | None = None) -> DataFrame:
-    """``id_col``, lang_pred, score (and ``carried`` columns) of every row. A map, no shuffle."""
+            carried: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
+    """``id_col`` (or ``carried`` columns), language and score of every row. A map, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [id_col] if carried is None else list(carried)
 
@@ -127,10 +127,10 @@ def predict(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", te
                     best = got.argmax(axis=1)
                     names[letter] = np.array(model.labels, object)[best[letter]]
                     score[letter] = np.clip((got[np.arange(len(best)), best][letter] + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score)], [*kept, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score)], [*kept, lang_out, score_out])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(F.col(text_col).alias("_scored"), *kept).mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return docs.select(F.col(text_col).alias("_scored"), *kept).mapInArrow(run, f"{schema}, {lang_out} string, {score_out} double")
 
 
 def identify(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_label: int = 250,

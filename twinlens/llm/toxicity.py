@@ -295,8 +295,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return train(sample["text"].tolist(), sample["_label"].to_numpy())
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
-    """``id_col`` (or ``carried`` columns) and tox_score of every row. A map, no shuffle."""
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None,
+          score_col: str = "tox_score") -> DataFrame:
+    """``id_col`` (or ``carried`` columns) and ``score_col`` of every row. A map, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
     kept = [id_col] if carried is None else list(carried)
 
@@ -306,10 +307,10 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             got = np.zeros(batch.num_rows)
             if net is not None and batch.num_rows:
                 got = np.concatenate(ta.per_span(net.score, batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got)], [*kept, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got)], [*kept, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(F.col(text_col).alias("_scored"), *kept).mapInArrow(run, f"{schema}, tox_score double")
+    return docs.select(F.col(text_col).alias("_scored"), *kept).mapInArrow(run, f"{schema}, {score_col} double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
