@@ -124,6 +124,9 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], trees: int =
     their midpoint then bounds every leaf below, so the score is monotonic in that feature."""
     n, d = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
+    # cut halfway to the next value seen, so that values just outside the sample fall on the near side
+    ordered = [np.append(v := np.unique(x[:, j]), v[-1:]) for j in range(d)]
+    middle = [(o[i := np.searchsorted(o[:-1], e, side="right") - 1] + o[i + 1]) / 2 for o, e in zip(ordered, edges)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], axis=1)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     start = float(np.log(share / (1 - share)))
@@ -157,7 +160,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], trees: int =
                 node[rows] = 2 * k + 1
                 continue
             j, i, wl, wr = best[1]
-            feature[t, k], cut[t, k] = j, edges[j][i]
+            feature[t, k], cut[t, k] = j, middle[j][i]
             node[rows] = 2 * k + 1 + (binned[rows, j] > i)
             if directions[j]:
                 mid = (wl + wr) / 2
