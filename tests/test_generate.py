@@ -158,3 +158,41 @@ def test_adasyn_variants(base):
     p = people()
     rare = p[p.town == p.town.value_counts().index[-1]]
     assert len(got) == 200 and got.pay.between(rare.pay.min(), rare.pay.max()).all()
+
+
+def gaps(spark, kind):
+    """Three classes with missing numbers, categories and labels."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(240):
+        x = float(rng.normal() + 3 * (i % 3))
+        rows.append((i, None if i % 10 == 0 else float("nan") if i % 10 == 5 and kind != "null" else x, float(rng.normal()),
+                     None, int(rng.integers(0, 50)) if i % 7 else None, None if i % 11 == 0 else "ab"[i % 2], None, None if i % 40 == 39 else "xyz"[i % 3]))
+    return spark.createDataFrame(rows, "k long, a double, b double, none double, n int, c string, empty string, y string")
+
+
+@pytest.mark.parametrize("technique", ["random_sampling", "noise_injection", "kde", "gaussian_mvn", "gaussian_copula", "dummy", "smote", "adasyn", "smotecdnn"])
+@pytest.mark.parametrize("kind", ["null", "nan"])
+def test_missing_values_lose_no_rows(spark, technique, kind):
+    from twinlens.operators.generate import Table, generate
+
+    made = generate(Table(gaps(spark, kind), key="k", target="y"), technique, 300, seed=3)
+    got = made.toPandas()
+    assert len(got) == 300 and made.columns == ["a", "b", "none", "n", "c", "empty", "y"]
+    assert got["none"].isna().all() and got["empty"].isna().all()
+
+
+def test_neighbour_search_leaves_incomplete_rows_out(spark):
+    from pyspark.sql import functions as F
+    from twinlens.operators.neighbors import count_within, nearest
+
+    rng = np.random.default_rng(7)
+    rows = [(i, float(rng.normal()), float(rng.normal())) for i in range(500)]
+    rows = [(i, None if i % 9 == 0 else x, float("nan") if i % 9 == 4 else y) for i, x, y in rows]
+    df = spark.createDataFrame(rows, "row_id long, x double, y double")
+    whole = df.where("x IS NOT NULL").where(~F.isnan("y"))
+    for limit in (0, 50_000):
+        for search in (lambda d: nearest(d, d, ["x", "y"], [1.0, 1.0], 3, broadcast_rows=limit, leaf_rows=64),
+                       lambda d: count_within(d, d, ["x", "y"], [1.0, 1.0], 0.4, broadcast_rows=limit, leaf_rows=64)):
+            order = lambda d: sorted(map(tuple, d.collect()))
+            assert order(search(df)) == order(search(whole))

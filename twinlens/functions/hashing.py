@@ -6,6 +6,7 @@ same number on any cluster, after any retry, and in any SQL engine with md5.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -36,3 +37,14 @@ def hash_index(seed: int, stream: str, key: Column, n: int) -> Column:
 def hash_order(seed: int, stream: str, key: Column) -> Column:
     """A column to order by for a reproducible shuffle."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stream), key.cast("string")))
+
+
+def uniform_value(seed: int, stream: str, key: int) -> float:
+    """``hash_uniform`` of one key, on the driver."""
+    return int(hashlib.md5(f"{seed}|{stream}|{key}".encode()).hexdigest()[:13], 16) / _SCALE
+
+
+def normal_value(seed: int, stream: str, key: int) -> float:
+    """``hash_normal`` of one key, on the driver."""
+    u, v = uniform_value(seed, stream + ".r", key), uniform_value(seed, stream + ".a", key)
+    return math.sqrt(-2.0 * math.log(1.0 - u)) * math.cos(2.0 * math.pi * v)

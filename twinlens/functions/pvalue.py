@@ -30,14 +30,10 @@ def kolmogorov_pvalue(d: str, n_o: str, n_a: str) -> Column:
 def exact_pvalue(d: float, n: int, m: int) -> float:
     """Share of lattice paths from (0,0) to (n,m) that reach a gap of at least ``d``.
 
-    Above ``EXACT_ROWS`` rows the Kolmogorov series is used.
+    More than ``EXACT_ROWS`` rows on a side are refused: the count takes the product of both.
     """
     if max(n, m) > EXACT_ROWS:
-        x2 = d * d * n * m / (n + m)
-        if x2 < 0.0016:
-            return 1.0
-        s = sum((-1.0) ** (k - 1) * math.exp(-2.0 * k * k * x2) for k in range(1, TERMS + 1))
-        return min(1.0, max(0.0, 2.0 * s))
+        raise ValueError(f"exact p-values are for {EXACT_ROWS} rows a side at most; leave exact=False")
     if d <= 0:
         return 1.0
     g = math.gcd(n, m)

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.facts import feature_facts, number, single_facts, word
+from twinlens.functions.hashing import hash_order, uniform_value
 from twinlens.functions.numbers import grade, ratio
 from twinlens.operators import clusters as C
-from twinlens.operators.fidelity import fixed_sample
 from twinlens.operators.histogram import BINS, binned_counts
-from twinlens.operators.neighbors import nearest, squared_distances
-from twinlens.operators.ranking import exact_quantiles
+from twinlens.operators.neighbors import nearest
+from twinlens.operators.ranking import exact_quantiles, row_number_global
 from twinlens.operators.summaries import joined_stats
-from twinlens.pair import Pair
+from twinlens.pair import ROW_ID, Pair
 from twinlens.session import materialize
 
 DIM = "diversity"
@@ -75,35 +73,30 @@ def range_coverage(pair: Pair) -> DataFrame:
         [number("average_coverage", F.avg("c")), number("average_extension", F.avg(F.col("b") + F.col("u")))])
 
 
-def intra_diversity(pair: Pair, sample_rows: int = 500, seed: int = 42) -> DataFrame:
-    """Pairwise distances inside a seeded sample of the standardised augmented rows.
+def shifts_of(n: int, shifts: int, seed: int) -> list[int]:
+    """Distinct shifts of a ring of ``n`` rows: all when there are no more than asked for, else drawn by ``seed``."""
+    if n - 1 <= shifts:
+        return list(range(1, n))
+    return sorted({1 + math.floor(uniform_value(seed, "intra.shift", i) * (n - 1)) for i in range(shifts)})
 
-    The sample of at most ``sample_rows`` rows is part of the metric's definition; each
-    task compares its sample rows with the later ones and returns sums only.
+
+def intra_diversity(pair: Pair, shifts: int = 16, seed: int = 42) -> DataFrame:
+    """Distances between standardised augmented rows; every row takes part.
+
+    Rows stand in a ring in hashed key order; each is compared with the rows ``shifts`` drawn distances further on, by an
+    equi-join on the place in the ring. The work is linear; a table of no more rows than that is compared completely.
     """
-    sd = [pair.a_stats[c]["std_pop"] or 1.0 for c in pair.cols]
-    cols = list(pair.cols)
-    sample = fixed_sample(pair.a_keyed, min(sample_rows, pair.counts()[1]), seed, "intra")
-    held = sample.toPandas().sort_values("row_id")
-    x, ids = held[cols].to_numpy(float), held["row_id"].to_numpy()
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            d = np.sqrt(squared_distances(pdf[cols].to_numpy(float), x, tuple(sd)))
-            later = pdf["row_id"].to_numpy()[:, None] < ids[None, :]
-            for row, keep in zip(d, later):
-                got = row[keep]
-                if len(got):
-                    yield pd.DataFrame({"n": [len(got)], "s": [got.sum()], "q": [(got * got).sum()],
-                                        "lo": [got.min()], "hi": [got.max()]})
-
-    parts = sample.mapInPandas(sums, "n bigint, s double, q double, lo double, hi double")
-    row = parts.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"),
-                    F.max("hi").alias("hi")).select(
-        F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2.0)), F.lit(0.0))),
-                   F.lit(0.0)).alias("std"),
-        F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
+    n = pair.counts()[1]
+    cols = [(c, pair.a_stats[c]["std_pop"] or 1.0) for c in pair.cols]
+    mixed = pair.a_keyed.withColumn("__mix", hash_order(seed, "intra", F.col(ROW_ID)))
+    ring = materialize(row_number_global(mixed, "__mix", "__at", n_rows=n).select("__at", *[(F.col(c) / F.lit(s)).alias(c) for c, s in cols]))
+    steps = shifts_of(n, shifts, seed)
+    asked = ring.withColumn("__to", F.explode(F.array(*[(F.col("__at") + F.lit(s)) % F.lit(n) for s in steps]) if steps
+                                              else F.array().cast("array<bigint>")))
+    other = ring.select(F.col("__at").alias("__to"), *[F.col(c).alias(f"{c}__o") for c, _ in cols])
+    d = F.sqrt(sum(((F.col(c) - F.col(f"{c}__o")) * (F.col(c) - F.col(f"{c}__o")) for c, _ in cols), F.lit(0.0)))
+    row = asked.join(other, "__to").select(d.alias("d")).agg(
+        *[F.coalesce(f("d"), F.lit(0.0)).alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("lo", F.min), ("hi", F.max))])
     return single_facts(row, DIM, "intra_diversity", [
         number("mean_pairwise_distance", F.col("mean")), number("std_pairwise_distance", F.col("std")),
         number("min_pairwise_distance", F.col("lo")), number("max_pairwise_distance", F.col("hi")),

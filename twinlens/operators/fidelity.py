@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -13,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.facts import feature_facts, number, single_facts, union_all, word
-from twinlens.functions.hashing import hash_order
+from twinlens.functions.hashing import normal_value, uniform_value
 from twinlens.functions.numbers import clamp, grade
 from twinlens.functions.pvalue import exact_pvalue_udf, kolmogorov_pvalue
 from twinlens.operators.histogram import pair_histogram
 from twinlens.operators.neighbors import nearest
 from twinlens.operators.ranking import ecdf, ecdf_tagged
 from twinlens.operators.summaries import joined_stats
-from twinlens.pair import ROW_ID, Pair
+from twinlens.pair import Pair
 
 DIM = "fidelity"
 # Fixed value: default weights of the composite moment score.
@@ -53,7 +54,7 @@ def distribution_gaps(points: DataFrame, shift: dict[str, float] | None = None)
 
 
 def ks_test(pair: Pair, exact: bool = False) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov per feature; ``exact`` uses path counts for small samples."""
+    """Two-sample Kolmogorov-Smirnov per feature; ``exact`` counts paths and refuses samples too large for it."""
     gaps = distribution_gaps(ecdf(pair))
     p = exact_pvalue_udf(F.col("d"), F.col("n_o"), F.col("n_a")) if exact else kolmogorov_pvalue("d", "n_o", "n_a")
     df = gaps.withColumn("p", p)
@@ -63,51 +64,39 @@ def ks_test(pair: Pair, exact: bool = False) -> DataFrame:
                          [number("average_pvalue", F.avg("p")), number("similarity_score", F.avg("p"))])
 
 
-def fixed_sample(df: DataFrame, n: int, seed: int, stream: str) -> DataFrame:
-    """The n rows that come first in hashed key order; a top-n, not a sort."""
-    return df.orderBy(hash_order(seed, stream, F.col(ROW_ID)), ROW_ID).limit(n)
+def mmd(pair: Pair, gamma: float = 1.0, features: int = 512, seed: int = 42) -> DataFrame:
+    """Maximum mean discrepancy with an RBF kernel over all rows.
 
-
-def mmd(pair: Pair, gamma: float = 1.0, sample_rows: int = 1000, seed: int = 42) -> DataFrame:
-    """Maximum mean discrepancy with an RBF kernel on a seeded sample per side.
-
-    Both samples hold at most ``sample_rows`` rows by definition of the metric, so they
-    ride in the task closure and the kernel sums stay distributed over sample rows.
+    The kernel is written as the mean product of ``features`` random cosine features, so the squared discrepancy is the
+    mean squared difference of the sides' mean features: one pass, and a task returns one sum per side and feature. The
+    relative error of the square is about sqrt(2 / features). Columns are in original deviations.
     """
-    n = min(sample_rows, *pair.counts())
-    xs = fixed_sample(pair.o_keyed, n, seed, "mmd.o")
-    ys = fixed_sample(pair.a_keyed, n, seed, "mmd.a")
-    cols = list(pair.cols)
-    x, y = xs.select(*cols).toPandas().to_numpy(float), ys.select(*cols).toPandas().to_numpy(float)
-    sd = x.std(axis=0)
-    sd[sd == 0] = 1.0
-    x, y = x / sd, y / sd
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            z = pdf[cols].to_numpy(float) / sd
-            first = pdf["side"].to_numpy() == 0
+    cols, sd = list(pair.cols), np.array(pair.scale)
+    w = np.array([[math.sqrt(2 * gamma) * normal_value(seed, f"mmd.{c}", j) for c in cols] for j in range(features)])
+    phase = np.array([2 * math.pi * uniform_value(seed, "mmd.phase", j) for j in range(features)])
 
-            def mass(other: np.ndarray) -> np.ndarray:
-                d2 = sum((z[:, j, None] - other[None, :, j]) ** 2 for j in range(z.shape[1]))
-                return np.exp(-gamma * d2).sum(axis=1)
-
-            with_x, with_y = mass(x), mass(y)
-            yield pd.DataFrame({"xx": np.where(first, with_x, 0.0), "xy": np.where(first, with_y, 0.0),
-                                "yy": np.where(first, 0.0, with_y)})
-
-    tagged = xs.withColumn("side", F.lit(0)).unionByName(ys.withColumn("side", F.lit(1)))
-    sums = tagged.mapInPandas(kernel, "xx double, xy double, yy double").agg(
-        ((F.sum("xx") + F.sum("yy") - 2 * F.sum("xy")) / F.lit(float(n * n))).alias("m2"))
-    row = sums.select(F.sqrt(F.greatest(F.col("m2"), F.lit(0.0))).alias("m"))
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, features))
+        for pdf in batches:
+            for a in range(0, len(pdf), 4096):
+                part = pdf.iloc[a:a + 4096]
+                cosines = np.cos((part[cols].to_numpy(float) / sd) @ w.T + phase)
+                side = part["side"].to_numpy()
+                total += np.stack([cosines[side == 0].sum(axis=0), cosines[side == 1].sum(axis=0)])
+        yield pd.DataFrame({"j": np.arange(features), "o": total[0], "a": total[1]})
+
+    n_o, n_a = pair.counts()
+    gap = F.sum("o") / F.lit(float(max(1, n_o))) - F.sum("a") / F.lit(float(max(1, n_a)))
+    row = (pair.tagged().mapInPandas(sums, "j bigint, o double, a double").groupBy("j").agg(gap.alias("g"))
+           .agg(F.sqrt(F.lit(2.0) * F.avg(F.col("g") * F.col("g"))).alias("m")))
     return single_facts(row, DIM, "mmd_score", [
         number("mmd_score", F.col("m")),
         word("quality", grade(F.col("m"), [("high", "<", 0.1), ("medium", "<", 0.3)], "low"))])
 
 
-def pca_components(pair: Pair, max_components: int = 5) -> tuple[DataFrame, list[str], list[float]]:
-    """Both sides projected on the principal axes of the standardised original."""
-    k = min(max_components, len(pair.cols))
+def pca_components(pair: Pair, max_components: int | None = None) -> tuple[DataFrame, list[str], list[float]]:
+    """Both sides projected on the principal axes of the standardised original; all of them by default."""
+    k = min(max_components or len(pair.cols), len(pair.cols))
     scaled = pair.tagged().select("side", *[
         ((F.col(c) - F.lit(pair.o_stats[c]["mean"])) / F.lit(s)).alias(c) for c, s in zip(pair.cols, pair.scale)])
     vectors = VectorAssembler(inputCols=pair.cols, outputCol="features").transform(scaled)
@@ -119,7 +108,7 @@ def pca_components(pair: Pair, max_components: int = 5) -> tuple[DataFrame, list
     return wide, names, [float(v) for v in model.explainedVariance.toArray()]
 
 
-def pca_similarity(pair: Pair, max_components: int = 5) -> DataFrame:
+def pca_similarity(pair: Pair, max_components: int | None = None) -> DataFrame:
     """KS p-value per principal component, and the explained variance of the fit."""
     wide, names, explained = pca_components(pair, max_components)
     points = ecdf_tagged(wide, names, sum(pair.counts()))
@@ -201,14 +190,15 @@ def js_divergence(pair: Pair) -> DataFrame:
 
 
 def attribute_sets(cols: list[str]) -> list[tuple[str, ...]]:
-    """All pairs of the first five columns, then their first five triples."""
-    head = cols[:5]
-    return list(combinations(head, 2)) + list(combinations(head, 3))[:5]
+    """All pairs of columns, and one triple of neighbouring columns starting at each (three columns have a single triple)."""
+    d = len(cols)
+    triples = [tuple(cols[(i + j) % d] for j in range(3)) for i in range(d if d > 3 else int(d == 3))]
+    return list(combinations(cols, 2)) + triples
 
 
-def q_function(pair: Pair) -> DataFrame:
-    """Nearest-original closeness of augmented rows on column pairs and triples."""
-    sets = attribute_sets(pair.cols)
+def q_function(pair: Pair, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Nearest-original closeness of augmented rows on sets of columns; every column takes part by default."""
+    sets = attribute_sets(pair.cols) if sets is None else sets
     spark = pair.orig.sparkSession
     scale = dict(zip(pair.cols, pair.scale))
     if not sets:

@@ -28,7 +28,7 @@ from twinlens.operators.ranking import (
     running_counts,
 )
 from twinlens.operators.summaries import collect_stats, feature_stats
-from twinlens.pair import numeric_columns
+from twinlens.pair import double_or_null, numeric_columns
 
 SID = "sid"  # synthetic row number
 IDX = "__idx"  # original row number
@@ -150,41 +150,56 @@ def correlated_normals(df: DataFrame, cols: list[str], low: np.ndarray, centre:
 
 
 def gaussian_mvn(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
-    """One multivariate normal with the sample mean and covariance; other columns by frequency."""
+    """One multivariate normal with the sample mean and covariance; other columns by frequency.
+
+    Null and NaN cells take no part; a column without any value stays null.
+    """
     if not t.numeric:
         return random_sampling(t, n, seed, keep_id)
-    means = [s["mean"] for s in collect_stats(t.rows, t.numeric).values()]
-    base = correlated_normals(numbered(t, n), t.numeric, _factor(covariance(t.rows, t.numeric)), means, seed)
+    values = t.rows.select(*[double_or_null(t.rows, c) for c in t.numeric])
+    means = {c: s["mean"] for c, s in collect_stats(values, t.numeric).items()}
+    cols = [c for c in t.numeric if means[c] is not None]
+    base = numbered(t, n)
+    if cols:
+        base = correlated_normals(base, cols, _factor(covariance(values, cols)), [means[c] for c in cols], seed)
+    base = base.withColumns({c: F.lit(None).cast("double") for c in t.numeric if means[c] is None})
     return finish(draw_columns(base, t, t.other, seed), t, keep_id)
 
 
 def gaussian_copula(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
-    """Normal scores, their covariance, correlated draws, and back through the empirical quantiles."""
+    """Normal scores, their covariance, correlated draws, and back through the empirical quantiles.
+
+    Null and NaN cells have no rank: every column is ranked, and drawn, over its own values. A column without any
+    value stays null.
+    """
     if not t.numeric:
         return random_sampling(t, n, seed, keep_id)
-    cols = t.numeric
-    values = t.rows.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    values = t.rows.select(*[double_or_null(t.rows, c) for c in t.numeric])
+    have = dict(zip(t.numeric, values.agg(*[F.count(F.col(c)) for c in t.numeric]).first()))
+    cols = [c for c in t.numeric if have[c]]
+    if not cols:
+        return random_sampling(t, n, seed, keep_id)
+    size = F.coalesce(*[F.when(F.col("feature") == c, F.lit(float(have[c]))) for c in cols])
     splits = bucket_splits(values, cols, t.n)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"),
                                          F.col(c + "__b").alias("bucket")) for c in cols])).alias("cell")
-    counts = (add_buckets(values, splits).select(cells).select("cell.*")
+    counts = (add_buckets(values, splits).select(cells).select("cell.*").where(F.col("value").isNotNull())
               .groupBy("feature", "bucket", "value").agg(F.count(F.lit(1)).alias("w")))
     placed = running_counts(counts, ["feature"], "bucket", "value", ["w"], not any(splits.values()))
     # ties share the mean of their ranks
-    scores = (placed.withColumn("u", (F.col("w_before") + (F.col("w") + 1) / 2) / F.lit(float(t.n + 1)))
+    scores = (placed.withColumn("u", (F.col("w_before") + (F.col("w") + 1) / 2) / (size + 1.0))
               .withColumn("z", normal_ppf("u")).select("feature", "value", "z"))
     scored = values
     for c in cols:
         one = scores.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("z").alias(f"{c}__z"))
-        scored = scored.join(one, c)
+        scored = scored.join(one, c, "left")
     low = _factor(covariance(scored, [f"{c}__z" for c in cols]))
     base = correlated_normals(numbered(t, n), cols, low, [0.0] * len(cols), seed)
-    base = base.withColumns({f"{c}__h": normal_cdf(c) * F.lit(float(t.n - 1)) for c in cols})
+    base = base.withColumns({f"{c}__h": normal_cdf(c) * F.lit(float(have[c] - 1)) for c in cols})
     ranks = base.select(SID, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), (F.floor(f"{c}__h") + shift).cast("bigint").alias("rank"),
+        F.struct(F.lit(c).alias("feature"), F.least(F.floor(f"{c}__h") + shift, F.lit(have[c] - 1)).cast("bigint").alias("rank"),
                  F.lit(shift).alias("upper"), (F.col(f"{c}__h") - F.floor(f"{c}__h")).alias("part"))
         for c in cols for shift in (0, 1)])).alias("p")).select(SID, "p.*")
-    ranks = ranks.withColumn("rank", F.least("rank", F.lit(t.n - 1)))
     found = lookup_intervals(ranks, "rank", placed.select("feature", "value", "w_before", "w_upto"),
                              "w_before", "w_upto", ["feature"])
     def at(c: str, upper: int) -> Column:
@@ -192,27 +207,35 @@ def gaussian_copula(t: Table, n: int, seed: int = 42, keep_id: bool = False) ->
 
     wide = found.groupBy(SID).agg(*[
         (at(c, 0) + (at(c, 1) - at(c, 0)) * F.max(F.when(F.col("feature") == c, F.col("part")))).alias(c) for c in cols])
+    wide = wide.withColumns({c: F.lit(None).cast("double") for c in t.numeric if not have[c]})
     return finish(draw_columns(wide, t, t.other, seed), t, keep_id)
 
 
 def dummy(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
-    """Uniform values: integers and doubles between the extremes, else over distinct values."""
+    """Uniform values: integers and doubles between the extremes, else over distinct values, a missing one included.
+
+    A numeric column without any value stays null.
+    """
     out = numbered(t, n)
-    edges = collect_stats(t.rows.select(*[F.col(c).cast("double").alias(c) for c in t.numeric]), t.numeric) if t.numeric else {}
+    edges = collect_stats(t.rows.select(*[double_or_null(t.rows, c) for c in t.numeric]), t.numeric) if t.numeric else {}
     for c in t.columns:
         u = hash_uniform(seed, f"dummy.{c}", F.col(SID))
         if c in edges:
             lo, hi = edges[c]["lo"], edges[c]["hi"]
+            if lo is None:
+                out = out.withColumn(c, F.lit(None).cast(t.type_of(c)))
+                continue
             if isinstance(t.type_of(c), T.IntegralType):
                 out = out.withColumn(c, (F.floor(u * F.lit(hi - lo + 1.0)) + F.lit(lo)).cast(t.type_of(c)))
             else:
                 out = out.withColumn(c, F.lit(lo) + u * F.lit(hi - lo))
             continue
-        kinds = t.rows.select(c).where(F.col(c).isNotNull()).distinct()
-        m = kinds.count()
-        indexed = row_number_global(kinds, c, "__pick", n_rows=m)
+        kinds = t.rows.select(c).distinct()
+        m, known = kinds.agg(F.count(F.lit(1)), F.count(F.col(c))).first()
+        indexed = row_number_global(kinds.where(F.col(c).isNotNull()), c, "__pick", n_rows=known)
+        # the missing value, if there is one, is the last number and has no row to meet
         out = (out.withColumn("__pick", hash_index(seed, f"dummy.{c}", F.col(SID), m))
-               .join(indexed, "__pick").drop("__pick"))
+               .join(indexed, "__pick", "left").drop("__pick"))
     return finish(out, t, keep_id)
 
 

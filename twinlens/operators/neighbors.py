@@ -28,6 +28,7 @@ LEAF_ROWS = 32_768
 BLOCK_ROWS = 262_144  # base rows one task indexes at most, on average
 MAX_LEAVES = 16384
 GROUP_QUERIES = 50_000
+PLACED_ROWS = 65_536  # copies of rows one frame holds at most while they are placed
 SAMPLE_ROWS = 200_000
 SAMPLE_VALUES = 4_000_000  # bound on sampled rows x columns held by the driver
 _CHUNK = 2_000_000  # matrix cells computed at once inside a task
@@ -362,7 +363,9 @@ def _placed_base(b: DataFrame, leaves: Leaves, weight: bool) -> DataFrame:
             spread = _key_hash(pdf[key]) if key else _row_hash(x)
             block = (spread % leaves.blocks[leaf].astype(np.uint64)).astype(np.int64)
             rep, salt = _expand(leaf, leaves.salts[leaf])
-            yield pdf.iloc[rep].assign(cell=_cell(leaf[rep], block[rep], salt))
+            for a in range(0, len(rep), PLACED_ROWS):
+                part = rep[a:a + PLACED_ROWS]
+                yield pdf.iloc[part].assign(cell=_cell(leaf[part], block[part], salt[a:a + PLACED_ROWS]))
 
     return b.mapInPandas(place, schema)
 
@@ -379,7 +382,9 @@ def _placed_query(q: DataFrame, leaves: Leaves, radius2: float | None, n_query_c
             who, leaf = who[rep], leaf[rep]
             h = _key_hash(pdf["qid"])
             salt = (h[who] % leaves.salts[leaf].astype(np.uint64)).astype(np.int64)
-            yield pdf.iloc[who].assign(cell=_cell(leaf, block, salt), whole=np.int64(0))
+            cell = _cell(leaf, block, salt)
+            for a in range(0, len(who), PLACED_ROWS):
+                yield pdf.iloc[who[a:a + PLACED_ROWS]].assign(cell=cell[a:a + PLACED_ROWS], whole=np.int64(0))
             if radius2 is not None:
                 spread = (h % np.uint64(n_query_cells)).astype(np.int64)
                 yield pdf.assign(cell=-1 - spread, whole=whole)
@@ -387,14 +392,25 @@ def _placed_query(q: DataFrame, leaves: Leaves, radius2: float | None, n_query_c
     return q.mapInPandas(place, schema)
 
 
+def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows without null or NaN in ``cols``; only such rows have a place and a distance."""
+    keep = F.lit(True)
+    for c in cols:
+        keep = keep & F.col(c).isNotNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            keep = keep & ~F.isnan(c)
+    return df.where(keep)
+
+
 def nearest(query: DataFrame, base: DataFrame, cols: list[str], scale: list[float], k: int, *,
             qid: str = "row_id", bid: str = "row_id", same: str | None = None, skip_self: bool = False,
             leaf_rows: int = LEAF_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(qid, bid, dist, rank): the k nearest base rows per query row, rank from 1.
 
-    Ties are ordered by base id. ``same`` restricts the search to base rows with an
+    Rows with a null or NaN coordinate are left out on both sides. Ties are ordered by base id. ``same`` restricts the search to base rows with an
     equal class; ``skip_self`` leaves out the base row whose id equals the query id.
     """
+    query, base = complete_rows(query, cols), complete_rows(base, cols)
     spec = SearchSpec(tuple(cols), tuple(float(s) for s in scale), k, same is not None, skip_self)
     codes = _class_codes(base, same) if same else None
     q = _side(query, qid, "qid", spec.cols, same, codes)
@@ -442,9 +458,10 @@ def count_within(query: DataFrame, base: DataFrame, cols: list[str], scale: list
                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(qid, n): number of base rows at most ``radius`` away from each query row.
 
-    Equal base rows are counted once and weighted; leaves that lie inside the ball
+    Rows with a null or NaN coordinate are left out on both sides. Equal base rows are counted once and weighted; leaves that lie inside the ball
     contribute their size without being visited.
     """
+    query, base = complete_rows(query, cols), complete_rows(base, cols)
     spec = SearchSpec(tuple(cols), tuple(float(s) for s in scale), 1, False, False)
     q = query.select(F.col(qid).alias("qid"), *cols)
     b = base.select(*cols)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +31,11 @@ from twinlens.operators.ranking import (
     row_number_global,
     running_counts,
 )
+from twinlens.pair import double_or_null
 from twinlens.session import materialize
 
 MAX_CATEGORIES = 2000
+MAX_CLASSES = 10_000
 # Class strategies of the editing step.
 STRATEGIES = ("auto", "all", "minority", "majority", "not minority", "not majority")
 
@@ -45,6 +47,7 @@ class Encoding:
     numeric: list[str]
     categories: dict[str, list]
     types: dict[str, T.DataType]
+    fill: dict[str, float | None] = field(default_factory=dict)  # mean of a numeric column; None: it has no value at all
 
     @property
     def blocks(self) -> dict[str, list[str]]:
@@ -56,30 +59,50 @@ class Encoding:
 
 
 def fit_encoding(t: Table, features: list[str]) -> Encoding:
-    """Collect the sorted categories; their number is checked."""
+    """Collect the sorted categories; their number is checked. A missing value is a category of its own, the last."""
     num = set(t.numeric)
     categories = {}
     for c in features:
         if c not in num:
-            values = [r[0] for r in t.rows.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()]
-            if len(values) > MAX_CATEGORIES:
+            values = [r[0] for r in t.rows.select(c).distinct().limit(MAX_CATEGORIES + 2).collect()]
+            known = sorted(v for v in values if v is not None)
+            if len(known) > MAX_CATEGORIES:
                 raise ValueError(f"column {c} has too many categories to one-hot encode")
-            categories[c] = sorted(values)
-    return Encoding([c for c in features if c in num], categories, {c: t.type_of(c) for c in features})
+            categories[c] = known + [None] * (len(known) < len(values))
+    numeric = [c for c in features if c in num]
+    return Encoding(numeric, categories, {c: t.type_of(c) for c in features}, column_means(t.rows, numeric))
+
+
+def column_means(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    if not cols:
+        return {}
+    clean = df.select(*[double_or_null(df, c) for c in cols])
+    return dict(zip(cols, clean.agg(*[F.avg(F.col(c)) for c in cols]).first()))
+
+
+def filled(df: DataFrame, means: dict[str, float | None]) -> list[Column]:
+    """Numeric columns as doubles; null and NaN become the column's mean (0 where it has no value)."""
+    clean = {c: F.col(c).cast("double") for c in means}
+    nan = {c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in means}
+    return [F.when(v.isNull() | (F.isnan(v) if nan[c] else F.lit(False)), F.lit(float(means[c] or 0.0))).otherwise(v).alias(c)
+            for c, v in clean.items()]
 
 
 def encode(df: DataFrame, e: Encoding, keep: list[str]) -> DataFrame:
     """Numeric columns as doubles and one 0/1 column per category."""
-    hot = [F.when(F.col(c) == F.lit(v), 1.0).otherwise(0.0).alias(b)
+    hot = [F.when(F.col(c).isNull() if v is None else F.col(c) == F.lit(v), 1.0).otherwise(0.0).alias(b)
            for c, values in e.categories.items() for v, b in zip(values, e.blocks[c])]
-    return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in e.numeric], *hot)
+    return df.select(*keep, *filled(df, {c: e.fill.get(c) for c in e.numeric}), *hot)
 
 
 def decode(df: DataFrame, e: Encoding, keep: list[str]) -> DataFrame:
     """Cast numbers back to their types; each block becomes its heaviest category, first on ties."""
-    cols: list[Column] = [F.col(c).cast(e.types[c]).alias(c) for c in e.numeric]
+    cols: list[Column] = [(F.lit(None) if e.fill.get(c, 0.0) is None else F.col(c)).cast(e.types[c]).alias(c) for c in e.numeric]
     for c, values in e.categories.items():
         block = e.blocks[c]
+        if not block:
+            cols.append(F.lit(None).cast(e.types[c]).alias(c))
+            continue
         top = F.greatest(*block) if len(block) > 1 else F.col(block[0])
         out = None
         for v, b in zip(values, block):
@@ -147,18 +170,32 @@ def interpolate(encoded: DataFrame, e: Encoding, label: str, label_type: T.DataT
     return mixed.select(SID, *e.columns, label).unionByName(copies)
 
 
+def checked_classes(per_class: DataFrame, label: str) -> list:
+    """The rows of a per-class table in label order; their number is checked."""
+    rows = per_class.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"column {label} has too many values to be a class label")
+    return sorted(rows, key=lambda r: (r[label] is not None, r[label]))
+
+
 def _features(t: Table) -> list[str]:
     return [c for c in t.columns if c != t.target]
 
 
 def smote(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
-    """n synthetic rows, shared out over the classes by inverse frequency."""
+    """n synthetic rows, shared out over the classes by inverse frequency.
+
+    Missing numbers count as their column's mean, missing categories as a category; rows without a class teach nothing,
+    and a table of only such rows is sampled.
+    """
     if n <= 0:
         return finish(t.rows.limit(0).withColumn(SID, F.lit(0).cast("bigint")), t, keep_id)
     e = fit_encoding(t, _features(t))
-    encoded = materialize(encode(t.rows, e, [IDX, t.target]))
-    alloc = class_allocation(encoded, t.target, n).orderBy(t.target).collect()
+    encoded = materialize(encode(t.rows.where(F.col(t.target).isNotNull()), e, [IDX, t.target]))
+    alloc = checked_classes(class_allocation(encoded, t.target, n), t.target)
     plan = [(r[0], r["n_rows"], r["n_new"]) for r in alloc]
+    if not plan:
+        return random_sampling(t, n, seed, keep_id)
     if len(plan) == 1:
         plan = [(plan[0][0], plan[0][1], n)]
         made = interpolate(encoded, e, t.target, t.type_of(t.target), plan, seed, k_max=0)
@@ -171,7 +208,7 @@ def adasyn(t: Table, n: int, seed: int = 42, label: str | None = None, pseudo_la
            keep_id: bool = False) -> DataFrame:
     """Minority rows in mixed neighbourhoods get more synthetic rows.
 
-    Numeric columns are interpolated, the others drawn by frequency. ``pseudo_label``
+    Numeric columns are interpolated (missing numbers count as their column's mean), the others drawn by frequency. ``pseudo_label``
     declares the first min(n // 10, 5) rows the minority instead of reading ``label``.
     """
     if len(t.numeric) < 2:
@@ -180,16 +217,17 @@ def adasyn(t: Table, n: int, seed: int = 42, label: str | None = None, pseudo_la
     cols = [c for c in t.numeric if pseudo_label or c != label]
     flag = F.col(IDX) < min(t.n // 10, 5) if pseudo_label else None
     if flag is None:
-        rare = t.rows.groupBy(label).count().orderBy("count", label).first()[0]
-        flag = F.col(label) == F.lit(rare)
-    x = materialize(t.rows.select(IDX, *[F.col(c).cast("double").alias(c) for c in cols],
-                                  flag.cast("int").alias("__rare")))
+        first = t.rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy("count", label).first()
+        if first is None:
+            return random_sampling(t, n, seed, keep_id)
+        flag = F.coalesce(F.col(label) == F.lit(first[0]), F.lit(False))
+    x = materialize(t.rows.select(IDX, *filled(t.rows, column_means(t.rows, cols)), flag.cast("int").alias("__rare")))
     n_rare = x.where("__rare = 1").count()
     k = min(5, t.n - 1)
     mates_k = min(k, n_rare - 1)
     want = t.n - 2 * n_rare
     if pseudo_label is False:
-        want = t.rows.groupBy(label).count().agg(F.max("count")).first()[0] - n_rare
+        want = t.rows.where(F.col(label).isNotNull()).groupBy(label).count().agg(F.max("count")).first()[0] - n_rare
     if mates_k < 1 or want < 1:
         return random_sampling(t, n, seed, keep_id)
     one = [1.0] * len(cols)
@@ -220,6 +258,7 @@ def adasyn(t: Table, n: int, seed: int = 42, label: str | None = None, pseudo_la
             .join(x.select(F.col(IDX).alias("qid"), *cols), "qid")
             .join(x.select(F.col(IDX).alias("bid"), *[F.col(c).alias(f"{c}__mate") for c in cols]), "bid"))
     mixed = step.select(SID, *[(F.col(c) + F.col("gap") * (F.col(f"{c}__mate") - F.col(c))).alias(c) for c in cols])
+    mixed = mixed.withColumns({c: F.lit(None).cast("double") for c, m in column_means(t.rows, cols).items() if m is None})
     return finish(draw_columns(mixed, t, [c for c in t.columns if c not in cols], seed), t, keep_id)
 
 
@@ -247,32 +286,35 @@ def displacement_votes(df: DataFrame, cols: list[str], label: str, k: int, kind:
 
 def edited(df: DataFrame, cols: list[str], label: str, k: int = 5, kind: str = "cd", strategy: str = "auto",
            id_col: str = IDX) -> DataFrame:
-    """Rows that survive centroid-displacement editing; the strategy spares whole classes."""
+    """Rows that survive centroid-displacement editing; the strategy spares whole classes.
+
+    Rows with a missing coordinate have no neighbourhood and stay.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    counts = [(r[0], r[1]) for r in df.groupBy(label).count().orderBy(label).collect()]
+    counts = [(r[0], r[1]) for r in checked_classes(df.groupBy(label).count(), label)]
     rare = min(counts, key=lambda c: c[1])[0]
     common = max(counts, key=lambda c: c[1])[0]
     spared = {"auto": [rare], "not minority": [rare], "not majority": [common], "all": [],
               "majority": [c for c, _ in counts if c != common], "minority": [c for c, _ in counts if c != rare]}[strategy]
     votes = displacement_votes(df, cols, label, k, kind, id_col)
-    kept = F.col("keep")
+    kept = F.coalesce("keep", F.lit(True))
     if spared:
         kept = kept | F.col(label).isin(spared)
-    return df.join(votes, id_col).where(kept).drop("keep")
+    return df.join(votes, id_col, "left").where(kept).drop("keep")
 
 
 def smote_edited(t: Table, n: int, seed: int = 42, n_neighbors: int = 5, kind_sel: str = "cd",
                  cdnn_strategy: str = "all", keep_id: bool = False) -> DataFrame:
     """Proportional oversampling, editing of originals and synthetic rows together, originals dropped."""
     e = fit_encoding(t, _features(t))
-    encoded = materialize(encode(t.rows, e, [IDX, t.target]))
-    counts = [(r[0], r[1]) for r in encoded.groupBy(t.target).count().orderBy(t.target).collect()]
-    smallest = min(c for _, c in counts)
+    encoded = materialize(encode(t.rows.where(F.col(t.target).isNotNull()), e, [IDX, t.target]))
+    counts = [(r[0], r[1]) for r in checked_classes(encoded.groupBy(t.target).count(), t.target)]
+    smallest, total = min((c for _, c in counts), default=0), sum(c for _, c in counts)
     if smallest < 2 or n <= 0:
         return smote(t, n, seed, keep_id)
     k = max(1, min(n_neighbors, smallest - 1))
-    plan = [(label, c, int(c * (1 + n / t.n)) - c) for label, c in counts]
+    plan = [(label, c, int(c * (1 + n / total)) - c) for label, c in counts]
     made = interpolate(encoded, e, t.target, t.type_of(t.target), plan, seed, k_max=k)
     grown = encoded.unionByName(made.withColumn(IDX, F.col(SID) + F.lit(t.n)).drop(SID))
     survivors = edited(materialize(grown), e.columns, t.target, k, kind_sel, cdnn_strategy)

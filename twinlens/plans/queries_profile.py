@@ -84,8 +84,14 @@ def p4(spark, sf_dir):
     return P.describe(table(spark, sf_dir, "lineitem"))
 
 
-@register("p6_column_type_shares", f"""SELECT 'numeric' AS kind, 8::BIGINT AS n, {num('800.0/11')} AS pct UNION ALL
-SELECT 'categorical', 2, {num('200.0/11')} UNION ALL SELECT 'other', 1, {num('100.0/11')}""")
+_CELLS = ("SELECT count(l_orderkey) + count(l_partkey) + count(l_suppkey) + count(l_linenumber) + count(l_quantity) + count(l_extendedprice) "
+          "+ count(l_discount) + count(l_tax) AS a, count(l_returnflag) + count(l_linestatus) AS b, count(l_shipdate) AS c FROM lineitem")
+
+
+@register("p6_column_type_shares", f"""WITH n AS ({_CELLS})
+SELECT 'numeric' AS kind, 8::BIGINT AS n, {num('800.0/11')} AS pct, a::BIGINT AS cells, {num('100.0 * a / (a + b + c)')} AS cell_pct FROM n UNION ALL
+SELECT 'categorical', 2, {num('200.0/11')}, b::BIGINT, {num('100.0 * b / (a + b + c)')} FROM n UNION ALL
+SELECT 'other', 1, {num('100.0/11')}, c::BIGINT, {num('100.0 * c / (a + b + c)')} FROM n""")
 def p6(spark, sf_dir):
     return P.column_type_shares(table(spark, sf_dir, "lineitem"))
 

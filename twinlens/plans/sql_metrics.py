@@ -21,12 +21,12 @@ def fidelity_sql(pair: str, cols: list[str]) -> dict[str, str]:
     {fact('kolmogorov_smirnov', 'k', [('statistic', 'd', 6), ('pvalue', 'p', 6), ('similar', 'p > 0.05', 'word')], 'feature')} UNION ALL
     {fact('kolmogorov_smirnov', 't', [('average_pvalue', 'p', 6), ('similarity_score', 'p', 6)])}"""
     out["f2_ks_statistic"] = f2_sql
-    size = "(SELECT least(1000, (SELECT count(*) FROM o), (SELECT count(*) FROM a)))"
-    sample = {t: f"SELECT * FROM {t} ORDER BY {S.order(42, 'mmd.' + t, 'id')}, id LIMIT {size}" for t in "oa"}
-    d2 = " + ".join(f"((l.{c} - r.{c}) / sd_{c}) * ((l.{c} - r.{c}) / sd_{c})" for c in cols)
-    f3_sql = f"""WITH {pair}, x AS ({sample['o']}), y AS ({sample['a']}), {S.scales('x', cols)},
-    m AS (SELECT sqrt(greatest(0, (SELECT avg(exp(-({d2}))) FROM x l, x r, sd) + (SELECT avg(exp(-({d2}))) FROM y l, y r, sd)
-     - 2 * (SELECT avg(exp(-({d2}))) FROM x l, y r, sd))) AS m)
+    angle = " + ".join(f"w_{c} * {c} / sd_{c}" for c in cols)
+    waves = ", ".join(f"sqrt(2.0::DOUBLE) * {S.normal(42, 'mmd.' + c, 'j')} AS w_{c}" for c in cols)
+    f3_sql = f"""WITH {pair}, {S.scales('o', cols)},
+    w AS (SELECT j, 6.283185307179586::DOUBLE * {S.uniform(42, 'mmd.phase', 'j')} AS b, {waves} FROM range(512) r(j)),
+    x AS (SELECT j, avg(cos({angle} + b)) AS v FROM o, w, sd GROUP BY j), y AS (SELECT j, avg(cos({angle} + b)) AS v FROM a, w, sd GROUP BY j),
+    m AS (SELECT sqrt(2 * avg((x.v - y.v) * (x.v - y.v))) AS m FROM x JOIN y USING (j))
     {fact('mmd_score', 'm', [('mmd_score', 'm', 6), ('quality', S.grade('m', [('high', '<', 0.1), ('medium', '<', 0.3)], 'low'), 'word')])}"""
     out["f3_mmd"] = f3_sql
     x, y = cols[:2]  # the closed form holds for two columns
@@ -113,8 +113,9 @@ def diversity_sql(pair: str, cols: list[str]) -> dict[str, str]:
     {fact('coverage', 't', [('coverage_ratio', 'c', 6), ('average_distance_to_nearest', 'm', 6),
      ('max_distance_to_nearest', 'x', 6), ('threshold_used', 'q', 6)])}"""
     out["d2_coverage"] = d2_sql
-    d4_sql = f"""WITH {pair}, {S.scales('a', cols)}, x AS (SELECT * FROM a ORDER BY {S.order(42, 'intra', 'id')}, id LIMIT 500),
-    d AS (SELECT {S.distance('l', 'r', cols, 'sd')} AS d FROM x l, x r, sd WHERE l.id < r.id),
+    d4_sql = f"""WITH {pair}, {S.scales('a', cols)}, x AS (SELECT *, row_number() OVER (ORDER BY {S.order(42, 'intra', 'id')}) - 1 AS at, count(*) OVER () AS n FROM a),
+    h AS (SELECT DISTINCT 1 + floor({S.uniform(42, 'intra.shift', 'i')} * ((SELECT count(*) FROM a) - 1))::BIGINT AS h FROM range(16) r(i)),
+    d AS (SELECT {S.distance('l', 'r', cols, 'sd')} AS d FROM x l, h, x r, sd WHERE r.at = (l.at + h.h) % l.n),
     t AS (SELECT avg(d) AS m, stddev_pop(d) AS s, min(d) AS lo, max(d) AS hi FROM d)
     {fact('intra_diversity', 't', [('mean_pairwise_distance', 'm', 6), ('std_pairwise_distance', 's', 6),
      ('min_pairwise_distance', 'lo', 6), ('max_pairwise_distance', 'hi', 6), ('diversity_score', 'm', 6)])}"""
