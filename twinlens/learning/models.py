@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_uniform
+from twinlens.session import materialize
 from twinlens.functions.numbers import sql_name
 from twinlens.operators.neighbors import nearest
 
@@ -264,13 +265,17 @@ def ridge(train, test, ctx, params):
 
 @model("ada_boost")
 def ada_boost(train, test, ctx, params):
-    """SAMME over weighted one-level trees; a round is one fit and one aggregate."""
+    """SAMME over weighted one-level trees; a round is one fit and one aggregate.
+
+    The weights of a round build on those of the round before; every ten rounds they are written, so that a lost block
+    or a plan never reaches back further.
+    """
     rounds, rate = int(params.get("n_estimators", 100)), float(params.get("learning_rate", 1.0))
     k = ctx.classes
     stages: list[tuple[float, object]] = []
     data = train.select("row_id", "label", "features").withColumn("w", F.lit(1.0)).persist()
     try:
-        for _ in range(rounds):
+        for turn in range(rounds):
             fitted = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED).fit(data)
             scored = fitted.transform(data)
             miss = (F.col("prediction") != F.col("label")).cast("double")
@@ -285,7 +290,7 @@ def ada_boost(train, test, ctx, params):
             stages.append((alpha, fitted))
             # weights are a product over rounds; scaling by the largest keeps them finite
             grown = scored.select("row_id", "label", "features", (F.col("w") * F.exp(F.lit(alpha) * (miss - 1))).alias("w"))
-            fresh = grown.persist()
+            fresh = (materialize(grown) if turn % 10 == 9 else grown).persist()
             fresh.count()
             data.unpersist()
             data = fresh
