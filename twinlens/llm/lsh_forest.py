@@ -365,7 +365,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.join(classes.select("c", "first_id"), linked["v"] == classes["c"])
     smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     found = named.join(smallest, "label").select("c", "class_id").join(counts, "c", "left")
-    every = classes.select("c", "first_id", "w").join(found, "c", "left")
+    # written, so that the join below has a shuffle on both sides and a class of very many copies can be split
+    every = materialize(classes.select("c", "first_id", "w").join(found, "c", "left"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return base.select("id", "c").join(every, "c", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "first_id", "id").alias("class_id"), F.coalesce("first_id", "id").alias("copy_of"),
