@@ -185,3 +185,26 @@ def test_exact_pvalue_by_path_counting():
     for n, m, gap in ((5, 7, 14), (10, 10, 30), (30, 50, 30), (200, 300, 30)):
         d = gap / math.lcm(n, m)
         assert exact_pvalue(d, n, m) == pytest.approx(count(d, n, m), abs=1e-10)
+
+
+@pytest.mark.parametrize("order", ["name", None])
+def test_numbering_spreads_hot_keys(spark, order):
+    from twinlens.operators.ranking import _range_buckets, row_number_global
+
+    if order:
+        df = spark.range(3000).selectExpr("concat('Customer#', lpad(id * 7919 % 3000, 9, '0')) AS name", "id % 5 AS g")
+    else:  # one row content makes up half the table
+        df = spark.range(3000).selectExpr("if(id % 2 = 0, 'same', cast(id AS string)) AS name", "id % 1 AS g")
+    cut, several = _range_buckets(df.selectExpr("*", "name AS __order" if order else "xxhash64(name, g) AS __order"), order is None, 3000, 200)
+    sizes = [r["count"] for r in cut.groupBy("__axis__b").count().collect()]
+    assert several and len(sizes) >= 12 and max(sizes) < 600
+    got = row_number_global(df, order, "n", n_rows=3000, rows_per_bucket=200).toPandas()
+    assert sorted(got["n"]) == list(range(3000))
+    if order:
+        assert (got.sort_values("name")["n"].to_numpy() == np.arange(3000)).all()
+        per = row_number_global(df, order, "n", by=["g"], n_rows=3000, rows_per_bucket=200).toPandas()
+        for _, part in per.groupby("g"):
+            assert (part.sort_values("name")["n"].to_numpy() == np.arange(len(part))).all()
+    else:
+        whole = row_number_global(df, None, "n", n_rows=3000).toPandas()
+        assert sorted(map(tuple, whole[["name", "n"]].to_numpy())) == sorted(map(tuple, got[["name", "n"]].to_numpy()))

@@ -12,9 +12,12 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from twinlens.session import materialize
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 16384
@@ -97,14 +100,6 @@ def ecdf_tagged(tagged: DataFrame, cols: list[str], n_rows: int,
     return running_counts(counts, ["feature"], "bucket", "value", ["o", "a"], not any(splits.values()))
 
 
-def _axis(df: DataFrame, order: str) -> Column:
-    """A double that never decreases along ``order``; strings use their first six bytes."""
-    if dict(df.dtypes)[order] == "string":
-        prefix = F.rpad(F.substring(F.hex(F.encode(F.col(order), "UTF-8")), 1, 12), 12, "0")
-        return F.conv(prefix, 16, 10).cast("double")
-    return F.col(order).cast("double")
-
-
 def row_number_global(df: DataFrame, order: str | None, name: str = "row_id", by: list[str] | None = None,
                       n_rows: int | None = None, rows_per_bucket: int | None = None,
                       tie: list[str] | None = None) -> DataFrame:
@@ -118,13 +113,19 @@ def row_number_global(df: DataFrame, order: str | None, name: str = "row_id", by
     by = list(by or [])
     by_hash = order is None
     base = df.withColumn("__order", F.xxhash64(*df.columns) if by_hash else F.col(order))
-    spread = base.withColumn("__axis", _axis(base, "__order"))
-    splits = bucket_splits(spread, ["__axis"], n_rows if n_rows is not None else base.count(), rows_per_bucket)
-    cut = add_buckets(spread, splits)
-    part = [*by, "__axis__b"]
+    n = n_rows if n_rows is not None else base.count()
     ties = [F.col(c) for c, t in df.dtypes if not t.startswith("map")] if by_hash else list(tie or [])
+    kind = base.schema["__order"].dataType
+    if by_hash or not isinstance(kind, T.NumericType):
+        cut, several = _range_buckets(base, by_hash, n, rows_per_bucket)
+        ties += ["__salt"] if by_hash and several else []
+    else:
+        spread = base.withColumn("__axis", F.col("__order").cast("double"))
+        splits = bucket_splits(spread, ["__axis"], n, rows_per_bucket)
+        cut, several = add_buckets(spread, splits), bool(splits["__axis"])
+    part = [*by, "__axis__b"]
     inside = W.partitionBy(*part).orderBy("__order", *ties)
-    if not splits["__axis"]:
+    if not several:
         return cut.withColumn(name, (F.row_number().over(inside) - 1).cast("bigint")).select(*df.columns, name)
     ahead = W.partitionBy(*by).orderBy("__axis__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (cut.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))  # a row per group and bucket
@@ -134,6 +135,22 @@ def row_number_global(df: DataFrame, order: str | None, name: str = "row_id", by
             .select(*df.columns, name))
 
 
+def _range_buckets(base: DataFrame, by_hash: bool, n_rows: int, rows_per_bucket: int | None) -> tuple[DataFrame, bool]:
+    """Buckets by sampled ranges of the whole key, written once so that they stay as they are.
+
+    Rows of equal content are told apart by a random number, so a content that many rows share is cut over buckets; which
+    of them gets which number is of no account.
+    """
+    buckets = min(MAX_BUCKETS, math.ceil(n_rows / (rows_per_bucket or ROWS_PER_BUCKET)))
+    if buckets < 2:
+        return base.withColumn("__axis__b", F.lit(0)), False
+    keys = ["__order"]
+    if by_hash:
+        base, keys = base.withColumn("__salt", F.rand(17)), ["__order", "__salt"]
+    ranged = base.repartitionByRange(buckets, *keys).withColumn("__axis__b", F.spark_partition_id())
+    return materialize(ranged), True
+
+
 INTERVAL_BLOCK = 256
 
 
