@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -193,8 +194,28 @@ def prepare_scenarios(orig: DataFrame, aug: DataFrame, target: str | None = None
 
 
 
+def fold_rows(name: str, scenario: str, cv: DataFrame, k: int, cv_metric: str) -> list[tuple]:
+    """Figures of every fold, their means and deviations; k rows come back."""
+    figures, out = ("accuracy", "precision", "recall", "f1"), [(name, scenario, "cv_n_folds", float(k))]
+    folds = sorted(cv.select("fold", *figures).collect(), key=lambda r: r["fold"])
+    short = cv_metric.replace("_weighted", "")
+    for m in figures:
+        values = [float(r[m]) for r in folds]
+        mean = sum(values) / len(values)
+        spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+        out += [(name, scenario, f"cv_{m}_{r['fold']}", v) for r, v in zip(folds, values)]
+        out += [(name, scenario, f"cv_{m}_mean", mean), (name, scenario, f"cv_{m}_std", spread)]
+        if m == short:
+            out += [(name, scenario, "cv_mean", mean), (name, scenario, "cv_std", spread)]
+            out += [(name, scenario, f"cv_score_{r['fold']}", v) for r, v in zip(folds, values)]
+    return out
+
+
 def evaluate(p: Prepared, configs: list[dict], use_cv: bool = False, cv_folds: int = 5, cv_metric: str = "accuracy") -> DataFrame:
-    """(model, scenario, field, value): test figures, sizes, fit seconds and fold figures.
+    """(model, scenario, field, value): test figures, sizes, fit seconds, fold figures with mean and deviation.
+
+    A model that fails in a scenario leaves one row there, field ``failed``; a failing cross-validation leaves
+    ``cv_failed`` beside the test figures. The folds of ``cv_metric`` are repeated as ``cv_score_<fold>``.
 
     ``configs`` holds {type, params, cv}. Models and scenarios are submitted from a small
     pool; the scheduler overlaps their jobs.
@@ -204,6 +225,12 @@ def evaluate(p: Prepared, configs: list[dict], use_cv: bool = False, cv_folds: i
     sizes = {s: p.trains[s].count() for s in SCENARIOS}
     n_test = p.test.count()
 
+    def guarded(job: tuple[dict, str]) -> list[tuple]:
+        try:
+            return one(job)
+        except Exception:  # noqa: BLE001 - one failing model must not stop the others
+            return [(job[0]["type"], job[1], "failed", 1.0)]
+
     def one(job: tuple[dict, str]) -> list[tuple]:
         config, scenario = job
         name, params = config["type"], config.get("params") or {}
@@ -216,18 +243,14 @@ def evaluate(p: Prepared, configs: list[dict], use_cv: bool = False, cv_folds: i
                 (name, scenario, "n_train_samples", float(sizes[scenario])), (name, scenario, "n_test_samples", float(n_test))]
         k = int(config.get("cv", cv_folds))
         if use_cv and k >= 2 and sizes[scenario] >= k:
-            cv = cross_validate(name, params, p.trains[scenario], p.features, p.classes, k)
-            stats = cv.agg(*[fn(m).alias(f"{m}_{w}") for m in ("accuracy", "precision", "recall", "f1")
-                             for w, fn in (("mean", F.avg), ("std", F.stddev_pop))]).first()
-            rows.append((name, scenario, "cv_n_folds", float(k)))
-            rows += [(name, scenario, f"cv_{f}", stats[f]) for f in stats.asDict()]
-            short = cv_metric.replace("_weighted", "")
-            if f"{short}_mean" in stats.asDict():
-                rows += [(name, scenario, "cv_mean", stats[f"{short}_mean"]), (name, scenario, "cv_std", stats[f"{short}_std"])]
+            try:
+                rows += fold_rows(name, scenario, cross_validate(name, params, p.trains[scenario], p.features, p.classes, k), k, cv_metric)
+            except Exception:  # noqa: BLE001 - the test figures stand without it
+                rows.append((name, scenario, "cv_failed", 1.0))
         return rows
 
     with ThreadPoolExecutor(3) as pool:
-        done = [row for rows in pool.map(one, jobs) for row in rows]
+        done = [row for rows in pool.map(guarded, jobs) for row in rows]
     return spark.createDataFrame(done, "model string, scenario string, field string, value double")
 
 

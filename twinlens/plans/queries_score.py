@@ -11,6 +11,7 @@ from twinlens.functions.numbers import tidy
 from twinlens.operators import diversity, fidelity, privacy
 from twinlens.operators.profile import table_counts, validate_pair
 from twinlens.plans import report, score
+from twinlens.plans.analyze import history_rows, summary_facts, validation_facts
 from twinlens.plans import sqlkit as S
 from twinlens.plans.pairs import (
     ACCOUNT_COLS,
@@ -295,6 +296,24 @@ def h1(spark, sf_dir):
     return _shown(_history(spark, sf_dir))
 
 
+@register("h8_analysis_record", f"""{SCORES}, n AS (SELECT 'parts' AS variant, (SELECT count(*) FROM part) AS o, (SELECT count(*) FROM part) AS a UNION ALL
+SELECT 'accounts', (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier))
+SELECT variant AS dataset_name, o AS original_dataset_rows, a AS augmented_dataset_rows, {S.num('fidelity')} AS fidelity_score,
+{S.num('diversity')} AS diversity_score, {S.num('privacy')} AS privacy_score, 0.0::DOUBLE AS utility_score, {S.num('overall')} AS overall_score,
+{_RATING} AS rating, TRUE AS has_summary FROM sa JOIN n USING (variant)""")
+def h8(spark, sf_dir):
+    """An analysis with its validation and summaries, stored and read back."""
+    parts = [checked_facts(spark, sf_dir)]
+    for variant, pair in (("parts", part_pair(spark, sf_dir)), ("accounts", account_pair(spark, sf_dir))):
+        parts += [f.withColumn("variant", F.lit(variant)) for f in (
+            validation_facts(pair.orig, pair.aug), summary_facts(pair.orig, "original"), summary_facts(pair.aug, "augmented"))]
+    path = _folder(spark, "history")
+    history.append_analyses(history_rows(materialize_all(parts)), path)
+    return history.read_analyses(spark, path).select(
+        "dataset_name", "original_dataset_rows", "augmented_dataset_rows", "fidelity_score", "diversity_score", "privacy_score",
+        "utility_score", "overall_score", "rating", F.get_json_object("metrics_json", "$.summary.original").isNotNull().alias("has_summary"))
+
+
 @register("h2_recent_analyses", f"WITH {_HIST_SQL} SELECT {_HIST_COLS} FROM (SELECT * FROM h ORDER BY ts DESC, id LIMIT 10)")
 def h2(spark, sf_dir):
     return _shown(history.recent(_history(spark, sf_dir), 10))

@@ -114,7 +114,8 @@ def diversity_sql(pair: str, cols: list[str]) -> dict[str, str]:
      ('max_distance_to_nearest', 'x', 6), ('threshold_used', 'q', 6)])}"""
     out["d2_coverage"] = d2_sql
     d4_sql = f"""WITH {pair}, {S.scales('a', cols)}, x AS (SELECT *, row_number() OVER (ORDER BY {S.order(42, 'intra', 'id')}) - 1 AS at, count(*) OVER () AS n FROM a),
-    h AS (SELECT DISTINCT 1 + floor({S.uniform(42, 'intra.shift', 'i')} * ((SELECT count(*) FROM a) - 1))::BIGINT AS h FROM range(16) r(i)),
+    h AS (SELECT DISTINCT CASE WHEN c <= 17 THEN i + 1 ELSE 1 + floor({S.uniform(42, 'intra.shift', 'i')} * (c - 1))::BIGINT END AS h
+     FROM range(16) r(i), (SELECT count(*) AS c FROM a) WHERE i < c - 1),
     d AS (SELECT {S.distance('l', 'r', cols, 'sd')} AS d FROM x l, h, x r, sd WHERE r.at = (l.at + h.h) % l.n),
     t AS (SELECT avg(d) AS m, stddev_pop(d) AS s, min(d) AS lo, max(d) AS hi FROM d)
     {fact('intra_diversity', 't', [('mean_pairwise_distance', 'm', 6), ('std_pairwise_distance', 's', 6),
