@@ -106,7 +106,8 @@ def test_single_column_leaves_only_q_function_empty(spark):
 
 def test_triples_of_attributes():
     sets = M.attribute_sets(["a", "b", "c", "d", "e", "f"])
-    assert len(sets) == 15 and sum(len(s) == 3 for s in sets) == 5 and all("f" not in s for s in sets)
+    assert sum(len(s) == 2 for s in sets) == 15 and sum(len(s) == 3 for s in sets) == 6
+    assert all(sum(c in s for s in sets) == 8 for c in "abcdef")  # no column is left out
 
 
 def test_shift_raises_distances(spark):
@@ -142,7 +143,9 @@ def test_whole_analysis_and_scores(spark):
 def test_no_common_numeric_column_gives_error_facts(spark):
     pair = Pair(frame(spark, x=[1.0]), frame(spark, z=[1.0]))
     got = A.analyze(pair).collect()
-    assert {r.metric for r in got} == {"fidelity", "diversity", "privacy"} and all(r.field == "error" for r in got)
+    assert {r.metric for r in got if r.field == "error"} == {"fidelity", "diversity", "privacy"}
+    assert {r.dimension for r in got if r.field != "error"} == {"validation", "summary"}
+    assert {(r.metric, r.feature) for r in got if r.dimension == "summary"} == {("original", "x"), ("augmented", "z")}
 
 
 def test_ratings_at_bounds(spark):

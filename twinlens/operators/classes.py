@@ -71,11 +71,3 @@ def within_class_bins(df: DataFrame, keys: list[str], value: str, n_rows: int, n
     entropy = F.expr(" + ".join(f"CASE WHEN {s} > 0 THEN -({s} / n) * log2({s} / n) ELSE 0D END" for s in sizes))
     distinct = F.expr(" + ".join(f"CASE WHEN {s} > 0 THEN 1 ELSE 0 END" for s in sizes))
     return cut.select(*keys, "n", distinct.alias("distinct_bins"), entropy.alias("entropy_bits"))
-
-
-def weighted_median(df: DataFrame, value: str) -> DataFrame:
-    """Exact median of a column with few distinct values, from its frequency table."""
-    table = df.groupBy(value).agg(F.count(F.lit(1)).alias("f"))
-    return table.agg(F.percentile(F.col(value), F.lit(0.5), F.col("f")).alias("median"))
-
-

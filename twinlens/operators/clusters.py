@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlens.operators.neighbors import squared_distances
-from twinlens.operators.summaries import collect_stats
 from twinlens.pair import ROW_ID, Pair
 
 BROADCAST_ROWS = 8192
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 65_536
+BLOCK_CELLS = 16_000_000  # rows times clusters of one block at most
 MAX_CLUSTERS = 2000
 
 
@@ -125,7 +125,7 @@ def silhouette(df: DataFrame, cols: list[str], broadcast_rows: int = BROADCAST_R
                 yield pdf[[ROW_ID, "label"]].assign(s=_silhouette_of(pdf, sums, sizes, pdf["label"].map(code).to_numpy()))
 
         return base.mapInPandas(score, schema)
-    blocks = -(-n // block_rows)
+    blocks = -(-n // min(block_rows, max(1, BLOCK_CELLS // k)))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     part = F.pmod(F.xxhash64(ROW_ID), F.lit(blocks)).cast("int")
     left = base.withColumn("lb", part).withColumn("rb", every)
@@ -176,7 +176,3 @@ def compactness(df: DataFrame, cols: list[str]) -> DataFrame:
     per = (long.groupBy("label").agg(F.var_pop("value").alias("v"), F.count(F.lit(1)).alias("n"))
            .where(F.col("n") > len(cols)))
     return per.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("icc"))
-
-
-def own_scale(df: DataFrame, cols: list[str]) -> dict[str, float]:
-    return {c: s["std_pop"] or 1.0 for c, s in collect_stats(df, cols).items()}

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinlens.facts import feature_facts, number, single_facts, union_all, word
@@ -161,10 +162,11 @@ def _divergences(pair: Pair) -> DataFrame:
     """(feature, kl, js) from the smoothed histograms; flat features give zero."""
     eps = F.lit(1e-10)
     h = pair_histogram(pair).select("feature", (F.col("o") + eps).alias("o"), (F.col("a") + eps).alias("a"))
-    totals = h.groupBy("feature").agg(F.sum("o").alias("so"), F.sum("a").alias("sa"))
+    per = W.partitionBy("feature")  # 50 rows a feature
+    h = h.withColumns({"so": F.sum("o").over(per), "sa": F.sum("a").over(per)})
     p, q = F.col("o") / F.col("so"), F.col("a") / F.col("sa")
     m = (p + q) / 2
-    got = h.join(totals, "feature").groupBy("feature").agg(
+    got = h.groupBy("feature").agg(
         F.sum(p * F.log(p / q)).alias("kl"),
         (F.sum(p * F.log(p / m)) / 2 + F.sum(q * F.log(q / m)) / 2).alias("js2"))
     names = pair.orig.sparkSession.createDataFrame([(c,) for c in pair.cols], "feature string")

@@ -239,11 +239,6 @@ def dummy(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
     return finish(out, t, keep_id)
 
 
-def class_counts(df: DataFrame, label: str) -> list[tuple]:
-    """(label, rows) in label order; a class label has few values."""
-    return [(r[0], r[1]) for r in df.groupBy(label).count().orderBy(label).collect()]
-
-
 def class_allocation(df: DataFrame, label: str, n: int) -> DataFrame:
     """(label, n_rows, n_new): inverse-frequency shares, rounded by largest remainder."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))

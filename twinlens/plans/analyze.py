@@ -34,9 +34,9 @@ def _error(pair: Pair, dimension: str, message: str) -> DataFrame:
         F.lit("error").alias("field"), F.lit(None).cast("double").alias("value"), F.lit(message).alias("label"))
 
 
-def _guarded(pair: Pair, dimension: str, build: Callable[[], list[DataFrame]]) -> DataFrame:
-    """Facts of a dimension, written once; a failure leaves an error fact instead."""
-    if not pair.cols:
+def _guarded(pair: Pair, dimension: str, build: Callable[[], list[DataFrame]], common: bool = True) -> DataFrame:
+    """Facts of a dimension, written once; a failure leaves an error fact instead. ``common``: it needs common columns."""
+    if common and not pair.cols:
         return _error(pair, dimension, "no common numeric column")
     try:
         return materialize_all(build())
@@ -78,7 +78,7 @@ def analyze(pair: Pair, variant: str = "main") -> DataFrame:
     parts = [_guarded(pair, "fidelity", lambda: [f(pair) for f in fidelity.METRICS.values()]),
              _guarded(pair, "diversity", diversity_parts), _guarded(pair, "privacy", privacy_parts),
              validation_facts(pair.orig, pair.aug),
-             _guarded(pair, "summary", lambda: [summary_facts(pair.orig, "original"), summary_facts(pair.aug, "augmented")])]
+             _guarded(pair, "summary", lambda: [summary_facts(pair.orig, "original"), summary_facts(pair.aug, "augmented")], common=False)]
     parts += [_guarded(pair, name, lambda fn=fn: [fn(pair)]) for name, fn in _EXTRA_METRICS.items()]
     return union_all(parts).withColumn("variant", F.lit(variant))
 

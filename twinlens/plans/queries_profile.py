@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.operators import profile as P
+from twinlens.operators.summaries import melt
 from twinlens.plans.pairs import account_pair, table
 from twinlens.plans.registry import register
 from twinlens.plans.sqlkit import num
@@ -23,6 +24,13 @@ def gappy_customers(spark, sf_dir) -> DataFrame:
                     F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("c_mktsegment"))
 
 
+@register("k3_melt", """SELECT p_partkey, 'p_size' AS feature, p_size::DOUBLE AS value FROM part UNION ALL
+SELECT p_partkey, 'p_retailprice', p_retailprice FROM part""")
+def k3(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return melt(part, ["p_size", "p_retailprice"], ["p_partkey"])
+
+
 @register("p1_validate_pair", f"""WITH n AS (SELECT (SELECT count(*) FROM customer) AS o, (SELECT count(*) FROM supplier) AS a),
 r AS (SELECT o, a, CASE WHEN o > 0 THEN a / o::DOUBLE ELSE 0 END AS ratio FROM n)
 SELECT * FROM (
