@@ -24,6 +24,7 @@ from twinlens.llm.sampling import labelled_texts, remainder
 WINDOW, STRIDE = 16, 8
 _HIDDEN, _WORD, _CHAR, _GRAMS = 8, 8, 12, 1 << 15
 _EMPTY = -8.0
+_AT_ONCE = 20_000  # distinct words whose runs are held at once
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -47,6 +48,22 @@ def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         total[:, j] += np.bincount(rows, values[:, j], len(total))
 
 
+def _grams(padded: np.ndarray, s: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashed runs of 3, then of 4 bytes of each word with a mark before and after."""
+    size = length + np.maximum(length - 1, 0)
+    owner = np.repeat(np.arange(len(s)), size)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    three = k < length[owner]
+    k = np.where(three, k, k - length[owner]) - 1
+    code = np.where(three, 7, 11).astype(np.uint64)
+    for j in range(4):
+        at = k + j
+        byte = padded[s[owner] + at + 1].astype(np.uint64)
+        byte[at < 0], byte[at == length[owner]] = 1, 2
+        code = np.where((j < 3) | ~three, code * np.uint64(0x100000001B3) + byte, code)
+    return (ta.mix(code) >> np.uint64(49)).astype(np.uint16)
+
+
 class Words:
     """Distinct words of a range of texts: hashes, runs of bytes; and which word stands where."""
 
@@ -56,23 +73,11 @@ class Words:
         hashed = ta.hashes(folded, starts, ends)
         self.hash, first, self.at = np.unique(hashed, return_index=True, return_inverse=True)
         s, length = starts[first], (ends - starts)[first]
-        # runs of 3 and of 4 bytes of the word with a mark before and after
-        size = length + np.maximum(length - 1, 0)
-        self.bounds = np.concatenate([[0], np.cumsum(size)])
-        owner = np.repeat(np.arange(len(s)), size)
-        k = np.arange(self.bounds[-1]) - self.bounds[owner]
-        three = k < length[owner]
-        k = np.where(three, k, k - length[owner]) - 1
-        code = np.where(three, 7, 11).astype(np.uint64)
-        padded = np.concatenate([[0], folded, np.zeros(4, np.uint8)]).astype(np.uint64)
-        for j in range(4):
-            at = k + j
-            byte = padded[s[owner] + at + 1]
-            byte[at < 0], byte[at == length[owner]] = 1, 2
-            used = (j < 3) | ~three
-            code = np.where(used, code * np.uint64(0x100000001B3) + byte, code)
-        self.gram = (ta.mix(code) >> np.uint64(49)).astype(np.int64)
-        self.owner, self.size = owner, size
+        self.size = length + np.maximum(length - 1, 0)
+        self.bounds = np.concatenate([[0], np.cumsum(self.size)])
+        padded = np.concatenate([[0], folded, np.zeros(4, np.uint8)]).astype(np.uint8)
+        parts = [_grams(padded, s[a : a + _AT_ONCE], length[a : a + _AT_ONCE]) for a in range(0, len(s), _AT_ONCE)]
+        self.gram = np.concatenate([np.zeros(0, np.uint16), *parts])
 
     def windows(self, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Word positions (windows, WINDOW), -1 where a text ends before; text of each window."""
@@ -103,7 +108,10 @@ class Network:
         known = at < len(self.vocabulary)
         known[known] = self.vocabulary[at[known]] == words.hash[known]
         self.rows = np.where(known, at + 1, 0)
-        chars = np.add.reduceat(self.p["char"][words.gram], words.bounds[:-1], axis=0) / words.size[:, None] if len(words.hash) else np.zeros((0, _CHAR))
+        chars = np.zeros((len(words.hash), _CHAR), np.float32)
+        for a in range(0, len(chars), _AT_ONCE):  # the vectors of all runs together would be large
+            edge = words.bounds[a : a + _AT_ONCE + 1]
+            chars[a : a + _AT_ONCE] = np.add.reduceat(self.p["char"][words.gram[edge[0] : edge[-1]]], edge[:-1] - edge[0], axis=0) / words.size[a : a + _AT_ONCE, None]
         return np.concatenate([self.p["word"][self.rows], chars], axis=1).astype(np.float32)
 
     def _run(self, x: np.ndarray, live: np.ndarray, side: str, keep: list | None) -> np.ndarray:
@@ -245,7 +253,7 @@ def train(texts: list[str], labels: np.ndarray, least_texts: int = 4, windows_pe
         return None
     data, bounds = ta.utf8(pa.array(texts, pa.large_string()))
     words, n = Words(data, bounds), len(texts)
-    seen = np.unique(np.stack([words.doc, words.at], axis=1), axis=0)[:, 1]
+    seen = np.unique(words.doc * len(words.hash) + words.at) % max(1, len(words.hash))
     often = np.bincount(seen, minlength=len(words.hash)) >= least_texts
     net = Network(words.hash[often], seed)
     places, doc = words.windows(n)
