@@ -88,7 +88,8 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     best = (seen.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
             .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
             .groupBy("tokens").agg(F.max(F.struct("confidence", F.size("rule_tokens").alias("size"), "support", "label", "rule_tokens")).alias("learned")))
-    return urls.join(best, "tokens", "left")
+    # written, so that the join has a shuffle on both sides and a set of tokens of very many urls can be split
+    return urls.join(materialize(best), "tokens", "left")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = BASE_RULES, labels: DataFrame | None = None, id_col: str = "page_id",
