@@ -33,10 +33,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies."""
-    found = lsh_forest.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
+    """The document of smallest id (a null id after all others) of each group of near copies."""
+    found = lsh_forest.near_duplicates(docs, keyed=True)
+    first = found.where(F.col("row_key") == F.col("first_key")).select(F.col("doc_id").alias("__first"), F.col("row_key").alias("__key")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]) & (lsh_forest.row_key() == first["__key"]), "left_semi")
     if not docs.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])  # rows that repeat an id and its text
     return kept

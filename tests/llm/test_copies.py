@@ -55,6 +55,22 @@ def test_join_with_small_blocks_keeps_every_link(spark, odd_rows):
     assert found(docs, node_block=7, block_rows=9) == links_of(rows)
 
 
+def test_links_under_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{k}" for k in rng.integers(0, 500, 120)]
+        for copy in range(4):
+            near = list(words)
+            near[10 + 25 * copy] = f"x{copy}"
+            # null under all, under some, one id for texts of all groups, ids of their own
+            rows.append(((None, None if copy else 50 + group, 7, 100 + 4 * group + copy)[group % 4], " ".join(near)))
+    rows += [rows[0], rows[2], (None, "alone " * 9), (7, " ".join(f"z{k}" for k in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(docs) == links_of(rows)
+    assert sum(n > 2 for *_, n in found(docs)) == 50
+
+
 def test_depth_shortens_until_the_threshold_is_safe():
     assert 1 - lsh_forest.chance(0.8, 5) < 1e-4 < 1 - lsh_forest.chance(0.8, 6)
 

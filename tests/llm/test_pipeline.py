@@ -47,6 +47,17 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed} == set(final)
 
 
+def test_near_copies_go_by_row_under_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    a, b, c, alone, other = (sentence(rng, 100, [f"{x}{k}" for k in range(300)]) for x in "abcde")
+    near = lambda t: t + " tail"
+    rows = [(None, a), (None, near(a)), (None, a), (None, alone), (1, b), (9, near(b)), (9, other), (9, other), (None, c), (3, near(c))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], KINDS).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    kept_a = [t for _, t in got if t in (a, near(a))]
+    assert len(kept_a) == 1 and sorted((i or 0, t) for i, t in got if t not in kept_a) == sorted([(0, alone), (1, b), (9, other), (3, near(c))])
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], KINDS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -10,8 +10,9 @@ compared pair by pair, exactly, in blocks, each block pair returning link counts
 
 Sets inside a connected group are told by their difference to one member's set, so near copies travel as their few edits.
 
-Results for odd input: texts without words have no links and form their own class; null ids take part like others;
-repeated rows are copies; other columns are ignored; long texts are read whole.
+Results for odd input: texts without words have no links and form their own class; null ids take part like others, texts
+are fetched again by a hash of id and text, so null and repeated ids name their own text; repeated rows are copies; other
+columns are ignored; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm import textarrays as ta
@@ -72,8 +73,13 @@ def _signatures(found: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Hash of id and text: never null, and the same for rows that repeat both."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, c, n, sig): class key, set size and signature of each text; c and sig null for texts without words."""
+    """(id, row_key, c, n, sig): row key, class key, set size and signature of each text; c and sig null for texts without words."""
 
     def one(data: np.ndarray, bounds: np.ndarray) -> tuple:
         found, owner = shingles(data, bounds, size)
@@ -82,14 +88,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ta.rows(batches):
-            parts = ta.per_span(one, batch.column(1))
+            parts = ta.per_span(one, batch.column(2))
             n, key = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
             sig = iter(np.concatenate([p[2] for p in parts]) if parts else ())
             bits = [next(sig).tobytes() if m else None for m in n]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, mask=n == 0), pa.array(n), pa.array(bits, pa.binary())], ["id", "c", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, mask=n == 0), pa.array(n), pa.array(bits, pa.binary())], ["id", "row_key", "c", "n", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, c long, n long, sig binary")
+    return docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(run, f"id {kind}, row_key long, c long, n long, sig binary")
 
 
 def _node_keys(classes: DataFrame, depth: int) -> DataFrame:
@@ -181,7 +187,7 @@ def candidate_groups(classes: DataFrame, threshold: float, target: float, most_l
         depth -= 1
 
 
-def _set_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def _set_rows(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """(c, n, items): class key and shingle set of each text that has words."""
 
     def one(data: np.ndarray, bounds: np.ndarray) -> list:
@@ -343,31 +349,37 @@ def _verified(groups: DataFrame, threshold: float, block_rows: int, block_items:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
                     target: float = 0.9999, most_loss: float = 1e-4, node_block: int = 16_384, block_rows: int = 4096,
-                    block_items: int = 2_000_000) -> DataFrame:
+                    block_items: int = 2_000_000, keyed: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, class_id, copy_of, n_copies, n_links, n_text_links.
 
     ``class_id`` is the smallest id of the documents connected by links, ``copy_of`` the smallest id with the same shingle
     set, ``n_copies`` how many rows have it, ``n_text_links`` the number of different sets of similarity ``threshold`` or
     more, ``n_links`` the number of other rows that have such a set or the same one. ``docs`` is read twice.
+
+    ``keyed`` adds row_key (see there) and first_key, the row key of the class's first row: that of the smallest id, a null id
+    being larger than all, and among rows of this id of the smallest row key.
     """
     base = materialize(sketches(docs, id_col, text_col, size))
     classes = materialize(base.where(F.col("c").isNotNull()).groupBy("c").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+        F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("head"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     groups, _ = candidate_groups(classes, threshold, target, most_loss, node_block)
-    groups = materialize(groups.join(classes.select("c", "first_id", "w"), "c"))
-    chosen = only_ids(docs.select(F.col(id_col).alias("first_id"), text_col), groups.select("first_id"), "first_id")
-    sets = _set_rows(chosen, "first_id", text_col, size).dropDuplicates(["c"])
+    groups = materialize(groups.join(classes.select("c", F.col("head.row_key").alias("row_key"), "w"), "c"))
+    chosen = only_ids(docs.select(row_key(id_col, text_col).alias("row_key"), text_col), groups.select("row_key"), "row_key")
+    sets = _set_rows(chosen, text_col, size).dropDuplicates(["c"])
     members = materialize(sets.join(groups, "c"))
     bases = members.where(F.col("c") == F.col("label")).select("label", F.col("items").alias("base"))
     checked = materialize(_verified(materialize(_encoded(members.join(bases, "label"))), threshold, block_rows, block_items))
     counts = checked.where(F.col("texts").isNotNull()).groupBy("c").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     linked = components(checked.where(F.col("other").isNotNull()).select(F.col("c").alias("a"), F.col("other").alias("b")))
-    named = linked.join(classes.select("c", "first_id"), linked["v"] == classes["c"])
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    found = named.join(smallest, "label").select("c", "class_id").join(counts, "c", "left")
+    named = linked.join(classes.select("c", "head"), linked["v"] == classes["c"])
+    smallest = named.groupBy("label").agg(F.min("head").alias("class_head"))
+    found = named.join(smallest, "label").select("c", "class_head").join(counts, "c", "left")
     # written, so that the join below has a shuffle on both sides and a class of very many copies can be split
-    every = materialize(classes.select("c", "first_id", "w").join(found, "c", "left"))
+    every = materialize(classes.select("c", "head", "w").join(found, "c", "left").select(
+        "c", "w", "texts", "docs", F.col("head.id").alias("first_id"), F.coalesce("class_head", "head")["id"].alias("class_id"),
+        F.coalesce("class_head", "head")["row_key"].alias("first_key")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return base.select("id", "c").join(every, "c", "left").select(
+    keys = [F.col("row_key"), F.coalesce("first_key", "row_key").alias("first_key")] if keyed else []
+    return base.select("id", "row_key", "c").join(every, "c", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "first_id", "id").alias("class_id"), F.coalesce("first_id", "id").alias("copy_of"),
-        F.coalesce("w", F.lit(1)).alias("n_copies"), (zero("docs") + F.coalesce("w", F.lit(1)) - 1).alias("n_links"), zero("texts").alias("n_text_links"))
+        F.coalesce("w", F.lit(1)).alias("n_copies"), (zero("docs") + F.coalesce("w", F.lit(1)) - 1).alias("n_links"), zero("texts").alias("n_text_links"), *keys)
