@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of ``documents``. Null and empty texts pass the toxicity stage and go in
-the language stage, which keeps only texts with a language; repeated rows are near copies of each other and one stays.
+the language stage, which keeps only texts with a letter; repeated rows are near copies of each other and one stays.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without any letter go."""
+    """Documents in a language: those without any letter go, whether or not a label could be learned."""
     model = language.fit(docs)
-    named = language.predict(docs, model, carried=docs.columns, lang_out="__language", score_out="__score")
-    return named.where(F.col("__language") != "und").select(*docs.columns)
+    named = language.predict(docs, model, carried=docs.columns, lang_out="__language", score_out="__score", letter_out="__letter")
+    return named.where("__letter").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,14 @@ def test_near_copies_go_by_row_under_null_and_repeated_ids(spark):
     assert len(kept_a) == 1 and sorted((i or 0, t) for i, t in got if t not in kept_a) == sorted([(0, alone), (1, b), (9, other), (3, near(c))])
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_texts_with_letters_stay_without_a_learned_language(spark, lang):
+    texts = ["some words", "日本語", "été", "12 34 !", "", None]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t in enumerate(texts)], KINDS)
+    got = corpus_pipeline.drop_unknown_language(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 1, 2]
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], KINDS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

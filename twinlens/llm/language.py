@@ -105,21 +105,28 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 
 def predict(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", text_col: str = "text",
-            carried: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
-    """``id_col`` (or ``carried`` columns), language and score of every row. A map, no shuffle."""
+            carried: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "lang_score",
+            letter_out: str | None = None) -> DataFrame:
+    """``id_col`` (or ``carried`` columns), language and score of every row. A map, no shuffle.
+
+    ``letter_out`` adds a flag, whether the text has a letter; it does not depend on the model.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [id_col] if carried is None else list(carried)
+    added = [letter_out] if letter_out else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in ta.rows(batches):
             column = batch.column(0)
             names, score = np.full(batch.num_rows, _UNDETERMINED, object), np.zeros(batch.num_rows)
-            if model.table is not None or model.labels:
+            letter = np.zeros(batch.num_rows, bool)
+            if model.labels or letter_out:
                 data, bounds = ta.utf8(column)
                 letter = ta.totals((_LETTERS[data] != 32) & (data < 128), bounds) > 0
                 for i in np.flatnonzero(~letter):
                     letter[i] = bool(_ANY_LETTER.search(column[i].as_py() or ""))
+            if model.labels:
                 if model.table is None:
                     names[letter], score[letter] = model.labels[0], 1.0
                 else:
@@ -127,10 +134,11 @@ def predict(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", te
                     best = got.argmax(axis=1)
                     names[letter] = np.array(model.labels, object)[best[letter]]
                     score[letter] = np.clip((got[np.arange(len(best)), best][letter] + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score)], [*kept, lang_out, score_out])
+            flag = [pa.array(letter)] if letter_out else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), *flag], [*kept, lang_out, score_out, *added])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(F.col(text_col).alias("_scored"), *kept).mapInArrow(run, f"{schema}, {lang_out} string, {score_out} double")
+    return docs.select(F.col(text_col).alias("_scored"), *kept).mapInArrow(run, f"{schema}, {lang_out} string, {score_out} double" + "".join(f", {c} boolean" for c in added))
 
 
 def identify(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_label: int = 250,
