@@ -145,6 +145,16 @@ def test_windows_overlap_and_cover_every_word():
     assert (doc == 3).sum() == 1 and (doc == 4).sum() == 2 and (doc == 1).sum() == 0
 
 
+def test_score_is_that_of_the_worst_window_at_any_offset():
+    import random
+
+    words = sentence(random.Random(3), 70).split()
+    net = toxicity.Network(np.zeros(0, np.uint64), 3)
+    score = lambda texts: net.score(*textarrays.utf8(pa.array(texts, pa.large_string())))
+    every = score([" ".join(words[k : k + toxicity.WINDOW]) for k in range(70 - toxicity.WINDOW + 1)])
+    assert np.argmax(every) % toxicity.STRIDE and abs(score([" ".join(words)])[0] - every.max()) < 1e-6
+
+
 def test_toxicity(spark, odd):
     import random
 

@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters by its own vector (words seen in enough training texts) beside the mean of the vectors of its runs of three
-and four characters (hashed), so forms that were never seen are known by their stems. All windows of ``WINDOW`` words, each overlapping the next by half, are scored; a text's logit is its largest window's,
-calibrated on the training texts. Training (backpropagation through time, Adam) uses a bounded sample of labelled texts: at
+and four characters (hashed), so forms that were never seen are known by their stems. All windows of ``WINDOW`` words, one from
+every word on, are scored; a text's logit is its largest window's, calibrated on the training texts. Training
+(backpropagation through time, Adam) uses a bounded sample of labelled texts and every ``STRIDE``-th of their windows: at
 first every window bears its text's label, then toxic texts are represented by their highest windows.
 
 Results for odd input: texts that are null or have no word get the score of the lowest logit (near 0); repeated rows give
@@ -64,6 +65,11 @@ def _grams(padded: np.ndarray, s: np.ndarray, length: np.ndarray) -> np.ndarray:
     return (ta.mix(code) >> np.uint64(49)).astype(np.uint16)
 
 
+def _places(first: np.ndarray, left: np.ndarray) -> np.ndarray:
+    k = np.arange(WINDOW)
+    return np.where(k < left[:, None], first[:, None] + k, -1)
+
+
 class Words:
     """Distinct words of a range of texts: hashes, runs of bytes; and which word stands where."""
 
@@ -79,15 +85,19 @@ class Words:
         parts = [_grams(padded, s[a : a + _AT_ONCE], length[a : a + _AT_ONCE]) for a in range(0, len(s), _AT_ONCE)]
         self.gram = np.concatenate([np.zeros(0, np.uint16), *parts])
 
-    def windows(self, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word positions (windows, WINDOW), -1 where a text ends before; text of each window."""
+    def starts(self, n_docs: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word position of each window, words of its text from there on, and its text."""
         count = np.bincount(self.doc, minlength=n_docs)
         begin = np.concatenate([[0], np.cumsum(count)])[:-1]
-        number = np.where(count > 0, np.maximum(1, -(-(count - (WINDOW - STRIDE)) // STRIDE)), 0)
+        number = np.where(count > 0, np.maximum(1, -(-(count - (WINDOW - stride)) // stride)), 0)
         doc = np.repeat(np.arange(n_docs), number)
         nth = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(number)])[:-1], number)
-        offset = (nth * STRIDE)[:, None] + np.arange(WINDOW)
-        return np.where(offset < count[doc][:, None], begin[doc][:, None] + offset, -1), doc
+        return begin[doc] + nth * stride, count[doc] - nth * stride, doc
+
+    def windows(self, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word positions (windows, WINDOW) of every STRIDE-th window, -1 where a text ends before; text of each window."""
+        first, left, doc = self.starts(n_docs, STRIDE)
+        return _places(first, left), doc
 
 
 class Network:
@@ -226,13 +236,19 @@ class Network:
         got = [self.forward(projected, index[a : a + 2048]) for a in range(0, len(index), 2048)]
         return np.concatenate([np.zeros(0, np.float32), *got]), doc, index
 
+    def largest(self, words: Words, n_docs: int) -> np.ndarray:
+        """Largest logit over all windows of every text; windows are laid out some at a time."""
+        best, projected = np.full(n_docs, _EMPTY), self.project(self.inputs(words))
+        first, left, doc = words.starts(n_docs, 1)
+        for a in range(0, len(doc), 2048):
+            places = _places(first[a : a + 2048], left[a : a + 2048])
+            np.maximum.at(best, doc[a : a + 2048], self.forward(projected, np.where(places >= 0, words.at[places], -1)))
+        return best
+
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Score of every text, 0 to 1."""
         n = len(bounds) - 1
-        best = np.full(n, _EMPTY)
-        if len(data):
-            logit, doc, _ = self.logits(Words(data, bounds), n)
-            np.maximum.at(best, doc, logit)
+        best = self.largest(Words(data, bounds), n) if len(data) else np.full(n, _EMPTY)
         return _sigmoid(self.slope * best + self.shift)
 
 
@@ -279,9 +295,7 @@ def train(texts: list[str], labels: np.ndarray, least_texts: int = 4, windows_pe
         y = labels[doc[rows]]
         weight = np.where(y == 1, (y == 0).sum() / max(1, y.sum()), 1.0)
         net.train(words, index[rows], y, np.minimum(weight, 20), epochs=2, rate=0.005, seed=seed + 1 + turn)
-    logit, _, _ = net.logits(words, n)
-    top = np.full(n, _EMPTY)
-    np.maximum.at(top, doc, logit)
+    top = net.largest(words, n)
     slope, shift = 1.0, 0.0
     x = np.clip(top, _EMPTY, -_EMPTY)
     for _ in range(200):  # logistic calibration, damped Newton steps
