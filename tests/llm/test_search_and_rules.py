@@ -100,3 +100,23 @@ def test_inverted_index_finds_what_brute_force_finds(spark):
         assert (r.learned is None) == (not fits)
         if fits:
             assert r.learned.confidence == max(k[2] for k in fits)
+
+
+def test_top_k_keeps_vectors_with_large_components(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 3, (40, 3)) * np.where(np.arange(40) % 3 == 0, 1e6, 1)[:, None]
+    x[5, 0], x[10, 2] = 3e7, -5e6
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = np.floor(256 * x).astype(np.int64).tolist()
+    want = []
+    for i in range(0, 40, 5):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(40) if j != i)[:4]
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    for size in (7, 100):
+        assert sorted(map(tuple, bit_sliced.top_k(docs, 5, 4, block_rows=size).collect())) == want
+
+
+def test_top_k_names_a_score_beyond_64_bits(spark):
+    docs = spark.createDataFrame([(0, [2e9, 2e9]), (1, [2e9, 1e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        bit_sliced.top_k(docs, 1, 1, scale=256.0 * 64).collect()

@@ -5,8 +5,8 @@ the slices of all attributes are added with bitmap arithmetic (carry-save adders
 attribute's slices, a negative weight takes their complement), which yields the slices of every row's score. The top rows
 are selected from the most significant slice downward; rows that tie at the boundary are resolved exactly, by id.
 
-Results for odd input: vectors that are null or empty, hold a null, NaN or infinite component, or one that leaves 31 bits
-when quantised, and rows without id take no part; a query meets vectors of its own length only; rows that repeat an id
+Results for odd input: vectors that are null or empty, hold a null, NaN or infinite component, and rows without id take no
+part; a component that leaves 62 bits when quantised, or a best score that leaves 64 bits, is an error; a query meets vectors of its own length only; rows that repeat an id
 count each by itself, but never against a query of that id; other columns are ignored.
 """
 
@@ -90,7 +90,13 @@ class BitSlicedIndex:
                 break
         rows = self._rows(sure)
         rows = np.concatenate([rows, self._rows(maybe)[: max(0, k - len(rows))]])
-        return self.ids[rows], self.values[rows] @ query
+        found = self.values[rows]
+        if (np.abs(found).astype(float) @ np.abs(query).astype(float) >= 2.0**62).any():  # 64 bits might not hold it
+            exact = [sum(a * b for a, b in zip(row, query.tolist())) for row in found.tolist()]
+            if any(abs(x) >= 2**63 for x in exact):
+                raise ValueError(f"a score of query {query_id} leaves 64 bits; lower the scale")
+            return self.ids[rows], np.array(exact, np.int64)
+        return self.ids[rows], found @ query
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
         words = np.flatnonzero(bitmap)
@@ -101,10 +107,12 @@ class BitSlicedIndex:
 
 def quantised(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): floor(scale * x) of every usable vector."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    usable = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0**30 / scale))
+    large = F.raise_error(F.lit(f"a component leaves 62 bits at scale {scale}; lower the scale")).cast("long")
+    number = lambda x: F.lit(float(scale)) * x.cast("double")
+    v = F.transform(F.col(vector_col), lambda x: F.when(F.abs(number(x)) < 2.0**62, F.floor(number(x))).otherwise(large))
+    usable = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return (vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & usable)
-            .select(F.col(id_col).cast("long").alias("id"), v.cast("array<int>").alias("v")))
+            .select(F.col(id_col).cast("long").alias("id"), v.alias("v")))
 
 
 def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id",
