@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlens.llm import bit_sliced, bwt_dedup, byte_bpe, language, licenses, lsh_forest, packing, quality, toxicity, url_rules
+from twinlens.llm import bit_sliced, bwt_dedup, byte_bpe, language, licenses, lsh_forest, packing, quality, simhash_trie, threshold_mining, toxicity, url_rules, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,63 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return threshold_mining.hard_negatives(noisy, F.col("vec_id") % 100 == 0)
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLES["op11_hard_negatives"] = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+c AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM r),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(sum(a.x * b.x) AS BIGINT) AS score
+      FROM c a JOIN c b ON a.pos = b.pos AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Training and coding round by round: x holds part vectors, b0, b1, ... the codebooks, n0, n1, ... the nearest entries."""
+    steps = [f"""r AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+                 row_number() OVER (ORDER BY vec_id) AS nr FROM embeddings WHERE {_USABLE}),
+x AS MATERIALIZED (SELECT vec_id, nr, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS x FROM r, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, nr - 1 AS e, x AS b FROM x WHERE nr <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""n{k} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min((d, e))[1] AS d, min((d, e))[2] AS e FROM (
+  SELECT x.*, b.e, CAST(list_sum(list_transform(list_zip(x.x, b.b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM x JOIN b{k} b USING (p)) GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT p, e, list(m ORDER BY pos) AS b FROM (
+  SELECT p, e, pos, CAST(floor(sum(c) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m
+  FROM (SELECT p, e, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM n{k}) GROUP BY ALL) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.b, o.b) AS b FROM b{k} o LEFT JOIN m{k} m USING (p, e))""")
+    return f"""WITH {", ".join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(w AS VARCHAR), ',' ORDER BY p, e, pos)) AS h FROM (SELECT p, e, unnest(b) AS w, generate_subscripts(b, 1) AS pos FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM c JOIN r USING (vec_id), h"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
