@@ -208,3 +208,66 @@ def test_numbering_spreads_hot_keys(spark, order):
     else:
         whole = row_number_global(df, None, "n", n_rows=3000).toPandas()
         assert sorted(map(tuple, whole[["name", "n"]].to_numpy())) == sorted(map(tuple, got[["name", "n"]].to_numpy()))
+
+
+def mixed_rows(n: int, seed: int, kinds: int) -> pd.DataFrame:
+    """Rows with two numbers and two categorical points, a third of them between two categories."""
+    rng = np.random.default_rng(seed)
+    out = pd.DataFrame({"row_id": np.arange(n), "a": rng.normal(size=n).round(1), "b": rng.normal(size=n).round(1), "y": rng.integers(0, 3, n)})
+    for c in ("u", "v"):
+        one, two = rng.integers(0, kinds, n), rng.integers(0, kinds, n)
+        w = np.where(rng.random(n) < 0.35, rng.random(n).round(2), 0.0)
+        out[c] = [(f"k{i}" if i else None, f"k{j}" if j else None, float(x)) for i, j, x in zip(one, np.where(w > 0, two, one), w)]
+    return out
+
+
+def one_hot(pdf: pd.DataFrame, kinds: int) -> np.ndarray:
+    number = lambda v: 0 if v is None else int(v[1:])
+    blocks = [pdf[["a", "b"]].to_numpy()]
+    for c in ("u", "v"):
+        block = np.zeros((len(pdf), kinds))
+        for r, (x, y, w) in enumerate(pdf[c]):
+            block[r, number(x)] += 1 - w
+            block[r, number(y)] += w
+        blocks.append(block)
+    return np.hstack(blocks)
+
+
+@pytest.mark.parametrize("path", [{}, {"broadcast_rows": 0, "leaf_rows": 60}])
+def test_categories_are_as_far_apart_as_one_hot_columns(spark, path):
+    kinds = 6
+    base, query = mixed_rows(500, 1, kinds), mixed_rows(120, 2, kinds)
+    schema = "row_id long, a double, b double, y int, u struct<a:string,b:string,w:double>, v struct<a:string,b:string,w:double>"
+    frames = [spark.createDataFrame([tuple(r) for r in p.itertuples(index=False)], schema) for p in (query, base)]
+    for same in (None, "y"):
+        got = N.nearest(*frames, ["a", "b"], [1.0, 1.0], 4, cats=["u", "v"], same=same, **path).toPandas().sort_values(["qid", "rank"])
+        d = np.sqrt(((one_hot(query, kinds)[:, None] - one_hot(base, kinds)[None]) ** 2).sum(axis=2))
+        if same:
+            d[query.y.to_numpy()[:, None] != base.y.to_numpy()[None]] = np.inf
+        assert np.allclose(got.dist.to_numpy().reshape(-1, 4), np.sort(d, axis=1)[:, :4], atol=1e-6)
+        chosen = d[got.qid.to_numpy(), got.bid.to_numpy()]
+        assert np.allclose(chosen, got.dist, atol=1e-6)
+
+
+def test_pivots_leave_few_leaves_to_visit_in_eight_dimensions(spark):
+    """Gathered points of eight dimensions: the second pass visits under a third of the leaves, and the join stays exact."""
+    rng = np.random.default_rng(12)
+    cols = [f"x{i}" for i in range(8)]
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 8000)] * 2 + rng.normal(size=(8000, 8)) * 0.5
+    pdf = pd.DataFrame(x, columns=cols)
+    pdf["row_id"] = np.arange(len(pdf))
+    base, query = spark.createDataFrame(pdf), spark.createDataFrame(pdf.iloc[::20])
+    got = N.nearest(query, base, cols, [1.0] * 8, 3, skip_self=True, broadcast_rows=0, leaf_rows=100).toPandas().sort_values(["qid", "rank"])
+    d = ((x[::20, None] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(400), np.arange(0, 8000, 20)] = np.inf
+    assert (got.bid.to_numpy().reshape(-1, 3) == np.argsort(d, axis=1)[:, :3]).all()
+    spec = N.SearchSpec(tuple(cols), (1.0,) * 8, 3, False, True)
+    lean = N.lean_base(spec, N._side(base, "row_id", "bid", spec, None))
+    leaves = N._plan_leaves(spec, lean, 8000, 100)
+    first = N.home_pass(spec, N._side(query, "row_id", "qid", spec, None), lean, leaves).toPandas()
+    assert leaves.n > 40 and len(first) == 400
+    visited = {}
+    for name, pivots in (("pivots", leaves.pivots), ("boxes", leaves.pivots[:0])):
+        leaves.pivots = pivots
+        visited[name] = len(N._elsewhere(leaves, first)[0]) / (len(first) * leaves.n)
+    assert visited["pivots"] < 1 / 3 and visited["pivots"] <= visited["boxes"]

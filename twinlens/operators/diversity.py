@@ -44,7 +44,7 @@ def coverage(pair: Pair, threshold: float | None = None) -> DataFrame:
 
     The default threshold is the 90th percentile of those very distances.
     """
-    found = materialize(nearest(pair.o_keyed, pair.a_keyed, pair.cols, pair.scale, 1).select("dist"))
+    found = materialize(nearest(pair.o_keyed, pair.a_keyed, pair.cols, pair.scale, 1, n_base=pair.counts()[1]).select("dist"))
     if threshold is None:
         threshold = exact_quantiles(found, ["dist"], [0.9], {"dist": pair.counts()[0]})["dist"][0]
     t = F.lit(threshold)

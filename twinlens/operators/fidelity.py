@@ -19,7 +19,7 @@ from twinlens.functions.hashing import normal_value, uniform_value
 from twinlens.functions.numbers import clamp, grade
 from twinlens.functions.pvalue import exact_pvalue_udf, kolmogorov_pvalue
 from twinlens.operators.histogram import pair_histogram
-from twinlens.operators.neighbors import nearest
+from twinlens.operators.neighbors import mean_nearest
 from twinlens.operators.ranking import ecdf, ecdf_tagged
 from twinlens.operators.summaries import joined_stats
 from twinlens.pair import Pair
@@ -206,11 +206,9 @@ def q_function(pair: Pair, sets: list[tuple[str, ...]] | None = None) -> DataFra
     if not sets:
         empty = spark.range(1).select(F.lit(None).cast("double").alias("q"))
         return single_facts(empty, DIM, "q_function", [number("q_score", F.col("q"))])
-    parts = []
-    for names in sets:
-        found = nearest(pair.a_keyed, pair.o_keyed, list(names), [scale[c] for c in names], 1)
-        parts.append(found.agg(F.avg("dist").alias("m")).select(
-            F.lit("+".join(names)).alias("feature"), (1 / (1 + F.col("m"))).alias("q")))
+    means = union_all(mean_nearest(pair.a_keyed, pair.o_keyed, sets, scale, n_base=pair.counts()[0]))
+    names = F.element_at(F.array(*[F.lit("+".join(s)) for s in sets]), F.col("at") + 1)
+    parts = [means.select(names.alias("feature"), (1 / (1 + F.col("m"))).alias("q"))]
     return feature_facts(union_all(parts), DIM, "q_function", [number("q", F.col("q"))], [
         number("q_score", F.avg("q")), number("privacy_score", F.avg("q")),
         number("n_combinations_tested", F.count("q")), number("min_q_score", F.min("q")),

@@ -26,7 +26,7 @@ def pair_neighbors(pair: Pair) -> DataFrame:
 
     One search serves three metrics, so the result is written once.
     """
-    return materialize(nearest(pair.a_keyed, pair.o_keyed, pair.cols, pair.scale, 2))
+    return materialize(nearest(pair.a_keyed, pair.o_keyed, pair.cols, pair.scale, 2, n_base=pair.counts()[0]))
 
 
 def nearest_neighbor_risk(neighbors: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def distance_to_closest(pair: Pair, neighbors: DataFrame, threshold: float | Non
 
 def uniqueness(pair: Pair, radius: float = 0.5) -> DataFrame:
     """1 / (1 + originals within the radius), averaged over augmented rows."""
-    counted = count_within(pair.a_keyed, pair.o_keyed, pair.cols, pair.scale, radius)
+    counted = count_within(pair.a_keyed, pair.o_keyed, pair.cols, pair.scale, radius, n_base=pair.counts()[0])
     # few distinct counts remain after this aggregate, the median is read off their frequencies
     table = counted.groupBy("n").agg(F.count(F.lit(1)).alias("f")).withColumn("u", 1.0 / (1 + F.col("n")))
     rows = F.sum("f")
