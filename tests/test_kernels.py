@@ -261,13 +261,59 @@ def test_pivots_leave_few_leaves_to_visit_in_eight_dimensions(spark):
     d = ((x[::20, None] - x[None]) ** 2).sum(axis=2)
     d[np.arange(400), np.arange(0, 8000, 20)] = np.inf
     assert (got.bid.to_numpy().reshape(-1, 3) == np.argsort(d, axis=1)[:, :3]).all()
-    spec = N.SearchSpec(tuple(cols), (1.0,) * 8, 3, False, True)
-    lean = N.lean_base(spec, N._side(base, "row_id", "bid", spec, None))
+    spec = N.search_spec([1.0] * 8, 3, skip_self=True)
+    lean = N.lean_base(spec, N._side(base, "row_id", "bid", cols, None, None))
     leaves = N._plan_leaves(spec, lean, 8000, 100)
-    first = N.home_pass(spec, N._side(query, "row_id", "qid", spec, None), lean, leaves).toPandas()
+    first = N.home_pass(spec, N._side(query, "row_id", "qid", cols, None, None), lean, leaves).toPandas()
     assert leaves.n > 40 and len(first) == 400
     visited = {}
     for name, pivots in (("pivots", leaves.pivots), ("boxes", leaves.pivots[:0])):
         leaves.pivots = pivots
         visited[name] = len(N._elsewhere(leaves, first)[0]) / (len(first) * leaves.n)
     assert visited["pivots"] < 1 / 3 and visited["pivots"] <= visited["boxes"]
+
+
+def test_silhouette_sums_few_pairs_of_separate_clusters(spark):
+    rng = np.random.default_rng(13)
+    label = rng.integers(0, 8, 1200)
+    x = rng.normal(size=(8, 3))[label] * 6 + rng.normal(size=(1200, 3))
+    pdf = pd.DataFrame({"row_id": range(1200), "label": label, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
+    df = spark.createDataFrame(pdf)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    means = np.array([d[:, label == c].sum(axis=1) for c in range(8)]).T
+    sizes = np.bincount(label)
+    own = means[np.arange(1200), label] / (sizes[label] - 1)
+    others = means / sizes
+    others[np.arange(1200), label] = np.inf
+    want = (others.min(axis=1) - own) / np.maximum(own, others.min(axis=1))
+    for path in ({}, {"broadcast_rows": 0, "block_rows": 70}):
+        got = C.silhouette(df, ["a", "b", "c"], **path).orderBy("row_id").toPandas()
+        assert np.allclose(got.s, want)
+    known = C.cluster_facts(df, ["a", "b", "c"])
+    summed = (known.wanted(x, label) * sizes[None, :]).sum()
+    assert summed < 0.5 * 1200**2
+
+
+def test_silhouette_block_salts_and_one_cluster(spark, monkeypatch):
+    monkeypatch.setattr(C, "GROUP_ROWS", 30)
+    pdf = cloud(300, 50, 4)
+    pdf["label"] = pdf.row_id % 2
+    df = spark.createDataFrame(pdf)
+    some = C.silhouette(df, ["a", "b"]).orderBy("row_id").toPandas().s
+    assert np.allclose(C.silhouette(df, ["a", "b"], broadcast_rows=0, block_rows=40).orderBy("row_id").toPandas().s, some)
+    assert {r.s for r in C.silhouette(df.withColumn("label", F.lit(1)), ["a", "b"]).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("n_clusters, block", [(7, 4096), (2500, 900)])
+def test_davies_bouldin_has_no_bound_on_clusters(spark, n_clusters, block):
+    rng = np.random.default_rng(14)
+    label = np.concatenate([np.arange(n_clusters), rng.integers(0, n_clusters, 2 * n_clusters)])
+    x = rng.normal(size=(n_clusters, 2))[label] * 20 + rng.normal(size=(len(label), 2))
+    pdf = pd.DataFrame({"label": label, "a": x[:, 0], "b": x[:, 1]})
+    centre = pdf.groupby("label")[["a", "b"]].mean().to_numpy()
+    s = np.sqrt(((x - centre[label]) ** 2).sum(axis=1))
+    s = np.bincount(label, s) / np.bincount(label)
+    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gap, np.inf)
+    want = ((s[:, None] + s[None]) / gap).max(axis=1).mean()
+    assert C.davies_bouldin(spark.createDataFrame(pdf), ["a", "b"], pair_rows=block).first()[0] == pytest.approx(want)

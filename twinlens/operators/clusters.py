@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlens.operators.neighbors import squared_distances
 from twinlens.pair import ROW_ID, Pair
+from twinlens.session import materialize
 
 BROADCAST_ROWS = 8192
-BLOCK_ROWS = 65_536
-BLOCK_CELLS = 16_000_000  # rows times clusters of one block at most
-MAX_CLUSTERS = 2000
+BLOCK_ROWS = 16_384  # rows of a cluster in one block
+GROUP_ROWS = 32_768  # rows that ask for a block in one task, on average
+PLACED_ROWS = 65_536  # copies of rows one frame holds at most while they are placed
+HOT_SHARE = 1000
+MAX_VALUES = 4_000_000  # bound on cluster facts that go to every task
 
 
 def cluster_count(n_o: int, n_a: int) -> int:
@@ -74,27 +80,57 @@ def spread(orig: DataFrame, aug: DataFrame, k: int) -> DataFrame:
         .alias("uniformity"))
 
 
-def _silhouette_of(pdf: pd.DataFrame, sums: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    rows = np.arange(len(codes))
-    own = sizes[codes]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = sums[rows, codes] / (own - 1)
-        other = sums / sizes[None, :]
-        other[rows, codes] = np.inf
-        b = other.min(axis=1)
-        s = (b - a) / np.maximum(a, b)
-    return np.where(own > 1, np.nan_to_num(s), 0.0)
-
-
-def _cluster_sums(left: np.ndarray, right: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
-    """Sum of distances from each left row to the right rows of each cluster."""
-    onehot = np.zeros((len(right), k))
-    onehot[np.arange(len(right)), codes] = 1.0
-    unit = (1.0,) * left.shape[1]
-    out = np.zeros((len(left), k))
+@dataclass(frozen=True)
+class Clusters:
+    """Size, centre and mean squared distance to the centre of every cluster."""
+
+    labels: list
+    sizes: np.ndarray
+    centres: np.ndarray
+    spread: np.ndarray
+
+    def codes(self, labels: pd.Series) -> np.ndarray:
+        return labels.map({label: i for i, label in enumerate(self.labels)}).to_numpy(dtype=np.int64)
+
+    def wanted(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Clusters whose mean distance to a row has to be known: its own, and those that can be the nearest other one.
+
+        A row's mean distance to a cluster is at least its distance to the centre, and at most the root of its mean
+        squared distance, which is known without a sum; clusters beyond the least such upper bound are out.
+        """
+        to_centre = squared_distances(x, self.centres, (1.0,) * x.shape[1])
+        rows = np.arange(len(x))
+        upper = np.sqrt(to_centre + self.spread[None, :])
+        upper[rows, own] = np.inf
+        out = np.sqrt(to_centre) <= (upper.min(axis=1) * (1 + 1e-9) + 1e-12)[:, None]
+        out[rows, own] = True
+        return out
+
+
+def cluster_facts(df: DataFrame, cols: list[str]) -> Clusters:
+    """One aggregate pass; their numbers go to every task, so they are bounded."""
+    most = MAX_VALUES // (len(cols) + 2)
+    rows = centre_table(df, cols).orderBy("label").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} clusters for a silhouette on {len(cols)} columns")
+    return Clusters([r["label"] for r in rows], np.array([r["__n"] for r in rows], dtype=float),
+                    np.array([r["__centre"] for r in rows]).reshape(len(rows), len(cols)), np.array([r["__spread"] for r in rows]))
+
+
+def centre_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(label, __n, __centre, __spread) of every cluster; one vector aggregate, however many columns there are."""
+    whole = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])))
+    n = F.col("v.count")
+    within = F.aggregate(vector_to_array("v.variance"), F.lit(0.0), lambda acc, x: acc + x) * (n - 1) / n  # of the sample, made that of all rows
+    return df.groupBy("label").agg(whole.alias("v")).select("label", n.alias("__n"), vector_to_array("v.mean").alias("__centre"), within.alias("__spread"))
+
+
+def _sums(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum of the distances from each left row to all right rows."""
+    unit, out = (1.0,) * left.shape[1], np.zeros(len(left))
     step = max(1, 2_000_000 // max(1, len(right)))
     for s in range(0, len(left), step):
-        out[s:s + step] = np.sqrt(squared_distances(left[s:s + step], right, unit)) @ onehot
+        out[s:s + step] = np.sqrt(squared_distances(left[s:s + step], right, unit)).sum(axis=1)
     return out
 
 
@@ -102,72 +138,141 @@ def silhouette(df: DataFrame, cols: list[str], broadcast_rows: int = BROADCAST_R
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row_id, label, s): exact Euclidean silhouette per row.
 
-    The definition needs the distance of every row to every other one. Above
-    ``broadcast_rows`` rows the table is cut into blocks and every pair of blocks is one
-    bounded task that returns sums per row and cluster, never the pairs themselves.
+    Distances are summed only to the row's own cluster and to those that can be its nearest other one (``Clusters.wanted``).
+    A row is sent to the blocks of these clusters, their rows stay one per block (times the salts of a cluster that very
+    many rows ask for); a block returns sums, never distances. A table of at most ``broadcast_rows`` rows travels instead.
     """
-    shares = label_shares(df).orderBy("label").limit(MAX_CLUSTERS + 1).collect()
-    if len(shares) > MAX_CLUSTERS:
-        raise ValueError("too many clusters for a silhouette")
-    labels = [r["label"] for r in shares]
-    sizes = np.array([r["n"] for r in shares], dtype=float)
-    code = {label: i for i, label in enumerate(labels)}
-    k, n = len(labels), int(sizes.sum())
+    known = cluster_facts(df, cols)
+    n = int(known.sizes.sum())
     base = df.select(F.col(ROW_ID), "label", *cols)
-    schema = T.StructType([base.schema[ROW_ID], base.schema["label"], T.StructField("s", T.DoubleType())])
+    part_schema = T.StructType([base.schema[ROW_ID], base.schema["label"], T.StructField("__c", T.IntegerType()), T.StructField("__part", T.DoubleType()), T.StructField("__own", T.BooleanType())])
+
+    def parts(pdf: pd.DataFrame, c: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+        """Shares of the mean distance to cluster ``c``; a row's own cluster counts one row less."""
+        own = known.codes(pdf["label"]) == c
+        return pdf[[ROW_ID, "label"]].assign(__c=c, __part=sums / np.maximum(known.sizes[c] - own, 1), __own=own)
+
     if n <= broadcast_rows:
         small = base.toPandas()
-        sx, sc = small[cols].to_numpy(float), small["label"].map(code).to_numpy()
+        of = known.codes(small["label"])
+        members = [small.loc[of == c, cols].to_numpy(float) for c in range(len(known.labels))]
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                sums = _cluster_sums(pdf[cols].to_numpy(float), sx, sc, k)
-                yield pdf[[ROW_ID, "label"]].assign(s=_silhouette_of(pdf, sums, sizes, pdf["label"].map(code).to_numpy()))
+                x = pdf[cols].to_numpy(float)
+                wanted = known.wanted(x, known.codes(pdf["label"]))
+                for c, right in enumerate(members):
+                    rows = np.flatnonzero(wanted[:, c])
+                    yield parts(pdf.iloc[rows], np.full(len(rows), c), _sums(x[rows], right))
+
+        found = base.mapInPandas(search, part_schema)
+    else:
+        base = materialize(base)
+        found = _searched_blocks(base, cols, known, block_rows, part_schema, parts)
+    means = found.groupBy(ROW_ID, "label", "__c", "__own").agg(F.sum("__part").alias("m"))
+    sides = means.groupBy(ROW_ID, "label").agg(F.max(F.when(F.col("__own"), F.col("m"))).alias("a"), F.min(F.when(~F.col("__own"), F.col("m"))).alias("b"))
+    # a row alone in its cluster has no mates; its silhouette is 0 by definition
+    alone = [label for label, size in zip(known.labels, known.sizes) if size == 1]
+    widest = F.greatest("a", "b")
+    s = F.when((widest > 0) & F.col("a").isNotNull() & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.nullif(widest, F.lit(0.0))).otherwise(0.0)
+    if alone:
+        lonely = df.sparkSession.createDataFrame([(x,) for x in alone], T.StructType([base.schema["label"]])).withColumn("alone", F.lit(True))
+        sides = sides.join(F.broadcast(lonely), "label", "left")  # a row per cluster, their number was checked
+        s = F.when(F.col("alone"), 0.0).otherwise(s)
+    return sides.select(ROW_ID, "label", s.alias("s"))
+
+
+def _searched_blocks(base: DataFrame, cols: list[str], known: Clusters, block_rows: int, schema: T.StructType, parts) -> DataFrame:
+    """Shares of mean distances, from blocks of cluster rows that meet the rows which want them."""
+    blocks = np.maximum(1, np.ceil(known.sizes / block_rows)).astype(np.int64)
+    n = known.sizes.sum()
+    trial = base.sample(min(1.0, 5000 / n), 29).limit(10_000).toPandas()
+    load = np.zeros(len(blocks))
+    if len(trial):
+        load = known.wanted(trial[cols].to_numpy(float), known.codes(trial["label"])).sum(axis=0) * (n / len(trial))
+    salts = np.maximum(1, np.ceil(load / GROUP_ROWS)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(blocks * salts)])  # cell number of a cluster's first block and salt
+
+    def hashed(pdf: pd.DataFrame) -> np.ndarray:
+        return pd.util.hash_array(pdf[ROW_ID].to_numpy())
+
+    def spread(index: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(index, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+    ask = T.StructType([*base.schema.fields, T.StructField("__c", T.IntegerType()), T.StructField("__cell", T.LongType())])
+    stay = T.StructType([*base.schema.fields, T.StructField("__cell", T.LongType())])
+
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            row, c = np.nonzero(known.wanted(pdf[cols].to_numpy(float), known.codes(pdf["label"])))
+            salt = (hashed(pdf)[row] % salts[c].astype(np.uint64)).astype(np.int64)
+            at, block = spread(np.arange(len(row)), blocks[c])
+            for a in range(0, len(at), PLACED_ROWS):
+                some, which = at[a:a + PLACED_ROWS], block[a:a + PLACED_ROWS]
+                yield pdf.iloc[row[some]].assign(__c=c[some], __cell=first[c[some]] + which * salts[c[some]] + salt[some])
+
+    def stays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            c = known.codes(pdf["label"])
+            block = ((hashed(pdf) >> np.uint64(20)) % blocks[c].astype(np.uint64)).astype(np.int64)
+            at, salt = spread(np.arange(len(pdf)), salts[c])
+            for a in range(0, len(at), PLACED_ROWS):
+                some = at[a:a + PLACED_ROWS]
+                yield pdf.iloc[some].assign(__cell=first[c[some]] + block[some] * salts[c[some]] + salt[a:a + PLACED_ROWS])
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return parts(left, left["__c"].to_numpy(dtype=np.int64), _sums(left[cols].to_numpy(float), right[cols].to_numpy(float)))
 
-        return base.mapInPandas(score, schema)
-    blocks = -(-n // min(block_rows, max(1, BLOCK_CELLS // k)))
+    return base.mapInPandas(asks, ask).groupBy("__cell").cogroup(base.mapInPandas(stays, stay).groupBy("__cell")).applyInPandas(meet, schema)
+
+
+def davies_bouldin(df: DataFrame, cols: list[str], pair_rows: int = 4096) -> DataFrame:
+    """One row (db): mean over clusters of the worst (scatter + scatter) / centre distance.
+
+    Centres are a table. They are cut into blocks of ``pair_rows``, blocks meet pairwise in tasks, and a task returns the
+    worst ratio of every centre of its first block, so any number of clusters will do.
+    """
+    centres = materialize(centre_table(df, cols))
+    n = centres.count()
+    named = centres.select(F.col("label").alias("__of"), "__n", "__centre")
+    if n * (len(cols) + 2) <= MAX_VALUES:
+        near = df.join(F.broadcast(named), df["label"].eqNullSafe(named["__of"]))
+    else:
+        df = materialize(df.select("label", *cols))
+        hot = F.col("__n") * HOT_SHARE >= F.lit(centres.agg(F.sum("__n")).first()[0])
+        few, rest = F.broadcast(named.where(hot)), named.where(~hot)  # HOT_SHARE clusters at most
+        match = lambda f: df["label"].eqNullSafe(f["__of"])
+        near = df.join(few, match(few)).unionByName(df.join(few.select("__of"), match(few), "left_anti").join(rest, match(rest)))
+    square = F.zip_with(F.array(*cols), "__centre", lambda x, y: (x - y) * (x - y))
+    own = F.sqrt(F.aggregate(square, F.lit(0.0), lambda acc, x: acc + x))
+    scatter = near.groupBy("label").agg(F.avg(own).alias("s"), F.first("__centre").alias("centre"))
+    blocks = max(1, -(-n // pair_rows))
+    part = F.pmod(F.xxhash64("centre"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    part = F.pmod(F.xxhash64(ROW_ID), F.lit(blocks)).cast("int")
-    left = base.withColumn("lb", part).withColumn("rb", every)
-    right = base.withColumn("rb", part).withColumn("lb", every)
-    sums_schema = T.StructType([base.schema[ROW_ID], base.schema["label"],
-                                T.StructField("sums", T.ArrayType(T.DoubleType()))])
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({ROW_ID: [], "label": [], "sums": []})
-        sums = _cluster_sums(a[cols].to_numpy(float), b[cols].to_numpy(float), b["label"].map(code).to_numpy(), k)
-        return a[[ROW_ID, "label"]].assign(sums=list(sums))
-
-    partial = (left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(meet, sums_schema))
-    whole = partial.groupBy(ROW_ID, "label").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(k)]).alias("sums"))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                sums = np.stack(pdf["sums"].to_list())
-                yield pdf[[ROW_ID, "label"]].assign(s=_silhouette_of(pdf, sums, sizes, pdf["label"].map(code).to_numpy()))
-
-    return whole.mapInPandas(finish, schema)
-
-
-def davies_bouldin(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row (db): mean over clusters of the worst (scatter + scatter) / centre distance."""
-    centres = df.groupBy("label").agg(F.array(*[F.avg(c) for c in cols]).alias("centre"))
-    if df.select("label").distinct().limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
-        raise ValueError("too many clusters to compare their centres")
-    near = df.join(F.broadcast(centres), "label")  # one row per cluster, their number was checked
-    own = F.sqrt(sum(((F.col(c) - F.col("centre")[i]) * (F.col(c) - F.col("centre")[i])
-                      for i, c in enumerate(cols)), F.lit(0.0)))
-    scatter = near.groupBy("label").agg(F.avg(own).alias("s"), F.first("centre").alias("centre"))
-    pool = scatter.agg(F.collect_list(F.struct("label", "s", "centre")).alias("all"))
-    pairs = pool.select(F.explode("all").alias("i"), "all").select("i", F.explode("all").alias("j"))
-    gap = F.sqrt(F.aggregate(F.zip_with("i.centre", "j.centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                             lambda acc, v: acc + v))
-    worst = (pairs.where("i.label <> j.label")
-             .withColumn("r", F.when(gap > 0, (F.col("i.s") + F.col("j.s")) / F.nullif(gap, F.lit(0.0))).otherwise(0.0))
-             .groupBy("i.label").agg(F.max("r").alias("r")))
-    return worst.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("db"))
+    points = materialize(scatter.select(F.monotonically_increasing_id().alias("i"), "s", "centre"))
+
+    def worst(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({"i": [], "r": []})
+        x, y = np.stack(left["centre"].to_list()), np.stack(right["centre"].to_list())
+        best, unit = np.full(len(x), -1.0), (1.0,) * len(cols)
+        for a in range(0, len(x), max(1, 2_000_000 // len(y))):
+            some = slice(a, a + max(1, 2_000_000 // len(y)))
+            gap = np.sqrt(squared_distances(x[some], y, unit))
+            both = left["s"].to_numpy()[some, None] + right["s"].to_numpy()[None, :]
+            ratio = np.divide(both, gap, out=np.zeros_like(gap), where=gap > 0)
+            ratio[left["i"].to_numpy()[some, None] == right["i"].to_numpy()[None, :]] = -1.0  # a centre with itself
+            best[some] = ratio.max(axis=1)
+        return pd.DataFrame({"i": left["i"], "r": best})
+
+    one = points.withColumns({"x": part, "y": every}).groupBy("x", "y")
+    two = points.withColumns({"x": every, "y": part}).groupBy("x", "y")
+    found = one.cogroup(two).applyInPandas(worst, "i long, r double").where(F.col("r") >= 0)
+    return found.groupBy("i").agg(F.max("r").alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("db"))
 
 
 def compactness(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -439,12 +439,18 @@ def _expand(index: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rep, np.arange(len(rep)) - first
 
 
-def _side(df: DataFrame, key: str, name: str, spec: SearchSpec, same: str | None) -> DataFrame:
-    """(name, position columns): classes and categories become hashes."""
+def search_spec(scale: list[float], k: int, same: bool = False, skip_self: bool = False, cats: list[str] | None = None) -> SearchSpec:
+    return SearchSpec(tuple(f"__x{i}" for i in range(len(scale))), tuple(float(s) for s in scale), k, same, skip_self, tuple(f"__k{i}" for i in range(len(cats or ()))))
+
+
+def _side(df: DataFrame, key: str, name: str, cols: list[str], cats: list[str] | None, same: str | None) -> DataFrame:
+    """(name, position columns) under names of their own; classes and categories become hashes."""
+    places = [F.col(c).alias(f"__x{i}") for i, c in enumerate(cols)]
     code = [F.xxhash64(same).alias("code")] if same else []
-    mixes = [x for c in spec.cats for x in (F.xxhash64(F.col(c)["a"]).alias(f"{c}__a"), F.xxhash64(F.col(c)["b"]).alias(f"{c}__b"), F.col(c)["w"].alias(f"{c}__w"))]
+    mixes = [x for i, c in enumerate(cats or ()) for x in (F.xxhash64(F.col(c)["a"]).alias(f"__k{i}__a"), F.xxhash64(F.col(c)["b"]).alias(f"__k{i}__b"),
+                                                          F.col(c)["w"].alias(f"__k{i}__w"))]
     rows = df.where(F.col(same).isNotNull()) if same else df
-    return rows.select(F.col(key).alias(name), *spec.cols, *code, *mixes)
+    return rows.select(F.col(key).alias(name), *places, *code, *mixes)
 
 
 def _plan_leaves(spec: SearchSpec, b: DataFrame, n_base: int, leaf_rows: int) -> Leaves:
@@ -578,8 +584,8 @@ def nearest(query: DataFrame, base: DataFrame, cols: list[str], scale: list[floa
     number of values.
     """
     query, base = complete_rows(query, cols), complete_rows(base, cols)
-    spec = SearchSpec(tuple(cols), tuple(float(s) for s in scale), k, same is not None, skip_self, tuple(cats or ()))
-    q, b = _side(query, qid, "qid", spec, same), _side(base, bid, "bid", spec, same)
+    spec = search_spec(scale, k, same is not None, skip_self, cats)
+    q, b = _side(query, qid, "qid", cols, cats, same), _side(base, bid, "bid", cols, cats, same)
     schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType),
                            T.StructField("bid", b.schema["bid"].dataType),
                            T.StructField("dist", T.DoubleType())])
@@ -677,13 +683,13 @@ def count_within(query: DataFrame, base: DataFrame, cols: list[str], scale: list
     contribute their size without being visited.
     """
     query, base = complete_rows(query, cols), complete_rows(base, cols)
-    spec = SearchSpec(tuple(cols), tuple(float(s) for s in scale), 1, False, False)
-    q = query.select(F.col(qid).alias("qid"), *cols)
-    b = base.select(*cols)
+    spec = search_spec(scale, 1)
+    q = _side(query, qid, "qid", cols, None, None)
+    b = base.select(*[F.col(c).alias(x) for c, x in zip(cols, spec.cols)])
     radius2 = radius * radius
     schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("n", T.LongType())])
 
-    weighted = b.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
+    weighted = b.groupBy(*spec.cols).agg(F.count(F.lit(1)).alias("w"))
     n_base = b.count() if n_base is None else n_base
     if n_base <= broadcast_rows and n_base * len(cols) <= SAMPLE_VALUES:
         small = weighted.toPandas()
