@@ -196,3 +196,60 @@ def test_neighbour_search_leaves_incomplete_rows_out(spark):
                        lambda d: count_within(d, d, ["x", "y"], [1.0, 1.0], 0.4, broadcast_rows=limit, leaf_rows=64)):
             order = lambda d: sorted(map(tuple, d.collect()))
             assert order(search(df)) == order(search(whole))
+
+
+def test_points_decode_to_the_heavier_category(spark, base):
+    e = O.Points(["age"], ["town"], {"age": base.type_of("age"), "town": base.type_of("town")})
+    rows = spark.createDataFrame([(1.9, ("Bex", "Ayr", 0.5)), (2.0, ("Ayr", "Bex", 0.9)), (3.0, ("Ayr", None, 0.4)), (4.0, (None, "Bex", 0.5)), (5.0, (None, None, 0.0))],
+                                 "age double, town struct<a:string,b:string,w:double>")
+    assert [(r.age, r.town) for r in e.decode(rows, []).collect()] == [(1, "Ayr"), (2, "Bex"), (3, "Ayr"), (4, "Bex"), (5, None)]
+    back = e.decode(e.encode(base.rows, [G.IDX]), [G.IDX])
+    assert back.exceptAll(base.rows.select(G.IDX, "age", "town")).count() == 0
+
+
+def test_editing_of_points_equals_one_hot_columns(spark):
+    rng = np.random.default_rng(18)
+    n, kinds = 140, 4
+    x, y = rng.normal(size=(n, 1)), rng.integers(0, 3, n)  # no ties, which rounding would break differently
+    one, two, w = rng.integers(0, kinds, n), rng.integers(0, kinds, n), np.where(rng.random(n) < 0.5, rng.random(n), 0.0)
+    hot = np.zeros((n, kinds))
+    np.add.at(hot, (np.arange(n), one), 1 - w)
+    np.add.at(hot, (np.arange(n), two), w)
+    rows = [(i, float(x[i, 0]), int(y[i]), (f"k{one[i]}", f"k{two[i]}", float(w[i]))) for i in range(n)]
+    df = spark.createDataFrame(rows, f"{G.IDX} long, a double, y int, u struct<a:string,b:string,w:double>")
+    got = {r[0] for r in O.edited(df, ["a"], "y", 5, "cd", "all", cats=["u"]).select(G.IDX).collect()}
+    assert got == _displacement_keep(np.hstack([x, hot]), y, 5)
+
+
+def test_thousands_of_categories(spark):
+    n = 6000
+    rng = np.random.default_rng(19)
+    pdf = pd.DataFrame({"k": np.arange(n), "v": rng.normal(size=n), "tag": [f"t{i % 5000}" for i in range(n)], "y": rng.choice(["a", "b"], n, p=[0.8, 0.2])})
+    t = G.Table(spark.createDataFrame(pdf), key="k")
+    for name in ("smote", "smotecdnn"):
+        got = G.generate(t, name, 400, 3).toPandas()
+        assert len(got) == 400 and set(got.tag) <= set(pdf.tag) and got.tag.nunique() > 100
+
+
+@pytest.mark.parametrize("n", [0, 7, 30_000, 123_457])
+def test_allocation_over_very_many_classes(spark, n):
+    sizes = np.array([1 + (i * i) % 7 for i in range(20_000)])
+    df = spark.range(20_000).selectExpr("id", "concat('c', id) AS y").join(
+        spark.createDataFrame(pd.DataFrame({"id": np.arange(20_000), "s": sizes})), "id").selectExpr("y", "explode(sequence(1, s)) AS i")
+    got = G.class_allocation(df, "y", n).toPandas()
+    labels = np.array([f"c{i}" for i in range(20_000)])
+    raw = (1.0 / sizes) / (1.0 / sizes).sum() * n
+    want = np.floor(raw).astype(int)
+    order = np.lexsort((labels, -np.round(raw - np.floor(raw), 9)))
+    want[order[: n - want.sum()]] += 1
+    assert got.set_index("y").n_new.to_dict() == dict(zip(labels, want.tolist()))
+    assert got.n_new.sum() == n
+
+
+def test_smote_over_many_classes(spark):
+    n = 4000
+    pdf = pd.DataFrame({"k": np.arange(n), "v": np.arange(n) / 7.0, "y": [f"c{i % 1300}" for i in range(n)]})
+    got = O.smote(G.Table(spark.createDataFrame(pdf), key="k"), 2000, 3).toPandas()
+    assert len(got) == 2000 and got.y.nunique() > 1200
+    span = pdf.groupby("y").v.agg(["min", "max"])
+    assert (got.v >= span["min"][got.y].to_numpy() - 1e-4).all() and (got.v <= span["max"][got.y].to_numpy() + 1e-4).all()

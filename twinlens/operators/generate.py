@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +28,7 @@ from twinlens.operators.ranking import (
 )
 from twinlens.operators.summaries import collect_stats, feature_stats
 from twinlens.pair import double_or_null, numeric_columns
+from twinlens.session import materialize
 
 SID = "sid"  # synthetic row number
 IDX = "__idx"  # original row number
@@ -240,15 +240,25 @@ def dummy(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
 
 
 def class_allocation(df: DataFrame, label: str, n: int) -> DataFrame:
-    """(label, n_rows, n_new): inverse-frequency shares, rounded by largest remainder."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
-    # a row per class: the windows below rank classes, not rows
-    raw = (F.lit(1.0) / F.col("n_rows")) / F.sum(F.lit(1.0) / F.col("n_rows")).over(W.partitionBy()) * F.lit(float(n))
-    part = counts.withColumn("raw", raw).withColumn("base", F.floor("raw"))
-    order = W.partitionBy().orderBy(F.desc(F.round(F.col("raw") - F.col("base"), 9)), label)
-    left = F.lit(n) - F.sum("base").over(W.partitionBy())
-    return (part.withColumn("extra", F.when(F.row_number().over(order) <= left, 1).otherwise(0))
-            .select(label, "n_rows", (F.col("base") + F.col("extra")).cast("bigint").alias("n_new")))
+    """(label, n_rows, n_new): inverse-frequency shares, rounded by largest remainder.
+
+    Classes stay a table: the remainder that decides comes from running counts over the distinct remainders, and only
+    classes that share it are ranked by label.
+    """
+    counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows")))
+    total, classes = counts.agg(F.sum(F.lit(1.0) / F.col("n_rows")), F.count(F.lit(1))).first()
+    raw = (F.lit(1.0) / F.col("n_rows")) / F.lit(total or 1.0) * F.lit(float(n))
+    part = counts.withColumn("__raw", raw).withColumn("__base", F.floor("__raw").cast("bigint")).withColumn("__o", -F.round(F.col("__raw") - F.col("__base"), 9))
+    left = n - (part.agg(F.sum("__base")).first()[0] or 0)
+    given = lambda f, extra: f.select(label, "n_rows", (F.col("__base") + extra.cast("bigint")).alias("n_new"))
+    if left <= 0 or left >= classes:
+        return given(part, F.lit(int(left >= classes > 0)))
+    remainders = part.groupBy("__o").agg(F.count(F.lit(1)).alias("m"))
+    splits = bucket_splits(remainders, ["__o"], classes)
+    placed = running_counts(add_buckets(remainders, splits).withColumn("one", F.lit(1)), ["one"], "__o__b", "__o", ["m"], not splits["__o"])
+    last = placed.where(F.col("m_upto") >= left).orderBy("__o").select("__o", "m", "m_before").first()
+    tied = row_number_global(part.where(F.col("__o") == last["__o"]), label, "__r", n_rows=last["m"])
+    return given(part.where(F.col("__o") != last["__o"]), F.col("__o") < last["__o"]).unionByName(given(tied, F.col("__r") < left - last["m_before"]))
 
 
 def exact_rows(df: DataFrame, cols: list[str], n: int, seed: int = 42, id_col: str = SID) -> DataFrame:

@@ -34,8 +34,7 @@ from twinlens.operators.ranking import (
 from twinlens.pair import double_or_null
 from twinlens.session import materialize
 
-MAX_CATEGORIES = 2000
-MAX_CLASSES = 10_000
+MAX_CATEGORIES = 2000  # of the form with one column per category; points have no bound
 # Class strategies of the editing step.
 STRATEGIES = ("auto", "all", "minority", "majority", "not minority", "not majority")
 
@@ -112,72 +111,111 @@ def decode(df: DataFrame, e: Encoding, keep: list[str]) -> DataFrame:
     return df.select(*keep, *cols)
 
 
-def _starts(plan: list[tuple]) -> list[tuple]:
-    """(label, rows, new, first synthetic number) of classes that get rows."""
-    out, at = [], 0
-    for label, have, new in plan:
-        if new > 0:
-            out.append((label, have, new, at))
-            at += new
-    return out
+@dataclass
+class Points:
+    """Numeric columns as doubles, and every other column as a point (a, b, w) of the simplex of its categories.
+
+    Interpolation never leaves the edge between two categories, so (1 - w) a + w b says what one 0/1 column per category
+    would, for any number of categories; a missing value is a category of its own.
+    """
+
+    numeric: list[str]
+    categorical: list[str]
+    types: dict[str, T.DataType]
+    fill: dict[str, float | None] = field(default_factory=dict)
+
+    @property
+    def columns(self) -> list[str]:
+        return self.numeric + self.categorical
+
+    def encode(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        corners = [F.struct(F.col(c).alias("a"), F.col(c).alias("b"), F.lit(0.0).alias("w")).alias(c) for c in self.categorical]
+        return df.select(*keep, *filled(df, {c: self.fill.get(c) for c in self.numeric}), *corners)
+
+    def decode(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """Numbers in their types; the heavier category, on equal weights the first, a missing one last."""
+        cols = [(F.lit(None) if self.fill.get(c, 0.0) is None else F.col(c)).cast(self.types[c]).alias(c) for c in self.numeric]
+        for c in self.categorical:
+            x = F.col(c)
+            cols.append(F.when(x["w"] < 0.5, x["a"]).when(x["w"] > 0.5, x["b"]).otherwise(F.least(x["a"], x["b"])).cast(self.types[c]).alias(c))
+        return df.select(*keep, *cols)
 
+    def width(self, df: DataFrame) -> int:
+        """Number of 0/1 and numeric columns this stands for."""
+        if not self.categorical:
+            return len(self.numeric)
+        counts = [df.select(c).distinct().count() for c in self.categorical]
+        return len(self.numeric) + sum(counts)
 
-def _by_class(plan: list[tuple], pick, label_type: T.DataType) -> Column:
-    """CASE over the synthetic number ranges of the classes."""
-    out = None
-    for row in plan:
-        hit = F.col(SID) < row[3] + row[2]
-        value = F.lit(pick(row))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.cast(label_type)
+
+def fit_points(t: Table, features: list[str]) -> Points:
+    num = set(t.numeric)
+    numeric = [c for c in features if c in num]
+    return Points(numeric, [c for c in features if c not in num], {c: t.type_of(c) for c in features}, column_means(t.rows, numeric))
 
 
-def interpolate(encoded: DataFrame, e: Encoding, label: str, label_type: T.DataType, plan: list[tuple], seed: int,
-                k_max: int = 5) -> DataFrame:
-    """Synthetic encoded rows: ``plan`` holds (label, rows, new rows) per class.
+def _dot(p: Column, q: Column) -> Column:
+    """Scalar product of two points of a categorical column."""
+    same = lambda x, y: p[x].eqNullSafe(q[y]).cast("double")
+    u, v = p["w"], q["w"]
+    return (1 - u) * (1 - v) * same("a", "a") + u * v * same("b", "b") + (1 - u) * v * same("a", "b") + u * (1 - v) * same("b", "a")
+
+
+def _centre_gap(points: Column, own: Column) -> Column:
+    """Squared distance between the mean of some points and a point."""
+    m = F.size(points)
+    total = lambda f: F.aggregate(points, F.lit(0.0), lambda acc, p: acc + f(p))
+    square = total(lambda p: F.aggregate(points, F.lit(0.0), lambda acc, q: acc + _dot(p, q)))
+    return F.greatest(square / (m * m) - 2 * total(lambda p: _dot(p, own)) / m + _dot(own, own), F.lit(0.0))
+
+
+def _starts(plan: DataFrame, label: str) -> DataFrame:
+    """Classes that get rows, in order of label, with their range [__s0, __s1) of synthetic numbers; written once."""
+    wanted = plan.where(F.col("n_new") > 0)
+    n = wanted.count()
+    placed = row_number_global(wanted, label, "__no", n_rows=n).withColumn("axis", F.col("__no").cast("double"))
+    splits = bucket_splits(placed, ["axis"], n) if n else {"axis": None}
+    sums = running_counts(add_buckets(placed, splits).withColumn("one", F.lit(1)), ["one"], "axis__b", "axis", ["n_new"], not splits["axis"]) if n else (
+        placed.withColumns({"n_new_before": F.col("n_new"), "n_new_upto": F.col("n_new")}))
+    return materialize(sums.select(label, F.col("n_rows").alias("__have"), "n_new", F.col("n_new_before").alias("__s0"), F.col("n_new_upto").alias("__s1")))
+
+
+def interpolate(encoded: DataFrame, e: Points, label: str, plan: DataFrame, seed: int, k_max: int = 5) -> DataFrame:
+    """Synthetic encoded rows: ``plan`` holds (label, n_rows, n_new) per class.
 
     A synthetic row lies between a random row of its class and one of that row's k
     nearest class mates; one gap serves all columns. A class of one row, or no room for
     neighbours, gives copies with tiny noise. Neighbours are searched only for rows that
     were picked.
     """
-    spark = encoded.sparkSession
-    starts = _starts(plan)
-    if not starts:
+    starts = _starts(plan, label)
+    n, several = starts.agg(F.sum("n_new"), F.min(F.when(F.col("__have") > 1, F.col("__have")))).first()
+    if not n:
         return encoded.limit(0).select(F.lit(0).cast("bigint").alias(SID), *e.columns, label)
-    n = sum(new for _, _, new, _ in starts)
-    several = [have for _, have, _, _ in starts if have > 1]
-    k = min(k_max, min(several) - 1) if several else 0
+    k = min(k_max, several - 1) if several else 0
     within = row_number_global(encoded, IDX, "__ci", by=[label])
-    pick = (spark.range(n).withColumnRenamed("id", SID)
-            .withColumn(label, _by_class(starts, lambda r: r[0], label_type))
-            .withColumn("__have", _by_class(starts, lambda r: r[1], T.LongType()))
+    seats = encoded.sparkSession.range(n).withColumnRenamed("id", SID)
+    pick = (lookup_intervals(seats, SID, starts.drop("n_new"), "__s0", "__s1").drop("__s0", "__s1")
             .withColumn("__ci", F.floor(hash_uniform(seed, "base", F.col(SID)) * F.col("__have")).cast("bigint")))
     base = pick.join(within, [label, "__ci"]).drop("__ci")
-    noise = {c: F.col(c) + F.lit(TINY) * hash_normal(seed, f"copy.{c}", F.col(SID)) for c in e.columns}
+    noise = {c: F.col(c) + F.lit(TINY) * hash_normal(seed, f"copy.{c}", F.col(SID)) for c in e.numeric}
     if k < 1:
         return base.withColumns(noise).select(SID, *e.columns, label)
     base = materialize(base)
     copies = base.where("__have = 1").withColumns(noise).select(SID, *e.columns, label)
     pairs = base.where("__have > 1")
     asked = pairs.select(IDX, label, *e.columns).dropDuplicates([IDX])
-    mates = nearest(asked, encoded, e.columns, [1.0] * len(e.columns), k, qid=IDX, bid=IDX, same=label, skip_self=True)
+    mates = nearest(asked, encoded, e.numeric, [1.0] * len(e.numeric), k, qid=IDX, bid=IDX, same=label, skip_self=True, cats=e.categorical)
     other = encoded.select(F.col(IDX).alias("bid"), *[F.col(c).alias(f"{c}__mate") for c in e.columns])
     linked = (pairs.withColumn("rank", hash_index(seed, "mate", F.col(SID), k).cast("int") + 1)
               .withColumn("gap", hash_uniform(seed, "gap", F.col(SID)))
               .join(mates.select(F.col("qid").alias(IDX), "bid", "rank"), [IDX, "rank"]).join(other, "bid"))
-    mixed = linked.withColumns({c: F.col(c) + F.col("gap") * (F.col(f"{c}__mate") - F.col(c)) for c in e.columns})
+    mixed = linked.withColumns({
+        **{c: F.col(c) + F.col("gap") * (F.col(f"{c}__mate") - F.col(c)) for c in e.numeric},
+        **{c: F.struct(F.col(c)["a"].alias("a"), F.col(f"{c}__mate")["a"].alias("b"), F.col("gap").alias("w")) for c in e.categorical}})
     return mixed.select(SID, *e.columns, label).unionByName(copies)
 
 
-def checked_classes(per_class: DataFrame, label: str) -> list:
-    """The rows of a per-class table in label order; their number is checked."""
-    rows = per_class.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"column {label} has too many values to be a class label")
-    return sorted(rows, key=lambda r: (r[label] is not None, r[label]))
-
-
 def _features(t: Table) -> list[str]:
     return [c for c in t.columns if c != t.target]
 
@@ -190,18 +228,14 @@ def smote(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
     """
     if n <= 0:
         return finish(t.rows.limit(0).withColumn(SID, F.lit(0).cast("bigint")), t, keep_id)
-    e = fit_encoding(t, _features(t))
-    encoded = materialize(encode(t.rows.where(F.col(t.target).isNotNull()), e, [IDX, t.target]))
-    alloc = checked_classes(class_allocation(encoded, t.target, n), t.target)
-    plan = [(r[0], r["n_rows"], r["n_new"]) for r in alloc]
-    if not plan:
+    e = fit_points(t, _features(t))
+    encoded = materialize(e.encode(t.rows.where(F.col(t.target).isNotNull()), [IDX, t.target]))
+    plan = materialize(class_allocation(encoded, t.target, n))
+    classes = plan.count()
+    if not classes:
         return random_sampling(t, n, seed, keep_id)
-    if len(plan) == 1:
-        plan = [(plan[0][0], plan[0][1], n)]
-        made = interpolate(encoded, e, t.target, t.type_of(t.target), plan, seed, k_max=0)
-    else:
-        made = interpolate(encoded, e, t.target, t.type_of(t.target), plan, seed)
-    return finish(decode(made, e, [SID, t.target]), t, keep_id)
+    made = interpolate(encoded, e, t.target, plan, seed, k_max=0 if classes == 1 else 5)  # one class: copies
+    return finish(e.decode(made, [SID, t.target]), t, keep_id)
 
 
 def adasyn(t: Table, n: int, seed: int = 42, label: str | None = None, pseudo_label: bool = False,
@@ -262,67 +296,94 @@ def adasyn(t: Table, n: int, seed: int = 42, label: str | None = None, pseudo_la
     return finish(draw_columns(mixed, t, [c for c in t.columns if c not in cols], seed), t, keep_id)
 
 
-def displacement_votes(df: DataFrame, cols: list[str], label: str, k: int, kind: str = "cd", id_col: str = IDX) -> DataFrame:
+def displacement_votes(df: DataFrame, cols: list[str], label: str, k: int, kind: str = "cd", id_col: str = IDX,
+                       cats: list[str] | None = None) -> DataFrame:
     """(id, keep): rows whose neighbourhood supports their label.
 
     ``cd``: the class whose neighbour centroid moves least when the row joins it, i.e.
     the smallest |centroid - row| / (members + 1), nearer neighbour first on ties, must be
-    the row's own. ``all``: the k neighbours agree among themselves.
+    the row's own. ``all``: the k neighbours agree among themselves. ``cats`` are points of categorical columns.
     """
-    around = nearest(df, df, cols, [1.0] * len(cols), k, qid=id_col, bid=id_col, skip_self=True)
-    mate = df.select(F.col(id_col).alias("bid"), F.col(label).alias("__mate"), *[F.col(c).alias(f"{c}__m") for c in cols])
+    cats = list(cats or [])
+    around = nearest(df, df, cols, [1.0] * len(cols), k, qid=id_col, bid=id_col, skip_self=True, cats=cats)
+    mate = df.select(F.col(id_col).alias("bid"), F.col(label).alias("__mate"), *[F.col(c).alias(f"{c}__m") for c in [*cols, *cats]])
     near = around.join(mate, "bid")
     if kind == "all":
         return near.groupBy("qid").agg((F.min("__mate") == F.max("__mate")).alias("keep")).withColumnRenamed("qid", id_col)
     # at most k neighbours per row: both groupings are tiny
     centres = near.groupBy("qid", "__mate").agg(
-        F.count(F.lit(1)).alias("m"), F.min("rank").alias("first"), *[F.avg(f"{c}__m").alias(f"{c}__c") for c in cols])
-    own = df.select(F.col(id_col).alias("qid"), F.col(label).alias("__own"), *cols)
-    gap = F.sqrt(sum(((F.col(f"{c}__c") - F.col(c)) * (F.col(f"{c}__c") - F.col(c)) for c in cols), F.lit(0.0)))
+        F.count(F.lit(1)).alias("m"), F.min("rank").alias("first"), *[F.avg(f"{c}__m").alias(f"{c}__c") for c in cols],
+        *[F.collect_list(f"{c}__m").alias(f"{c}__c") for c in cats])
+    own = df.select(F.col(id_col).alias("qid"), F.col(label).alias("__own"), *cols, *cats)
+    square = sum(((F.col(f"{c}__c") - F.col(c)) * (F.col(f"{c}__c") - F.col(c)) for c in cols), F.lit(0.0))
+    gap = F.sqrt(sum((_centre_gap(F.col(f"{c}__c"), F.col(c)) for c in cats), square))
     moved = centres.join(own, "qid").withColumn("theta", F.round(gap / (F.col("m") + 1), 9))
     vote = moved.groupBy("qid").agg(F.min(F.struct("theta", "first", "__mate")).alias("v"), F.first("__own").alias("own"))
     return vote.select(F.col("qid").alias(id_col), (F.col("v")["__mate"] == F.col("own")).alias("keep"))
 
 
 def edited(df: DataFrame, cols: list[str], label: str, k: int = 5, kind: str = "cd", strategy: str = "auto",
-           id_col: str = IDX) -> DataFrame:
+           id_col: str = IDX, cats: list[str] | None = None) -> DataFrame:
     """Rows that survive centroid-displacement editing; the strategy spares whole classes.
 
     Rows with a missing coordinate have no neighbourhood and stay.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    counts = [(r[0], r[1]) for r in checked_classes(df.groupBy(label).count(), label)]
-    rare = min(counts, key=lambda c: c[1])[0]
-    common = max(counts, key=lambda c: c[1])[0]
-    spared = {"auto": [rare], "not minority": [rare], "not majority": [common], "all": [],
-              "majority": [c for c, _ in counts if c != common], "minority": [c for c, _ in counts if c != rare]}[strategy]
-    votes = displacement_votes(df, cols, label, k, kind, id_col)
+    votes = displacement_votes(df, cols, label, k, kind, id_col, cats)
     kept = F.coalesce("keep", F.lit(True))
-    if spared:
-        kept = kept | F.col(label).isin(spared)
+    if strategy != "all":
+        sizes = materialize(df.groupBy(label).count())
+        rare, common = sizes.orderBy("count", label).first(), sizes.orderBy(F.desc("count"), label).first()
+        if rare is None:
+            return df
+        is_rare, is_common = F.col(label).eqNullSafe(F.lit(rare[0])), F.col(label).eqNullSafe(F.lit(common[0]))
+        kept = kept | {"auto": is_rare, "not minority": is_rare, "not majority": is_common, "majority": ~is_common, "minority": ~is_rare}[strategy]
     return df.join(votes, id_col, "left").where(kept).drop("keep")
 
 
+def fresh_rows(made: DataFrame, original: DataFrame, e: Points) -> DataFrame:
+    """Rows of ``made`` that equal no original row after rounding; a point between two categories equals none."""
+    if not e.categorical:
+        return synthetic_only(made, original, e.columns, multiset=False)
+
+    def category(c: str) -> Column:
+        x = F.col(c)
+        w = F.round(x["w"], 8)
+        return F.when((w == 0) | x["a"].eqNullSafe(x["b"]), x["a"]).when(w == 1, x["b"])
+
+    def between(c: str) -> Column:
+        x = F.col(c)
+        return ~(x["a"].eqNullSafe(x["b"]) | F.round(x["w"], 8).isin(0.0, 1.0))
+
+    keys = [*[F.round(F.col(c), 8) for c in e.numeric], *[category(c) for c in e.categorical], F.lit(False)]
+    old = original.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
+    keys[-1] = sum((between(c).cast("int") for c in e.categorical), F.lit(0)) > 0
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & k.eqNullSafe(F.col(f"__k{i}"))
+    return made.join(old, match, "left_anti")
+
+
 def smote_edited(t: Table, n: int, seed: int = 42, n_neighbors: int = 5, kind_sel: str = "cd",
                  cdnn_strategy: str = "all", keep_id: bool = False) -> DataFrame:
     """Proportional oversampling, editing of originals and synthetic rows together, originals dropped."""
-    e = fit_encoding(t, _features(t))
-    encoded = materialize(encode(t.rows.where(F.col(t.target).isNotNull()), e, [IDX, t.target]))
-    counts = [(r[0], r[1]) for r in checked_classes(encoded.groupBy(t.target).count(), t.target)]
-    smallest, total = min((c for _, c in counts), default=0), sum(c for _, c in counts)
+    e = fit_points(t, _features(t))
+    encoded = materialize(e.encode(t.rows.where(F.col(t.target).isNotNull()), [IDX, t.target]))
+    counts = materialize(encoded.groupBy(t.target).agg(F.count(F.lit(1)).alias("n_rows")))
+    smallest, total = counts.agg(F.coalesce(F.min("n_rows"), F.lit(0)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
     if smallest < 2 or n <= 0:
         return smote(t, n, seed, keep_id)
     k = max(1, min(n_neighbors, smallest - 1))
-    plan = [(label, c, int(c * (1 + n / total)) - c) for label, c in counts]
-    made = interpolate(encoded, e, t.target, t.type_of(t.target), plan, seed, k_max=k)
+    plan = counts.withColumn("n_new", F.floor(F.col("n_rows") * F.lit(1 + n / total)).cast("bigint") - F.col("n_rows"))
+    made = interpolate(encoded, e, t.target, plan, seed, k_max=k)
     grown = encoded.unionByName(made.withColumn(IDX, F.col(SID) + F.lit(t.n)).drop(SID))
-    survivors = edited(materialize(grown), e.columns, t.target, k, kind_sel, cdnn_strategy)
-    fresh = materialize(synthetic_only(survivors, encoded, e.columns, multiset=False))
+    survivors = edited(materialize(grown), e.numeric, t.target, k, kind_sel, cdnn_strategy, cats=e.categorical)
+    fresh = materialize(fresh_rows(survivors, encoded, e))
     if fresh.isEmpty():
         return smote(t, n, seed, keep_id)
-    sized = exact_rows(fresh.withColumnRenamed(IDX, SID), e.columns, n, seed)
-    return finish(decode(sized, e, [SID, t.target]), t, keep_id)
+    sized = exact_rows(fresh.withColumnRenamed(IDX, SID), e.numeric, n, seed)
+    return finish(e.decode(sized, [SID, t.target]), t, keep_id)
 
 
 GENERATORS.update({"smote": smote, "adasyn": adasyn, "smotecdnn": smote_edited})

@@ -147,6 +147,21 @@ def g7(spark, sf_dir):
     return _shown(O.smote(t, t.n, SEED, keep_id=True))
 
 
+_GAP = S.uniform(SEED, "gap", "sid")
+_TAG = "concat('T', c_custkey % 997)"
+_T7 = _T.replace("c_acctbal AS y, c_mktsegment AS g", f"c_acctbal / 1000::DOUBLE AS y, c_mktsegment AS g, {_TAG} AS tag")
+_TAGGED = _smote_sql(_ALLOC).replace(_D, _D[:-1] + " + 2 * CAST(a.tag <> b.tag AS INTEGER))").replace(
+    "AS y\n FROM pk", f"AS y, CASE WHEN {_GAP} < 0.5 THEN a.tag WHEN {_GAP} > 0.5 THEN b.tag ELSE least(a.tag, b.tag) END AS tag\n FROM pk")
+
+
+@register("g7_smote_categories", f"WITH {_T7}, {_TAGGED} SELECT sid, trunc(x)::DOUBLE AS c_nationkey, {S.num('y')} AS balance, tag, g AS c_mktsegment FROM sm")
+def g7_categories(spark, sf_dir):
+    """Neighbours over two numbers and a category of very many values."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") / 1000.0).alias("balance"), F.expr(_TAG).alias("tag"), "c_mktsegment")
+    t = G.Table(c, key="c_custkey")
+    return O.smote(t, t.n, SEED, keep_id=True).select("sid", tidy(F.col("c_nationkey")).alias("c_nationkey"), tidy(F.col("balance")).alias("balance"), "tag", "c_mktsegment")
+
+
 _T8 = _T.replace("c_mktsegment AS g", "CASE WHEN c_nationkey < 4 THEN 'coast' ELSE 'inland' END AS g, c_mktsegment AS seg")
 _draw8 = (f"(SELECT r.sid, r.x, r.y, p.seg || '/' || q.g AS g FROM r, n JOIN t p ON p.i = {S.index(SEED, 'draw.c_mktsegment', 'r.sid', 'n.n')} "
           f"JOIN t q ON q.i = {S.index(SEED, 'draw.tier', 'r.sid', 'n.n')})")
@@ -218,13 +233,14 @@ for _strategy in ("auto", "all"):
 b AS (SELECT DISTINCT p_brand AS v FROM part), k AS (SELECT DISTINCT p_type AS v FROM part)
 SELECT p_partkey, p_brand, p_type, p_size, (SELECT count(*) FROM b)::BIGINT + (SELECT count(*) FROM k)::BIGINT + 1 AS width FROM c""")
 def g11(spark, sf_dir):
-    """One-hot encode parts, blur the blocks, decode by the heaviest category."""
+    """Encode parts, blur every category towards another one, decode by the heaviest."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type")
     t = G.Table(p, key="p_partkey")
-    e = O.fit_encoding(t, ["p_size", "p_brand", "p_type"])
-    blurred = O.encode(p, e, ["p_partkey"]).withColumns({
-        b: F.col(b) * 0.6 + 0.4 / len(block) for block in e.blocks.values() for b in block})
-    return O.decode(blurred, e, ["p_partkey"]).withColumn("width", F.lit(len(e.columns)).cast("bigint"))
+    e = O.fit_points(t, ["p_size", "p_brand", "p_type"])
+    other = {c: p.agg(F.min(c)).first()[0] for c in e.categorical}
+    blurred = e.encode(p, ["p_partkey"]).withColumns({
+        c: F.struct(F.col(c)["a"].alias("a"), F.lit(other[c]).alias("b"), F.lit(0.4).alias("w")) for c in e.categorical})
+    return e.decode(blurred, ["p_partkey"]).withColumn("width", F.lit(e.width(p)).cast("bigint"))
 
 
 @register("g13_independent_draw", f"""WITH {_T} SELECT s.sid, a.g AS c_mktsegment, b.x::INTEGER AS c_nationkey FROM syn s
