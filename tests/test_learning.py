@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from twinlens.learning import boosting
 from twinlens.learning import utility as U
 from twinlens.learning.models import MODELS
 
@@ -78,3 +79,79 @@ def test_scenarios_leave_the_holdout_alone(spark):
     f = {(r.metric, r.feature, r.field): r.value for r in got.collect()}
     assert f[("combined", "lda", "accuracy")] > 0.9 and f[("combined", "lda", "cv_n_folds")] == 3
     assert 0 <= f[("utility", None, "overall_utility_score")] <= 1
+
+
+def rings(n: int, classes: int, seed: int = 0) -> pd.DataFrame:
+    """Classes as rings, which no linear model tells apart."""
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, classes, n)
+    r, t = y + rng.normal(size=n) * 0.15 + 1, rng.uniform(0, 6.283, n)
+    return pd.DataFrame({"row_id": np.arange(n), "a": (r * np.cos(t)).round(3), "b": (r * np.sin(t)).round(3), "c": rng.normal(size=n).round(1), "label": y.astype(float)})
+
+
+def plain_first_tree(x, y, rules):
+    """Level by level from the definition, on the values themselves: {path: leaf}."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    edges = [np.unique(np.quantile(x[:, j], [i / rules.bins for i in range(1, rules.bins)])) for j in range(x.shape[1])]
+
+    def score(m):
+        return g[m].sum() ** 2 / (h[m].sum() + rules.l2)
+
+    leaves = {"": np.ones(len(y), bool)}
+    for _ in range(rules.depth):
+        fresh = {}
+        for path, m in leaves.items():
+            best = (1e-9, None)
+            for j, cuts in enumerate(edges):
+                for e in cuts:
+                    left = m & (x[:, j] <= e)
+                    right = m & ~left
+                    if min(left.sum(), right.sum()) >= max(1, rules.least_rows) and min(h[left].sum(), h[right].sum()) >= rules.least_hessian:
+                        gain = round(0.5 * (score(left) + score(right) - score(m)), 9)
+                        if gain > best[0]:
+                            best = (gain, (left, right))
+            if best[1] is None:
+                fresh[path + "."] = m
+            else:
+                fresh[path + "l"], fresh[path + "r"] = best[1]
+        leaves = fresh
+    out = np.zeros(len(y))
+    for m in leaves.values():
+        out[m] = -rules.rate * g[m].sum() / (h[m].sum() + rules.l2)
+    return np.log(p / (1 - p)) + out
+
+
+@pytest.mark.parametrize("local", [boosting.LOCAL_VALUES, 0])
+def test_second_order_trees_equal_their_definition(spark, local):
+    pdf = rings(300, 2)
+    rules = boosting.Rules(rounds=1, depth=3, bins=16)
+    model = boosting.fit(spark.createDataFrame(pdf).repartition(3), ("a", "b", "c"), 2, rules, local)
+    x = pdf[["a", "b", "c"]].to_numpy()
+    assert np.allclose(model.scores(model.codes(x))[:, 0], plain_first_tree(x, pdf.label.to_numpy(), rules))
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_both_paths_of_boosting_grow_the_same_trees(spark, classes, monkeypatch):
+    monkeypatch.setattr(boosting, "WRITE_EVERY", 2)
+    pdf = rings(400, classes, 5)
+    df, x = spark.createDataFrame(pdf).repartition(4), pdf[["a", "b", "c"]].to_numpy()
+    rules = boosting.Rules(rounds=5, depth=4, leaves=6, least_rows=5, bins=32)
+    one, many = (boosting.fit(df, ("a", "b", "c"), classes, rules, local) for local in (10**9, 0))
+    assert len(one.rounds) == len(many.rounds) == 5
+    assert all(t.feature.count(-1) <= 6 for r in one.rounds for t in r)
+    assert np.allclose(one.scores(one.codes(x)), many.scores(many.codes(x)))
+    predicted = df.withColumn("prediction", boosting.predictions(many, df))
+    assert predicted.where("prediction = label").count() > 0.85 * len(pdf)
+
+
+def test_boosting_differs_from_gradient_boosting(spark):
+    pdf = rings(400, 2, 9).rename(columns={"row_id": "k", "label": "y"})
+    pdf["kind"] = np.array(["x", "y"])[pdf.pop("y").astype(int)]
+    rows = U.stratified_split(U.prepare(spark.createDataFrame(pdf), ["a", "b", "c"], "kind", {"x": 0.0, "y": 1.0}, "k"))
+    wrong = {}
+    for name in ("gradient_boosting", "xgboost", "hist_gradient_boosting"):
+        p = U.fit_predict(name, {"n_estimators": 8, "max_iter": 8}, rows.where("train"), rows.where("NOT train"), ["a", "b", "c"], 2).toPandas()
+        wrong[name] = frozenset(p.row_id[p.label != p.prediction])
+        assert len(wrong[name]) < 0.25 * len(p)
+    assert len(set(wrong.values())) > 1

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_uniform
 from twinlens.functions.numbers import sql_name
+from twinlens.learning import boosting
 from twinlens.operators.neighbors import nearest
 from twinlens.session import materialize
 
@@ -101,26 +102,34 @@ def tree(train, test, ctx, params):
     return _fit(DecisionTreeClassifier(maxDepth=_depth(params), seed=int(params.get("random_state", SEED))), train, test)
 
 
-def _boosted(train, test, ctx, params, rounds: str, depth: int):
-    gbt = GBTClassifier(maxIter=int(params.get(rounds, 100)), stepSize=float(params.get("learning_rate", 0.1)),
-                        maxDepth=int(params.get("max_depth") or depth), seed=int(params.get("random_state", SEED)))
+@model("gradient_boosting")
+def gradient_boosting(train, test, ctx, params):
+    gbt = GBTClassifier(maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.1)),
+                        maxDepth=int(params.get("max_depth") or 3), seed=int(params.get("random_state", SEED)))
     return _many(gbt, train, test, ctx)
 
 
-@model("gradient_boosting")
-def boosting(train, test, ctx, params):
-    return _boosted(train, test, ctx, params, "n_estimators", 3)
+def _second_order(train, test, ctx, rules: boosting.Rules):
+    fitted = boosting.fit(train, ctx.cols, ctx.classes, rules)
+    return _out(test.withColumn("prediction", boosting.predictions(fitted, test)))
 
 
 @model("xgboost")
 def xgboost(train, test, ctx, params):
-    """Gradient boosting, as where the optional library is absent."""
-    return _boosted(train, test, ctx, params, "n_estimators", 6)
+    """Second-order boosting with regularised leaves."""
+    return _second_order(train, test, ctx, boosting.Rules(
+        rounds=int(params.get("n_estimators", 100)), rate=float(params.get("learning_rate", 0.3)), depth=int(params.get("max_depth") or 6),
+        l2=float(params.get("reg_lambda", 1.0)), least_gain=float(params.get("gamma", 0.0)), least_hessian=float(params.get("min_child_weight", 1.0)),
+        bins=min(256, int(params.get("max_bin", 256)))))
 
 
 @model("hist_gradient_boosting")
 def histogram_boosting(train, test, ctx, params):
-    return _boosted(train, test, ctx, params, "max_iter", 5)
+    """The same trees with bounded leaves in number and size instead of a penalty; grown level by level, best splits first."""
+    return _second_order(train, test, ctx, boosting.Rules(
+        rounds=int(params.get("max_iter", 100)), rate=float(params.get("learning_rate", 0.1)), depth=int(params.get("max_depth") or 10),
+        leaves=int(params.get("max_leaf_nodes") or 31), l2=float(params.get("l2_regularization", 0.0)), least_hessian=1e-3,
+        least_rows=int(params.get("min_samples_leaf", 20)), bins=min(256, int(params.get("max_bins", 255)))))
 
 
 @model("mlp")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_normal
 from twinlens.functions.numbers import tidy
+from twinlens.learning import boosting
 from twinlens.learning import utility as U
 from twinlens.plans import sqlkit as S
 from twinlens.plans.pairs import table
@@ -248,3 +249,25 @@ for _id, _name in _MODELS:
         return found if name in _MODEL_SQL else checked(found)
 
     register(f"{_id}_{_name}", _MODEL_SQL.get(_name, _CHECKED))(_query)
+
+
+_FIRST = boosting.Rules(rounds=1)
+_EDGES = ", ".join(f"{i}/256.0::DOUBLE" for i in range(1, 256))
+# the first round: every row has the gradient p - y and the Hessian p (1 - p) of the class shares
+_ROOT = f"""WITH {_Z}, sh AS (SELECT avg(label) AS p FROM zt), long AS (SELECT 0 AS feature, x AS v, label FROM zt UNION ALL SELECT 1, y, label FROM zt),
+e AS (SELECT feature, list_distinct(quantile_cont(v, [{_EDGES}])) AS cuts FROM long GROUP BY feature),
+c AS (SELECT l.feature, len(list_filter(cuts, lambda c: c < v)) AS bin, p - label AS g, p * (1 - p) AS h FROM long l JOIN e USING (feature), sh),
+b AS (SELECT feature, bin, count(*) AS n, sum(g) AS g, sum(h) AS h FROM c GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER f AS nt, sum(g) OVER f AS gt, sum(h) OVER f AS ht FROM b
+ WINDOW w AS (PARTITION BY feature ORDER BY bin), f AS (PARTITION BY feature))
+SELECT feature::INTEGER AS feature, bin::INTEGER AS bin, n::BIGINT AS n, {S.num('g')} AS gradient, {S.num('h')} AS hessian,
+CASE WHEN hl >= 1 AND ht - hl >= 1 THEN {S.num('0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1))', 5)} END AS gain FROM r"""
+
+
+@register("m18_first_split_gains", _ROOT)
+def m18_gains(spark, sf_dir):
+    """Histogram of the first tree's root and what every cut of it would gain."""
+    split = U.stratified_split(_prepared(spark, sf_dir), "split.o").where("train")
+    scaled = U.standardized(split.drop("train"), [], FEATURES)[0][0]
+    found = boosting.root_gains(scaled, tuple(FEATURES), 2, _FIRST)
+    return found.select("feature", "bin", "n", tidy(F.col("g")).alias("gradient"), tidy(F.col("h")).alias("hessian"), tidy(F.col("gain"), 5).alias("gain"))
