@@ -5,6 +5,8 @@ import numpy as np
 import pyarrow as pa
 
 from llm_texts import sentence
+from pyspark.sql import functions as F
+
 from twinlens.llm import language, quality, sampling, textarrays, toxicity
 
 
@@ -183,3 +185,20 @@ def test_sample_is_bounded_and_repeatable(spark):
     assert n["rare"] == 100 * min(1, 80 / 100) or 50 <= n["rare"] <= 100
     assert 40 <= n["often"] <= 130
     assert got.equals(sampling.labelled_texts(docs.repartition(7), docs.select("doc_id", "lang"), "lang", 80))
+
+
+def test_sample_of_repeated_ids_keeps_labels_and_bounds(spark):
+    """One id holds a third of the rows; every text keeps the label of its own row, and copies count once."""
+    docs = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "concat(if(id % 2 = 0, 'even', 'odd'), id) AS text", "if(id % 2 = 0, 'even', 'odd') AS lang")
+    got = sampling.labelled_texts(docs, None, "lang", 100)
+    assert all(t.startswith(label) and t[len(label)].isdigit() for label, t in zip(got["_label"], got["text"]))
+    assert got["_label"].value_counts().between(60, 150).all()
+    same = docs.withColumn("text", F.expr("if(doc_id = 7, 'one text', text)"))
+    assert len(sampling.labelled_texts(same, None, "lang", 100)) < 300
+    labels = spark.createDataFrame([(7, 1), (7, 0), (7, 1)] + [(i, i % 2) for i in range(1, 6000, 3)], "doc_id long, toxic int")
+    for limit in (50, 400):
+        assert len(sampling.labelled_texts(docs, labels, "toxic", limit)) < 4 * limit
+    few = sampling.labelled_texts(docs, None, "lang", 1000, most_bytes=800)
+    assert 0 < few.groupby("_label")["text"].apply(lambda t: t.str.len().sum()).max() < 1600
+    long_ = docs.limit(20).withColumn("text", F.repeat(F.lit("x"), 2000))
+    assert len(sampling.labelled_texts(long_, None, "lang", 10, longest=1000)) == 0

@@ -99,8 +99,7 @@ class KernelClassifier:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_label: int = 250,
         landmarks: int = 128) -> KernelClassifier:
     """Learn from about ``per_label`` texts of each language whose id is not held out (bounded by that parameter)."""
-    known = docs.where(remainder(id_col) != 1).select(id_col, F.col(lang_col))
-    sample = labelled_texts(docs.where(remainder(id_col) != 1), known, lang_col, per_label, id_col, text_col)
+    sample = labelled_texts(docs.where(remainder(id_col) != 1), None, lang_col, per_label, id_col, text_col)
     return KernelClassifier(sample["text"].tolist(), sample["_label"].tolist(), landmarks)
 
 
