@@ -63,10 +63,9 @@ def reference_once():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("abéÉÑ×÷'s.,!?ſ́ \n\x1c 9AZſ«»…"), st.characters(blacklist_categories=["Cs"])), max_size=40))
+@given(st.text(alphabet=st.one_of(st.sampled_from("abéÉÑ×÷'s.,!?ſ́ \n\x1c 9AZſ«»…"), st.characters(blacklist_categories=["Cs"])), max_size=40).map("".join))
 def test_words_alone_encode_as_the_whole_text(text):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     got = packing.token_ids([text.encode()], open(WORDS, "rb").read())[0]
     assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
@@ -75,7 +74,6 @@ def check_packing(spark, docs, rows, most):
     from twinlens.session import materialize
 
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     pieces = materialize(packing.tokenize(docs, WORDS, most_tokens=most))
     got = packing.pack(pieces, most_tokens=most, group_rows=8).collect()
     want = []
@@ -115,3 +113,19 @@ def test_best_fit_keeps_every_capacity():
         assert (used <= capacity + 1e-6).all()
     tight = packing.best_fit(np.array([[60.0], [50.0], [50.0], [40.0]]), np.array([100.0]))
     assert tight.max() == 1
+
+
+def test_added_tokens_as_the_library_does(spark):
+    tok, file = Tokenizer.from_file(WORDS), open(WORDS, "rb").read()
+    for text in ("end <|endoftext|> start", "<|endoftext|>", "a<|startoftext|><|endoftext|>b.<|endoftext", "<|ENDOFTEXT|> x"):
+        assert np.frombuffer(packing.token_ids([text.encode()], file)[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.token_ids([b"end <|endoftext|> start"], file)[0], "<u4").tolist() == [806, 49407, 1572]
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    from twinlens.session import materialize
+
+    pieces = materialize(packing.tokenize(spark.range(4000).selectExpr("cast(null AS bigint) AS doc_id", "'' AS text"), WORDS))
+    got = packing.pack(pieces, group_rows=500, rounds=1)
+    groups = got.selectExpr("(sequence_id div 8) % (1 << 24) AS g").groupBy("g").count().collect()
+    assert len(groups) == 8 and max(r["count"] for r in groups) < 800

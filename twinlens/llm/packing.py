@@ -6,13 +6,14 @@ constraint. What a group leaves in bins that are not nearly full is packed again
 sequences lost to group borders shrinks from round to round.
 
 Results for odd input: a null or empty text is a document of its end mark alone; repeated rows are packed each by
-itself (several rows of one id are told apart by their content order); other columns are ignored; texts of any length are
+itself; strings of the tokenizer's added tokens get their ids, as in the library; other columns are ignored; texts of any length are
 read whole; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -42,8 +43,12 @@ def _tokenizer(file: bytes) -> tuple:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_buffer(file)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        _OPEN[key] = (tok, {})
+        added = tok.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("only added tokens that are matched as they stand are known")
+        marks = {t.content.encode(): _FOUR_BYTES([i]).tobytes() for i, t in added.items()}
+        tok.encode_special_tokens = True  # texts are split at the marks before words are encoded
+        _OPEN[key] = (tok, {}, marks, re.compile(b"(" + b"|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + b")") if marks else None)
     return _OPEN[key]
 
 
@@ -60,24 +65,32 @@ def spread(text: bytes) -> bytes:
     return np.insert(data, cut, 32).tobytes() if len(cut) else data.tobytes()
 
 
+def _words(text: bytes, marks: dict[bytes, bytes], pattern: re.Pattern | None) -> list:
+    """Words to encode, and the marks of added tokens as one-tuples."""
+    if not any(m in text for m in marks):
+        return spread(text).split()
+    return [w for part in pattern.split(text) for w in ([(part,)] if part in marks else spread(part).split())]
+
+
 def token_ids(texts: list[bytes], file: bytes) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
-    The vocabulary drops white space and never joins across it, so words between ASCII white space are encoded one by
-    one; those met before come from the table.
+    Strings of added tokens get their ids, as in the library. The vocabulary drops white space and never joins across it,
+    so words between ASCII white space are encoded one by one; those met before come from the table.
     """
-    tok, kept = _tokenizer(file)
-    split = [spread(t).split() for t in texts]
-    new = set().union(*split).difference(kept)
+    tok, kept, marks, pattern = _tokenizer(file)
+    split = [_words(t, marks, pattern) for t in texts]
+    new = set().union(*split).difference(kept, ((m,) for m in marks))
     if new:
         if len(kept) + len(new) > _KEPT_WORDS:
             kept.clear()
-            new = set().union(*split)
+            new = set().union(*split).difference((m,) for m in marks)
         new = list(new)
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
             got = tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             kept.update((w, _FOUR_BYTES(e.ids).tobytes()) for w, e in zip(part, got))
+    kept.update(((m,), ids) for m, ids in marks.items())
     return [b"".join(map(kept.__getitem__, s)) for s in split]
 
 
@@ -152,7 +165,7 @@ def pack(pieces: DataFrame, most_tokens: int = 4096, most_documents: int = 4096,
     """``pieces`` (id_col, piece, length, ...) with sequence_id and offset.
 
     ``most_attention`` bounds the sum of squared lengths (default: no tighter than the tokens). ``pieces`` should be
-    written, since its rows are counted before they are packed.
+    written, since its rows are counted before they are packed. Rows are dealt into groups one by one, equal rows too.
     """
     attention = most_attention or most_tokens**2
     capacity = np.array([most_tokens, most_documents, attention], float)
@@ -185,7 +198,7 @@ def pack(pieces: DataFrame, most_tokens: int = 4096, most_documents: int = 4096,
     out, rest = [], pieces
     for k in range(rounds):
         groups, last = n_groups(rest), k == rounds - 1
-        dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.lit(k), *order), F.lit(groups)).cast("int"))
+        dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.lit(k), F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
         done = materialize(dealt.groupBy("_group").applyInArrow(packer(last or groups == 1, k), f"{schema}, sequence_id long, offset long"))
         out.append(done.where(F.col("sequence_id") >= 0))
         if groups == 1:
