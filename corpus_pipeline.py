@@ -45,9 +45,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of passages that also start in a smaller document."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = bwt_dedup.remove_repeats(docs, carried=others, as_text=True)
-    cut = cut.withColumnsRenamed({"kept": "text"}).withColumn("n_chars", F.char_length("text").cast("long"))
-    return cut.select(*docs.columns)
+    cut = bwt_dedup.remove_repeats(docs, carried=others, as_text=True, names=("__n_bytes", "__kept", "__spans"))
+    new = {"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("long")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
