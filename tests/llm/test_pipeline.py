@@ -70,3 +70,16 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], KINDS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_columns_named_like_internal_ones(spark, folder, tmp_path):
+    root, texts, _ = folder
+    clash = ["key", "kept", "starts", "spans", "marked", "masks", "n_bytes", "cut", "carried", "id", "c", "n", "sig", "row_key", "label", "score", "bucket", "piece", "start", "length"]
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    wide = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in clash])
+    plain = wide
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        plain = materialize(stage(spark, plain, root))
+        assert plain.columns == wide.columns, name
+    assert plain.where(" OR ".join(f"`{c}` <> concat('{c}', doc_id)" for c in clash)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, plain, root).count() >= plain.count()
