@@ -253,3 +253,19 @@ def test_smote_over_many_classes(spark):
     assert len(got) == 2000 and got.y.nunique() > 1200
     span = pdf.groupby("y").v.agg(["min", "max"])
     assert (got.v >= span["min"][got.y].to_numpy() - 1e-4).all() and (got.v <= span["max"][got.y].to_numpy() + 1e-4).all()
+
+
+def test_wide_tables_and_pairwise_complete_covariance(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    pdf = pd.DataFrame(rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3)) + 1e6, columns=["x", "y", "z"])
+    pdf.loc[::7, "x"] = np.nan
+    pdf.loc[::5, "z"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(4)
+    assert np.allclose(G.covariance(df, ["x", "y", "z"], [1e6] * 3), pdf.cov().to_numpy())
+    t = G.Table(spark.createDataFrame(people(80)), key="k")
+    plain = G.gaussian_mvn(t, 50, 4).toPandas()
+    monkeypatch.setattr(G, "WIDE", 1)
+    pd.testing.assert_frame_equal(G.gaussian_mvn(t, 50, 4).toPandas().sort_values("pay", ignore_index=True), plain.sort_values("pay", ignore_index=True), rtol=1e-9)
+    names = [f"c{i}" for i in range(300)]
+    wide = spark.createDataFrame(pd.DataFrame(rng.normal(size=(400, 300)), columns=names))
+    assert G.gaussian_mvn(G.Table(wide), 20, 1).dropna().count() == 20

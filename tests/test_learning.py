@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from twinlens.learning import boosting
+from twinlens.learning import boosting, linear
 from twinlens.learning import utility as U
-from twinlens.learning.models import MODELS
+from twinlens.learning.models import MODELS, Context, predict
 
 
 def blobs(n: int = 240, classes: int = 2, seed: int = 0) -> pd.DataFrame:
@@ -155,3 +155,50 @@ def test_boosting_differs_from_gradient_boosting(spark):
         wrong[name] = frozenset(p.row_id[p.label != p.prediction])
         assert len(wrong[name]) < 0.25 * len(p)
     assert len(set(wrong.values())) > 1
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_squared_hinge_ends_where_the_gradient_does(spark, classes):
+    pdf = rings(240, classes, 3)
+    x = np.column_stack([pdf[["a", "b", "c"]].to_numpy(), np.ones(len(pdf))])
+    fitted = linear.squared_hinge(spark.createDataFrame(pdf).repartition(3), ("a", "b", "c"), classes, c=0.5, tolerance=1e-6)
+    for k, w in zip(range(classes) if classes > 2 else [1], fitted.weights):
+        t = np.where(pdf.label == k, 1.0, -1.0)
+        gap = np.maximum(1 - t * (x @ w), 0)
+        gradient = w - 2 * 0.5 * (gap * t) @ x
+        at_zero = -2 * 0.5 * t @ x
+        assert np.linalg.norm(gradient) < 1e-5 * np.linalg.norm(at_zero)
+
+
+def test_stochastic_hinge_comes_near_the_least_objective(spark):
+    rng = np.random.default_rng(21)
+    n, alpha = 400, 1e-2
+    y = rng.integers(0, 2, n)
+    pdf = pd.DataFrame({"a": rng.normal(size=n) + 1.5 * y, "b": rng.normal(size=n) - y, "label": y.astype(float)})
+    x, t = np.column_stack([pdf[["a", "b"]].to_numpy(), np.ones(n)]), 2.0 * y - 1
+
+    def value(w):
+        return alpha / 2 * (w[:-1] ** 2).sum() + np.maximum(1 - t * (x @ w), 0).mean()
+
+    fitted = linear.stochastic_hinge(spark.createDataFrame(pdf).repartition(3), ("a", "b"), 2, alpha=alpha, epochs=40)
+    least = np.zeros(3)
+    for k in range(1, 20_000):  # plain subgradient steps over all rows
+        hit = t * (x @ least) < 1
+        least = least - 1 / (alpha * (k + 100)) * (alpha * np.append(least[:-1], 0) - (t * hit) @ x / n)
+    assert value(fitted.weights[0]) < 1.03 * value(least)
+
+
+def test_five_hundred_columns(spark):
+    rng = np.random.default_rng(22)
+    d, n = 500, 1300
+    y = np.arange(n) % 2
+    x = rng.normal(size=(n, d)) + 0.4 * y[:, None]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(d)]).assign(row_id=np.arange(n), label=y.astype(float))).repartition(3)
+    cols = tuple(f"c{i}" for i in range(d))
+    ctx = Context(cols, 2, n)
+    for name in ("lda", "ridge_classifier", "qda"):
+        got = predict(name, df, df, ctx)
+        assert got.where("label = prediction").count() > 0.9 * n
+    from twinlens.operators.generate import covariance
+
+    assert np.allclose(covariance(df, list(cols)), np.cov(x.T))

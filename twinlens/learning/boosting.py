@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.functions.numbers import sql_name
 from twinlens.operators.ranking import exact_quantiles
 from twinlens.session import materialize
 
@@ -196,7 +197,7 @@ def _coded(train: DataFrame, model: Boosted) -> DataFrame:
             scores = pa.FixedSizeListArray.from_arrays(pa.array(np.tile(model.base, len(x))), len(model.base)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in codes], pa.binary()), batch.column(0), scores], ["codes", "label", "scores"])
 
-    rows = train.select(F.col("label").cast("int").alias("label"), *[F.col(c).cast("double") for c in model.cols])
+    rows = train.select(F.col("label").cast("int").alias("label"), *[F.col(sql_name(c)).cast("double") for c in model.cols])
     return materialize(rows.mapInArrow(run, "codes binary, label int, scores array<double>"))
 
 
@@ -266,10 +267,11 @@ def prepared(train: DataFrame, cols: tuple[str, ...], classes: int, bins: int) -
     counts = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}  # a row per class
     n = sum(counts.values())
     probs = [i / bins for i in range(1, bins)]
-    cuts = exact_quantiles(train.select(*cols), list(cols), probs, {c: n for c in cols})
+    plain = {f"x{i}": c for i, c in enumerate(cols)}
+    cuts = exact_quantiles(train.select(*[F.col(sql_name(c)).cast("double").alias(x) for x, c in plain.items()]), list(plain), probs, {x: n for x in plain})
     share = np.array([(counts.get(k, 0) + 1e-9) / (n + 1e-9 * classes) for k in range(classes)])
     base = np.array([math.log(share[1] / share[0])]) if classes == 2 else np.log(share)
-    return Boosted(tuple(cols), [np.unique(np.array(cuts[c], dtype=float)) for c in cols], base), n
+    return Boosted(tuple(cols), [np.unique(np.array(cuts[c], dtype=float)) for c in plain], base), n
 
 
 def fit(train: DataFrame, cols: tuple[str, ...], classes: int, rules: Rules, local_values: int = LOCAL_VALUES) -> Boosted:
@@ -300,7 +302,7 @@ def predictions(model: Boosted, test: DataFrame) -> Column:
         scores = model.scores(model.codes(frame.to_numpy(dtype=float)))
         return pd.Series((scores[:, 0] > 0).astype(float) if scores.shape[1] == 1 else scores.argmax(axis=1).astype(float))
 
-    return predict(F.struct(*[F.col(c).cast("double") for c in model.cols]))
+    return predict(F.struct(*[F.col(sql_name(c)).cast("double") for c in model.cols]))
 
 
 def root_gains(train: DataFrame, cols: tuple[str, ...], classes: int, rules: Rules) -> DataFrame:

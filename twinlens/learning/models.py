@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_uniform
 from twinlens.functions.numbers import sql_name
-from twinlens.learning import boosting
+from twinlens.learning import boosting, linear
+from twinlens.operators.gram import covariances, gram
 from twinlens.operators.neighbors import nearest
 from twinlens.session import materialize
 
@@ -143,16 +145,18 @@ def perceptron_layers(train, test, ctx, params):
 
 @model("linear_svc")
 def linear_svc(train, test, ctx, params):
-    reg = 1.0 / (float(params.get("C", 1.0)) * max(1, ctx.n_train))
-    return _many(LinearSVC(maxIter=int(params.get("max_iter", 1000)), regParam=reg, standardization=False,
-                           tol=float(params.get("tol", 1e-4))), train, test, ctx)
+    """Squared hinge loss with an L2 term on weights and bias, by damped Newton steps over all rows."""
+    fitted = linear.squared_hinge(train, ctx.cols, ctx.classes, c=float(params.get("C", 1.0)), steps=int(params.get("max_iter", 1000)),
+                                  tolerance=float(params.get("tol", 1e-4)))
+    return _best(test, ctx, list(range(ctx.classes)), fitted.scores)
 
 
 @model("sgd_classifier")
 def sgd(train, test, ctx, params):
-    """The same objective (hinge loss, L2 of 1e-4) solved by quasi-Newton steps."""
-    return _many(LinearSVC(maxIter=int(params.get("max_iter", 1000)), regParam=float(params.get("alpha", 1e-4)),
-                           standardization=False, tol=float(params.get("tol", 1e-3))), train, test, ctx)
+    """Hinge loss with an L2 term by stochastic steps in every partition, whose results are averaged after each epoch."""
+    fitted = linear.stochastic_hinge(train, ctx.cols, ctx.classes, alpha=float(params.get("alpha", 1e-4)), epochs=int(params.get("max_iter", 1000)),
+                                     tolerance=float(params.get("tol", 1e-3)), patience=int(params.get("n_iter_no_change", 5)), seed=int(params.get("random_state", SEED)))
+    return _best(test, ctx, list(range(ctx.classes)), fitted.scores)
 
 
 @model("svm")
@@ -199,23 +203,11 @@ def naive_bayes(train, test, ctx, params):
 
 
 def _class_moments(train: DataFrame, ctx: Context) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """Per class: rows, mean vector, population covariance; one partial aggregate."""
-    d = len(ctx.cols)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    q = [sql_name(c) for c in ctx.cols]
-    rows = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"avg({c})").alias(f"m{i}") for i, c in enumerate(q)],
-                                      *[F.expr(f"covar_pop({q[i]}, {q[j]})").alias(f"c{i}_{j}") for i, j in pairs]).collect()
+    """Per class: rows, mean vector, population covariance; one pass, however many columns."""
     out = {}
-    for r in rows:
-        cov = np.zeros((d, d))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
-        out[int(r["label"])] = (r["n"], np.array([r[f"m{i}"] for i in range(d)]), cov)
-    return out
-
-
-def _linear(cols: tuple[str, ...], weights: np.ndarray, bias: float) -> str:
-    return "(" + " + ".join([f"{float(bias)!r}D", *[f"({float(w)!r}D) * {sql_name(c)}" for w, c in zip(weights, cols)]]) + ")"
+    for label, (n, s, p) in gram(train, list(ctx.cols), by="label").items():
+        out[int(label)] = (int(n[0, 0]), np.diag(s) / n[0, 0], covariances(n, s, p, sample=False))
+    return dict(sorted(out.items()))
 
 
 def _argmax(test: DataFrame, scores: dict[int, str]) -> DataFrame:
@@ -224,18 +216,34 @@ def _argmax(test: DataFrame, scores: dict[int, str]) -> DataFrame:
     return _out(test.withColumn("prediction", F.expr(f"-array_max(array({cells})).c")))
 
 
+def _best(test: DataFrame, ctx: Context, classes: list[int], scores: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Class with the highest of the ``scores`` (rows x classes) of each row, the lowest class on ties."""
+    names = np.array(classes, float)
+
+    @F.pandas_udf("double")
+    def best(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series(names[scores(frame.to_numpy(dtype=float)).argmax(axis=1)])
+
+    return _out(test.withColumn("prediction", best(F.struct(*[F.col(sql_name(c)).cast("double") for c in ctx.cols]))))
+
+
+def _best_linear(test: DataFrame, ctx: Context, planes: dict[int, tuple[np.ndarray, float]]) -> DataFrame:
+    weights, bias = np.stack([w for w, _ in planes.values()], axis=1), np.array([b for _, b in planes.values()])
+    return _best(test, ctx, list(planes), lambda x: x @ weights + bias)
+
+
 @model("lda")
 def discriminant(train, test, ctx, params):
-    """Class means and pooled covariance from one aggregate, linear scores as expressions."""
+    """Class means and pooled covariance from one pass, linear scores."""
     m = _class_moments(train, ctx)
     n = sum(v[0] for v in m.values())
     pooled = sum(v[0] * v[2] for v in m.values()) / max(1, n - len(m))
     inverse = np.linalg.pinv(pooled)
-    scores = {}
+    planes = {}
     for c, (have, mean, _) in m.items():
         w = inverse @ mean
-        scores[c] = _linear(ctx.cols, w, -0.5 * mean @ w + math.log(have / n))
-    return _argmax(test, scores)
+        planes[c] = (w, -0.5 * mean @ w + math.log(have / n))
+    return _best_linear(test, ctx, planes)
 
 
 @model("qda")
@@ -243,17 +251,16 @@ def quadratic_discriminant(train, test, ctx, params):
     """Gaussian log-likelihood with the covariance of each class."""
     m = _class_moments(train, ctx)
     n = sum(v[0] for v in m.values())
-    scores = {}
-    for c, (have, mean, cov) in m.items():
+    parts = []
+    for have, mean, cov in m.values():
         cov = cov * have / max(1, have - 1)
         sign, logdet = np.linalg.slogdet(cov)
-        inverse = np.linalg.pinv(cov)
-        centred = [f"({sql_name(col)} - ({float(mu)!r}D))" for col, mu in zip(ctx.cols, mean)]
-        quad = " + ".join(f"({float(inverse[i, j])!r}D) * {centred[i]} * {centred[j]}"
-                          for i in range(len(centred)) for j in range(len(centred)))
-        shift = math.log(have / n) - 0.5 * (logdet if sign > 0 else 0.0)
-        scores[c] = f"({float(shift)!r}D - 0.5D * ({quad}))"
-    return _argmax(test, scores)
+        parts.append((mean, np.linalg.pinv(cov), math.log(have / n) - 0.5 * (logdet if sign > 0 else 0.0)))
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        return np.stack([shift - 0.5 * (((x - mean) @ inverse) * (x - mean)).sum(axis=1) for mean, inverse, shift in parts], axis=1)
+
+    return _best(test, ctx, list(m), scores)
 
 
 @model("ridge_classifier")
@@ -264,12 +271,12 @@ def ridge(train, test, ctx, params):
     mean = sum(v[0] * v[1] for v in m.values()) / n
     total = sum(v[0] * (v[2] + np.outer(v[1] - mean, v[1] - mean)) for v in m.values())
     lhs = total + float(params.get("alpha", 1.0)) * np.eye(len(ctx.cols))
-    scores = {}
+    planes = {}
     for c, (have, mu, _) in m.items():
         target = 2 * have / n - 1  # mean of the +-1 target
         w = np.linalg.solve(lhs, 2 * have * (mu - mean))
-        scores[c] = _linear(ctx.cols, w, target - mean @ w)
-    return _argmax(test, scores)
+        planes[c] = (w, target - mean @ w)
+    return _best_linear(test, ctx, planes)
 
 
 @model("ada_boost")

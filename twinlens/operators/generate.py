@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from twinlens.facts import number, single_facts
 from twinlens.functions.gaussian import normal_cdf, normal_ppf
 from twinlens.functions.hashing import hash_index, hash_normal, hash_uniform
+from twinlens.operators.gram import covariances, gram
 from twinlens.operators.ranking import (
     add_buckets,
     bucket_splits,
@@ -32,6 +34,7 @@ from twinlens.session import materialize
 
 SID = "sid"  # synthetic row number
 IDX = "__idx"  # original row number
+WIDE = 16  # columns above which rows are mixed by a matrix product
 TINY = 1e-6  # fixed value: deviation of the noise on duplicated rows
 
 
@@ -115,14 +118,10 @@ def kde_sampling(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> Dat
     return finish(draw_columns(smooth, t, t.other, seed), t, keep_id)
 
 
-def covariance(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """Sample covariance matrix; one aggregate pass, d x d numbers come back."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[F.covar_samp(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")) for i, j in pairs]).first()
-    out = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(pairs, row):
-        out[i, j] = out[j, i] = v or 0.0
-    return out
+def covariance(df: DataFrame, cols: list[str], means: list[float] | None = None) -> np.ndarray:
+    """Sample covariance matrix over pairwise complete rows; one pass, d x d numbers come back. ``means`` keep sums small."""
+    found = gram(df, cols, shift=means).get(None)
+    return covariances(*found, sample=True) if found else np.zeros((len(cols), len(cols)))
 
 
 def _factor(cov: np.ndarray) -> np.ndarray:
@@ -142,11 +141,20 @@ def _factor(cov: np.ndarray) -> np.ndarray:
 def correlated_normals(df: DataFrame, cols: list[str], low: np.ndarray, centre: list[float], seed: int) -> DataFrame:
     """Add one column per name: centre + low @ independent normals of the row."""
     df = df.withColumns({f"__z{i}": hash_normal(seed, f"mvn.{i}", F.col(SID)) for i in range(len(cols))})
+    names = [f"__z{i}" for i in range(len(cols))]
+    if len(cols) > WIDE:  # a matrix product per batch in place of d x d terms
+
+        @F.pandas_udf("array<double>")
+        def mixed(z: pd.DataFrame) -> pd.Series:
+            return pd.Series(list(z.to_numpy() @ low.T + np.asarray(centre, float)))
+
+        df = df.withColumn("__mixed", mixed(F.struct(*names)))
+        return df.withColumns({c: F.col("__mixed")[i] for i, c in enumerate(cols)}).drop(*names, "__mixed")
     out = {}
     for i, c in enumerate(cols):
         terms = (F.lit(float(low[i, j])) * F.col(f"__z{j}") for j in range(i + 1))
         out[c] = sum(terms, F.lit(float(centre[i])))
-    return df.withColumns(out).drop(*[f"__z{i}" for i in range(len(cols))])
+    return df.withColumns(out).drop(*names)
 
 
 def gaussian_mvn(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> DataFrame:
@@ -161,7 +169,7 @@ def gaussian_mvn(t: Table, n: int, seed: int = 42, keep_id: bool = False) -> Dat
     cols = [c for c in t.numeric if means[c] is not None]
     base = numbered(t, n)
     if cols:
-        base = correlated_normals(base, cols, _factor(covariance(values, cols)), [means[c] for c in cols], seed)
+        base = correlated_normals(base, cols, _factor(covariance(values, cols, [means[c] for c in cols])), [means[c] for c in cols], seed)
     base = base.withColumns({c: F.lit(None).cast("double") for c in t.numeric if means[c] is None})
     return finish(draw_columns(base, t, t.other, seed), t, keep_id)
 
