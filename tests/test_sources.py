@@ -76,3 +76,23 @@ def test_workbook_and_json(spark, tmp_path):
     doc = json.loads(report.results_json(facts).first()["json"])
     assert doc["fidelity"]["kl_divergence"] == {"x.kl": "0.5"}
     assert facts.where(F.col("feature").isNull()).count() == 1
+
+
+def test_recent_rows_read_the_newest_months_only(spark, tmp_path):
+    from twinlens.sources import history as H
+
+    path = str(tmp_path / "log")
+    rows = spark.range(300).selectExpr("concat('a', id) AS id", "timestamp '2020-01-15 00:00:00' + make_interval(0, id % 30) AS timestamp").withColumn("dataset_name", F.lit("d"))
+    rows = rows.unionByName(spark.createDataFrame([("none", None, "d")], "id string, timestamp timestamp, dataset_name string"))
+    fields = {f.name: f.dataType for f in H.ANALYSIS.fields}
+    whole = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()])
+    H.append_analyses(whole, path)
+    stored = H.read_analyses(spark, path)
+    for limit in (4, 10, 25, 299, 400):
+        got = [r.id for r in H.recent(stored, limit).collect()]
+        want = [r.id for r in stored.drop("month").orderBy(F.desc("timestamp"), "id").limit(limit).collect()]
+        assert got == want
+    assert {r.month for r in H.newest_months(stored, 10).select("month").distinct().collect()} == {"2022-06"}
+    plan = H.recent(stored, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2022-06" in plan
+    assert H.recent(stored.where("id = 'a0'"), 3).count() == 1

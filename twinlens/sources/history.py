@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,8 @@ def _shaped(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 def _append(rows: DataFrame, schema: T.StructType, path: str) -> None:
     """One folder per month; rows are gathered by month first, and hot months are split."""
-    shaped = _shaped(rows, schema).withColumn("month", F.date_format("timestamp", "yyyy-MM"))
+    in_utc = F.to_utc_timestamp("timestamp", F.current_timezone())  # months follow each other as timestamps do, wherever they are written
+    shaped = _shaped(rows, schema).withColumn("month", F.date_format(in_utc, "yyyy-MM"))
     shaped.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
@@ -56,8 +59,25 @@ def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recent(rows: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest rows first (a top-n per task, then one merge)."""
-    return rows.orderBy(F.desc("timestamp"), "id").limit(limit)
+    """Newest rows first (a top-n per task, then one merge). A table in month folders is read from the newest month back, as
+    far as it takes to find ``limit`` rows."""
+    return newest_months(rows, limit).orderBy(F.desc("timestamp"), "id").limit(limit)
+
+
+def newest_months(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of the newest month folders that hold ``limit`` rows together, or all rows; the months come from the file
+    listing, and each look goes over twice as many of them as the one before."""
+    if "month" not in rows.columns:
+        return rows
+    months = {m.group(1) for m in (re.search(r"/month=([^/]+)/", f) for f in rows.inputFiles()) if m}
+    dated = sorted((m for m in months if re.fullmatch(r"\d{4,}-\d\d", m)), reverse=True)  # rows without a timestamp come last
+    found, at, step = 0, 0, 1
+    while at < len(dated):
+        found += rows.where(F.col("month").isin(dated[at:at + step])).limit(limit - found).count()
+        at, step = at + step, 2 * step
+        if found >= limit:
+            return rows.where(F.col("month").isin(dated[:at]))
+    return rows
 
 
 def by_id(rows: DataFrame, analysis_id) -> DataFrame:
