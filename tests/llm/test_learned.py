@@ -135,6 +135,38 @@ def test_gradients_of_the_network():
         assert abs(numeric_gradient(net, words, index, y, "word", row * toxicity._WORD + j) - d_inputs[1, j]) < 3e-3
 
 
+def test_logits_equal_a_plain_loop_and_slices_equal_windows():
+    import random
+
+    rng = random.Random(8)
+    texts = [sentence(rng, n) for n in (3, 16, 40, 70, 90)]
+    data, bounds = textarrays.utf8(pa.array(texts, pa.large_string()))
+    words = toxicity.Words(data, bounds)
+    net = toxicity.Network(words.hash[::2], 5)
+    x, h = net.inputs(words).astype(float), toxicity._HIDDEN
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def logit(at):
+        states = {}
+        for side, order in (("f", range(len(at))), ("b", range(len(at) - 1, -1, -1))):
+            s = np.zeros(h)
+            for k in order:
+                p = x[at[k]] @ net.p[f"x{side}"] + net.p[f"c{side}"]
+                gate = logistic(2 * (p[: 2 * h] + s @ net.p[f"u{side}"]))
+                new = np.tanh(p[2 * h :] + gate[h:] * (s @ net.p[f"n{side}"]))
+                s = (1 - gate[:h]) * new + gate[:h] * s
+                states[side, k] = s
+        both = [np.concatenate([states["f", k], states["b", k]]) for k in range(len(at))]
+        share = np.exp([np.tanh(s @ net.p["att"]) @ net.p["att_v"] for s in both])
+        return sum(w * s for w, s in zip(share / share.sum(), both)) @ net.p["out"] + net.p["bias"][0]
+
+    want = []
+    for d in range(5):
+        at, size = words.at[words.doc == d], toxicity.WINDOW
+        want.append(max(logit(at[k : k + size]) for k in range(max(1, len(at) - size + 1))))
+    assert np.allclose(net.largest(words, 5), want, atol=1e-5)
+
+
 def test_windows_overlap_and_cover_every_word():
     texts = ["a b c", "", " ".join("abcdefgh"[k % 8] for k in range(100)), " ".join("x" * 1 for _ in range(16)), "z " * 17]
     data, bounds = textarrays.utf8(pa.array(texts, pa.large_string()))

@@ -26,6 +26,8 @@ WINDOW, STRIDE = 16, 8
 _HIDDEN, _WORD, _CHAR, _GRAMS = 8, 8, 12, 1 << 15
 _EMPTY = -8.0
 _AT_ONCE = 20_000  # distinct words whose runs are held at once
+_LONG = 64  # words from which on a text's windows are laid out as slices of its words
+_SLIDE = 2048  # windows laid out together; their states stay in a core's cache
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -125,11 +127,14 @@ class Network:
         return np.concatenate([self.p["word"][self.rows], chars], axis=1).astype(np.float32)
 
     def _run(self, x: np.ndarray, live: np.ndarray, side: str, keep: list | None) -> np.ndarray:
-        """Hidden states (windows, WINDOW, h) for projected inputs x (windows, WINDOW, 3h)."""
+        """Hidden states (windows, WINDOW, h) for projected inputs x (windows, WINDOW, 3h).
+
+        Gates are 0.5 + 0.5 tanh(x), the logistic function of 2x without its exponential.
+        """
         u, un, h = self.p[f"u{side}"], self.p[f"n{side}"], _HIDDEN
         state, out = np.zeros((len(x), h), np.float32), np.empty((len(x), WINDOW, h), np.float32)
         for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-            gates = _sigmoid(x[:, t, : 2 * h] + state @ u)
+            gates = 0.5 + 0.5 * np.tanh(x[:, t, : 2 * h] + state @ u)
             z, r = gates[:, :h], gates[:, h:]
             own = state @ un
             n = np.tanh(x[:, t, 2 * h :] + r * own)
@@ -181,7 +186,7 @@ class Network:
                 here = live[:, t, None]
                 d_live = np.where(here, d, 0)
                 d_n = d_live * (1 - z) * (1 - n**2)
-                d_gates = np.concatenate([d_live * (before - n) * z * (1 - z), d_n * own * r * (1 - r)], axis=1)
+                d_gates = 2 * np.concatenate([d_live * (before - n) * z * (1 - z), d_n * own * r * (1 - r)], axis=1)
                 d_own = d_n * r
                 d_state = np.where(here, d_live * z, d) + d_gates @ u.T + d_own @ un.T
                 gu += before.T @ d_gates
@@ -236,13 +241,61 @@ class Network:
         got = [self.forward(projected, index[a : a + 2048]) for a in range(0, len(index), 2048)]
         return np.concatenate([np.zeros(0, np.float32), *got]), doc, index
 
+    def _slide(self, x: np.ndarray) -> np.ndarray:
+        """Logits of the windows that start at each place of x (6h, places), but for the last WINDOW - 1.
+
+        The same network as ``forward``, laid out feature by feature: a step reads one slice of x for all windows at once,
+        both directions go together, and gates are formed in place.
+        """
+        h, m = _HIDDEN, x.shape[1] - WINDOW + 1
+        weight = np.stack([np.concatenate([self.p[f"u{s}"], self.p[f"n{s}"]], axis=1).T for s in "fb"])
+        state, states = np.zeros((2, h, m), np.float32), np.empty((WINDOW, 2, h, m), np.float32)
+        gates = np.empty((2, 3 * h, m), np.float32)
+        for t in range(WINDOW):
+            back = WINDOW - 1 - t
+            ahead = x[: 3 * h, t : t + m], x[3 * h :, back : back + m]
+            np.matmul(weight, state, out=gates)
+            zr, n = gates[:, : 2 * h], gates[:, 2 * h :]
+            for side in (0, 1):
+                zr[side] += ahead[side][: 2 * h]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            n *= zr[:, h:]
+            for side in (0, 1):
+                n[side] += ahead[side][2 * h :]
+            np.tanh(n, out=n)
+            state -= n
+            state *= zr[:, :h]
+            state += n
+            states[t, 0], states[back, 1] = state[0], state[1]
+        flat = states.reshape(WINDOW, 2 * h, m)
+        hidden = np.matmul(self.p["att"].T, flat)
+        np.tanh(hidden, out=hidden)
+        share = np.matmul(self.p["att_v"], hidden)
+        share -= share.max(axis=0)
+        np.exp(share, out=share)
+        share /= share.sum(axis=0)
+        return (np.matmul(self.p["out"], flat) * share).sum(axis=0) + self.p["bias"][0]
+
     def largest(self, words: Words, n_docs: int) -> np.ndarray:
         """Largest logit over all windows of every text; windows are laid out some at a time."""
         best, projected = np.full(n_docs, _EMPTY), self.project(self.inputs(words))
         first, left, doc = words.starts(n_docs, 1)
-        for a in range(0, len(doc), 2048):
-            places = _places(first[a : a + 2048], left[a : a + 2048])
-            np.maximum.at(best, doc[a : a + 2048], self.forward(projected, np.where(places >= 0, words.at[places], -1)))
+        slides = np.bincount(words.doc, minlength=n_docs)[doc] >= _LONG
+        rest = np.flatnonzero(~slides)
+        for a in range(0, len(rest), 2048):
+            rows = rest[a : a + 2048]
+            places = _places(first[rows], left[rows])
+            np.maximum.at(best, doc[rows], self.forward(projected, np.where(places >= 0, words.at[places], -1)))
+        first, doc = first[slides], doc[slides]  # each of these windows is full
+        both = np.concatenate([projected["f"], projected["b"]], axis=1)
+        a = 0
+        while a < len(first):
+            b = int(np.searchsorted(first, first[a] + _SLIDE))
+            x = np.ascontiguousarray(both[words.at[first[a] : first[b - 1] + WINDOW]].T)
+            np.maximum.at(best, doc[a:b], self._slide(x)[first[a:b] - first[a]])
+            a = b
         return best
 
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -262,8 +315,13 @@ class _Subset:
         self.gram = words.gram[words.bounds[used][self.owner] + np.arange(self.bounds[-1]) - self.bounds[self.owner]]
 
 
-def train(texts: list[str], labels: np.ndarray, least_texts: int = 4, windows_per_text: int = 48, seed: int = 11) -> Network | None:
-    """A network from texts and labels 0/1; None unless both occur. ``windows_per_text`` bounds what one text adds to the fit."""
+def train(texts: list[str], labels: np.ndarray, least_texts: int = 4, windows_per_text: int = 48, hard_windows: int = 4000,
+          clean_windows: int = 20_000, turns: int = 3, seed: int = 11) -> Network | None:
+    """A network from texts and labels 0/1; None unless both occur.
+
+    Bounds of the fit: ``windows_per_text`` is what one text adds at first; each of the ``turns`` then takes the highest windows of
+    toxic texts, the ``hard_windows`` highest clean ones (twice the toxic ones if more) and ``clean_windows`` drawn ones.
+    """
     labels = np.asarray(labels, float)
     if len(set(labels.tolist())) < 2:
         return None
@@ -282,15 +340,15 @@ def train(texts: list[str], labels: np.ndarray, least_texts: int = 4, windows_pe
     y = labels[doc[sample]]
     weight = np.where(y == 1, (y == 0).sum() / max(1, y.sum()), 1.0)
     net.train(words, index[sample], y, np.minimum(weight, 20), epochs=3, rate=0.01, seed=seed)
-    for turn in range(3):
+    for turn in range(turns):
         logit, _, _ = net.logits(words, n)
         top = np.full(n, _EMPTY)
         np.maximum.at(top, doc, logit)
         clear = labels[doc] == 1
         positive = np.flatnonzero(clear & (logit >= np.maximum(top[doc] - 1.0, 0.5 * top[doc])))
         clean = np.flatnonzero(~clear)
-        hard = clean[np.argsort(-logit[clean], kind="stable")[: max(4000, 2 * len(positive))]]
-        negative = np.concatenate([hard, rng.choice(clean, min(len(clean), 20_000), replace=False)])
+        hard = clean[np.argsort(-logit[clean], kind="stable")[: max(hard_windows, 2 * len(positive))]]
+        negative = np.concatenate([hard, rng.choice(clean, min(len(clean), clean_windows), replace=False)])
         rows = np.concatenate([positive, negative])
         y = labels[doc[rows]]
         weight = np.where(y == 1, (y == 0).sum() / max(1, y.sum()), 1.0)
