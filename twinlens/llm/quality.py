@@ -178,13 +178,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   train_rows: int = 20_000, least_score: float = 0.5) -> DataFrame:
     """Statistics, base verdict, score and final verdict of every document.
 
-    The trees are fitted on the ``train_rows`` labelled rows whose hashed ids come first (the documented bound of the
-    sample); they see statistics only. Repeated ids among the labels count once, by their largest label.
+    The trees are fitted on about ``train_rows`` labelled rows (the documented bound of the sample): those whose hashed
+    statistics fall below that share, equal ones once. They see statistics only. Repeated ids among the labels count once,
+    by their largest label.
     """
     stats = materialize(document_statistics(docs, id_col, text_col))
     marks = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("_label")).where(
         F.col(id_col).isNotNull() & F.col("_label").isin(0.0, 1.0)).groupBy(id_col).agg(F.max("_label").alias("_label"))
-    sample = stats.join(marks, id_col).orderBy(F.xxhash64(F.col(id_col)), *COUNTS).limit(train_rows).toPandas()
+    known = stats.join(marks, id_col).select("_label", *COUNTS)
+    place = F.pmod(F.xxhash64(F.lit("quality"), *known.columns), F.lit(1_000_003)) / 1_000_003.0
+    share = train_rows / max(1, known.count())
+    sample = known.where(place < share).dropDuplicates().orderBy(place, *known.columns).toPandas()
     model = None
     if sample["_label"].nunique() == 2:
         model = fit_trees(features({c: sample[c].to_numpy() for c in COUNTS}), sample["_label"].to_numpy(), list(FEATURES.values()))
