@@ -31,9 +31,9 @@ def cluster_count(n_o: int, n_a: int) -> int:
     return max(2, min(8, n_o // 10, n_a // 10))
 
 
-def scaled_side(df: DataFrame, pair: Pair) -> DataFrame:
-    """Row id and metric columns standardised by the original."""
-    return df.select(ROW_ID, *[
+def scaled_side(df: DataFrame, pair: Pair, *more: Column) -> DataFrame:
+    """Row id, ``more`` columns and metric columns standardised by the original."""
+    return df.select(ROW_ID, *more, *[
         ((F.col(c) - F.lit(pair.o_stats[c]["mean"])) / F.lit(s)).alias(c) for c, s in zip(pair.cols, pair.scale)])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.facts import feature_facts, number, single_facts, word
@@ -113,8 +113,11 @@ class Clustered:
     k: int
 
 
-def clustered(pair: Pair) -> Clustered:
-    """K-means fitted once on the original and applied to both sides."""
+def clustered(pair: Pair, label: Column | None = None, k: int | None = None) -> Clustered:
+    """K-means fitted once on the original and applied to both sides, or ``k`` clusters that a ``label`` of each row names."""
+    if label is not None:
+        sides = (materialize(C.scaled_side(df, pair, label.alias("label"))) for df in (pair.o_keyed, pair.a_keyed))
+        return Clustered(*sides, pair.cols, k)
     k = C.cluster_count(*pair.counts())
     o, a = C.scaled_side(pair.o_keyed, pair), C.scaled_side(pair.a_keyed, pair)
     model = C.fit_kmeans(o, pair.cols, k)

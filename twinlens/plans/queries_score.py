@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions.numbers import tidy
+from twinlens.learning.utility import utility_facts
 from twinlens.operators import diversity, fidelity, privacy
 from twinlens.operators.profile import table_counts, validate_pair
 from twinlens.plans import report, score
@@ -22,16 +24,30 @@ from twinlens.plans.pairs import (
     part_pair,
     table,
 )
+from twinlens.plans.queries_utility import order_results, utility_sql
 from twinlens.plans.registry import register
-from twinlens.plans.sql_metrics import diversity_sql, fidelity_sql, privacy_sql
+from twinlens.plans.sql_metrics import cluster_sql, diversity_sql, fidelity_sql, membership_sql, privacy_sql
 from twinlens.session import materialize_all, shared_folder
 from twinlens.sources import history, tables
 
 _CACHE: dict[tuple[str, str], DataFrame] = {}
 
 
+# Clusters and attack given for each pair, as text that Spark and the check SQL both read: the label of a row, and what
+# is taken for an original row. Fitted clusters and the fitted attack are k8 and v2.
+CLUSTERS = 5
+GIVEN = {"parts": ("CAST(least(4, floor(p_size / 10.0)) AS int)", "p_retailprice < 1480"),
+         "accounts": ("CAST(least(4, floor(nation / 5.0)) AS int)", "balance >= 5000")}
+
+
+def _told(pair, guess: str) -> DataFrame:
+    """Rows of both sides with the answer of an attack that takes a row for an original where ``guess`` holds."""
+    sides = [df.select(F.lit(y).alias("y"), F.expr(guess).cast("double").alias("prediction")) for df, y in ((pair.orig, 1.0), (pair.aug, 0.0))]
+    return sides[0].unionByName(sides[1])
+
+
 def checked_facts(spark, sf_dir: str) -> DataFrame:
-    """Facts of both pairs for the metrics that plain SQL can follow; written once per session."""
+    """Facts of both pairs, every metric of the scores among them; written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         parts = []
@@ -42,6 +58,11 @@ def checked_facts(spark, sf_dir: str) -> DataFrame:
             frames += [privacy.nearest_neighbor_risk(near), privacy.attribute_disclosure(pair, near),
                        privacy.distance_to_closest(pair, near), privacy.uniqueness(pair), privacy.k_anonymity(pair),
                        privacy.l_diversity(pair)]
+            label, guess = GIVEN[variant]
+            groups = diversity.clustered(pair, F.expr(label), CLUSTERS)
+            frames += [f(groups) for f in diversity.CLUSTER_METRICS.values()]
+            frames += [privacy.membership_facts(_told(pair, guess)),
+                       utility_facts(order_results(spark, sf_dir)).drop("variant").withColumn("value", tidy(F.col("value")))]
             parts += [f.withColumn("variant", F.lit(variant)) for f in frames]
         _CACHE[key] = materialize_all(parts)
     return _CACHE[key]
@@ -50,7 +71,9 @@ def checked_facts(spark, sf_dir: str) -> DataFrame:
 def _facts_cte() -> str:
     sides = []
     for variant, sql, cols in (("parts", PART_SQL, PART_COLS), ("accounts", ACCOUNT_SQL, ACCOUNT_COLS)):
-        texts = {**fidelity_sql(sql, cols), **diversity_sql(sql, cols), **privacy_sql(sql, cols)}
+        label, guess = GIVEN[variant]
+        texts = {**fidelity_sql(sql, cols), **diversity_sql(sql, cols), **privacy_sql(sql, cols),
+                 **cluster_sql(sql, cols, label, CLUSTERS), "v2": membership_sql(sql, guess), "u": utility_sql()}
         texts.pop("f6_wasserstein")
         sides += [f"SELECT '{variant}' AS variant, * FROM ({t})" for t in texts.values()]
     return "facts AS MATERIALIZED (" + "\nUNION ALL\n".join(sides) + ")"
@@ -63,20 +86,25 @@ def _pick(metric: str, field: str) -> str:
     return f"max(CASE WHEN metric = '{metric}' AND field = '{field}' AND feature IS NULL THEN value END)"
 
 
+# The scores written out, apart from the library's own tables of terms.
+_WEIGHED = {
+    "fidelity": """0.3 * {kolmogorov_smirnov.similarity_score} + 0.3 * greatest(0, 1 - {mmd_score.mmd_score}) + 0.3 * {pca_comparison.average_component_similarity}
+     + 0.3 * {mean_absolute_distance.overall_distance} + 0.3 * {kl_divergence.average_kl_divergence} + 0.3 * {js_divergence.average_js_divergence}""",
+    "diversity": """0.3 * least(1, {feature_entropy.average_entropy} / 4) + 0.3 * {coverage.coverage_ratio} + 0.2 * {cluster_spread.augmented_uniformity}
+     + 0.2 * least(1, {intra_diversity.diversity_score} / 10) + 0.2 * {range_coverage.average_coverage} + 0.2 * {silhouette_score.similarity}
+     + 0.2 * {davies_bouldin_index.similarity} + 0.2 * {intra_class_compactness.similarity}""",
+    "privacy": """0.35 * {nearest_neighbor_risk.high_risk_ratio} + 0.35 * {membership_inference.privacy_score} + 0.35 * {attribute_disclosure.average_attribute_risk}
+     + 0.25 * {uniqueness.average_uniqueness} + 0.15 * least(1, {distance_to_closest.mean_dcr} / 5) + 0.15 * least(1, {k_anonymity.k_anonymity} / 20)
+     + 0.10 * least(1, {l_diversity.average_distinct_sensitive_values} / 10)"""}
+
+
 def _score_sql(dimension: str) -> str:
-    terms = []
-    for metric, field, shape, weight in score.TERMS[dimension]:
-        v = _pick(metric, field)
-        if shape == "one minus":
-            v = f"greatest(0, 1 - {v})"
-        elif shape != "as is":
-            v = f"least(1, {v} / {shape})"
-        terms.append(f"{weight}::DOUBLE * coalesce({v}, 0)")
-    return f"least(1, greatest(0, {' + '.join(terms)}))"
+    return "least(1, greatest(0, " + re.sub(r"\{(\w+)\.(\w+)\}", lambda m: _pick(m[1], m[2]), _WEIGHED[dimension]) + "))"
 
 
 SCORES = (f"WITH {FACTS}, sc AS (SELECT variant, {_score_sql('fidelity')} AS fidelity, {_score_sql('diversity')} AS diversity, "
-          f"{_score_sql('privacy')} AS privacy FROM facts GROUP BY variant), "
+          f"{_score_sql('privacy')} AS privacy, "
+          f"{_pick('utility', 'overall_utility_score')} AS utility FROM facts GROUP BY variant), "
           "sa AS (SELECT *, 0.33::DOUBLE * fidelity + 0.33::DOUBLE * diversity + 0.34::DOUBLE * privacy AS overall FROM sc)")
 _RATING = ("CASE WHEN overall >= 0.8 THEN 'Excellent' WHEN overall >= 0.6 THEN 'Good' WHEN overall >= 0.4 THEN 'Fair' "
            "WHEN overall >= 0.2 THEN 'Adequate' ELSE 'Poor' END")
@@ -158,7 +186,7 @@ def a8(spark, sf_dir):
 
 
 @register("a9_variant_comparison", f"""{SCORES} SELECT variant, {_RATING} AS rating, {S.num('overall')} AS overall,
-{S.num('fidelity')} AS fidelity, {S.num('diversity')} AS diversity, {S.num('privacy')} AS privacy, 0.0::DOUBLE AS utility FROM sa""")
+{S.num('fidelity')} AS fidelity, {S.num('diversity')} AS diversity, {S.num('privacy')} AS privacy, {S.num('utility')} AS utility FROM sa""")
 def a9(spark, sf_dir):
     return score.comparison_table(checked_facts(spark, sf_dir))
 
@@ -173,6 +201,13 @@ def s7(spark, sf_dir):
     return report.detail_sheets(checked_facts(spark, sf_dir))
 
 
+@register("s7_model_sheet", f"""WITH {FACTS} SELECT variant, feature AS model, p::INTEGER AS position, c AS caption, max(value) AS value FROM facts
+JOIN (VALUES (5, 'Combined test accuracy', 'accuracy'), (6, 'Combined test f1 (weighted)', 'f1_weighted')) r(p, c, field) USING (field)
+WHERE dimension = 'utility' AND metric = 'combined' AND feature IS NOT NULL GROUP BY ALL""")
+def s7_models(spark, sf_dir):
+    return report.model_sheet(checked_facts(spark, sf_dir))
+
+
 def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -204,7 +239,7 @@ def s5(spark, sf_dir):
 
 
 @register("s6_results_json", f"""WITH {FACTS} SELECT variant, dimension, metric, (feature IS NOT NULL) AS per_feature,
-coalesce(feature || '.', '') || field AS name, coalesce(label, value::VARCHAR) IS NOT NULL AS filled FROM facts""")
+coalesce(feature || '.', '') || field AS name, {S.num('value')} AS value, label FROM facts""")
 def s6(spark, sf_dir):
     """Export to nested JSON and read the leaves back."""
     text = report.results_json(checked_facts(spark, sf_dir))
@@ -213,7 +248,8 @@ def s6(spark, sf_dir):
               .select("variant", "dimension", F.explode("m").alias("metric", "f"))
               .select("variant", "dimension", "metric", F.explode("f").alias("name", "value")))
     return leaves.select("variant", "dimension", "metric", F.contains("name", F.lit(".")).alias("per_feature"), "name",
-                         F.col("value").isNotNull().alias("filled"))
+                         tidy(F.expr("try_cast(value AS double)")).alias("value"),
+                         F.when(F.expr("try_cast(value AS double)").isNull(), F.col("value")).alias("label"))
 
 
 @register("s8_tagged_variants", """SELECT variant, count(*)::BIGINT AS n, count(segment)::BIGINT AS segments, round(avg(balance), 4) + 0.0 AS balance FROM (
@@ -299,7 +335,7 @@ def h1(spark, sf_dir):
 @register("h8_analysis_record", f"""{SCORES}, n AS (SELECT 'parts' AS variant, (SELECT count(*) FROM part) AS o, (SELECT count(*) FROM part) AS a UNION ALL
 SELECT 'accounts', (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier))
 SELECT variant AS dataset_name, o AS original_dataset_rows, a AS augmented_dataset_rows, {S.num('fidelity')} AS fidelity_score,
-{S.num('diversity')} AS diversity_score, {S.num('privacy')} AS privacy_score, 0.0::DOUBLE AS utility_score, {S.num('overall')} AS overall_score,
+{S.num('diversity')} AS diversity_score, {S.num('privacy')} AS privacy_score, {S.num('utility')} AS utility_score, {S.num('overall')} AS overall_score,
 {_RATING} AS rating, TRUE AS has_summary FROM sa JOIN n USING (variant)""")
 def h8(spark, sf_dir):
     """An analysis with its validation and summaries, stored and read back."""

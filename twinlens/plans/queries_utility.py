@@ -116,6 +116,19 @@ m AS (SELECT model, max(acc) FILTER (sc = 'o') AS oa, max(acc) FILTER (sc = 'a')
 t AS (SELECT avg(ca - oa) AS ia, avg(c1 - o1) AS i1, avg(ca) AS acc FROM m)"""
 
 
+def utility_sql() -> str:
+    """Facts of ``order_results``, per model and overall."""
+    scenario = "CASE sc WHEN 'o' THEN 'original_only' WHEN 'a' THEN 'augmented_only' ELSE 'combined' END"
+    per = " UNION ALL ".join(f"SELECT 'utility' AS dimension, {scenario} AS metric, model AS feature, '{field}' AS field, {S.num(c)} AS value, NULL::VARCHAR AS label FROM w"
+                             for field, c in (("accuracy", "acc"), ("f1_weighted", "f1")))
+    total = S.facts("utility", "utility", "x", [
+        ("average_improvement_accuracy", "ia", 6), ("average_improvement_f1", "i1", 6),
+        ("overall_utility_score", "0.6::DOUBLE * least(1, greatest(0, (ia + 0.1) / 0.2)) + 0.4::DOUBLE * acc", 6), ("best_accuracy", "ca", 6), ("best_f1", "c1", 6),
+        ("verdict", S.grade("ia", [("Excellent utility", ">", 0.05), ("Good utility", ">", 0.02), ("Neutral utility", ">", -0.02)], "Poor utility"), "word"),
+        ("best_model", "model", "word")])
+    return f"WITH {_RES}, b AS (SELECT model, ca, c1 FROM m ORDER BY ca DESC, model DESC LIMIT 1), x AS (SELECT * FROM t, b) {per} UNION ALL {total}"
+
+
 @register("u6_improvement", f"""WITH {_RES} SELECT model, {S.num('ca - oa')} AS accuracy, {S.num('c1 - o1')} AS f1 FROM m UNION ALL
 SELECT 'average', {S.num('ia')}, {S.num('i1')} FROM t""")
 def u6(spark, sf_dir):

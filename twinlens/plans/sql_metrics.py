@@ -131,6 +131,61 @@ def diversity_sql(pair: str, cols: list[str]) -> dict[str, str]:
     return out
 
 
+def cluster_sql(pair: str, cols: list[str], label: str, k: int) -> dict[str, str]:
+    """Cluster metrics of columns standardised by the original, with a given label of every row."""
+    def fact(metric, entries):
+        return S.facts("diversity", metric, "t", entries)
+
+    scaled = ", ".join(f"(x.{c} - m_{c}) / sd_{c} AS {c}" for c in cols)
+    one = ", ".join(f"1::DOUBLE AS sd_{c}" for c in cols)
+    base = f"""WITH {pair}, {S.scales('o', cols)}, mean AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in cols)} FROM o),
+    co AS (SELECT id, {label} AS label, {scaled} FROM o x, sd, mean), ca AS (SELECT id, {label} AS label, {scaled} FROM a x, sd, mean),
+    unit AS (SELECT {one})"""
+
+    def silhouette(t: str) -> str:
+        return f"""{t}d AS (SELECT l.id, l.label AS own, r.label AS other, sum({S.distance('l', 'r', cols, 'unit')}) AS s, count(*) AS n
+         FROM {t} l, {t} r, unit GROUP BY ALL),
+        {t}s AS (SELECT id, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM {t}d GROUP BY id),
+        {t}v AS (SELECT avg(coalesce((b - a) / greatest(a, b), 0)) AS v FROM {t}s)"""
+
+    def davies(t: str) -> str:
+        centre = ", ".join(f"avg({c}) AS {c}" for c in cols)
+        return f"""{t}k AS (SELECT label, {centre} FROM {t} GROUP BY label),
+        {t}q AS (SELECT l.label, avg({S.distance('l', 'r', cols, 'unit')}) AS s FROM {t} l JOIN {t}k r USING (label), unit GROUP BY l.label),
+        {t}v AS (SELECT avg(w) AS v FROM (SELECT l.label, max((p.s + q.s) / {S.distance('l', 'r', cols, 'unit')}) AS w FROM {t}k l JOIN {t}k r ON l.label <> r.label
+         JOIN {t}q p ON p.label = l.label JOIN {t}q q ON q.label = r.label, unit GROUP BY l.label))"""
+
+    def compact(t: str) -> str:
+        entries = " UNION ALL ".join(f"SELECT label, {c} AS v FROM {t}" for c in cols)
+        return f"{t}v AS (SELECT avg(v) AS v FROM (SELECT var_pop(v) AS v FROM ({entries}) GROUP BY label HAVING count(*) > {len(cols)}))"
+
+    def compared(metric: str, ctes, names: tuple[str, str], similarity: str, difference: bool, bands: list) -> str:
+        return f"""{base}, {ctes('co')}, {ctes('ca')}, t AS (SELECT cov.v AS o, cav.v AS a FROM cov, cav)
+        {fact(metric, [(names[0], 'o', 6), (names[1], 'a', 6), ('similarity', similarity, 6),
+         *([('difference', 'abs(o - a)', 6)] if difference else []), ('n_clusters', str(k), 6), ('quality', S.grade('a', bands, 'low'), 'word')])}"""
+
+    scores, icc = ("original_score", "augmented_score"), ("original_icc", "augmented_icc")
+    return {
+        "d3": f"""{base}, n AS (SELECT label, sum(x) / (SELECT count(*) FROM co) AS p, sum(y) / (SELECT count(*) FROM ca) AS q FROM
+         (SELECT label, 1::DOUBLE AS x, 0::DOUBLE AS y FROM co UNION ALL SELECT label, 0, 1 FROM ca) GROUP BY label),
+        e AS (SELECT *, (q + 1e-10) / (1 + {k} * 1e-10) AS u, (p + q) / 2 AS h FROM n),
+        t AS (SELECT 1 - sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(p / h) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / h) ELSE 0 END) / 2)) AS s,
+         -sum(u * ln(u)) / ln({k}.0::DOUBLE) AS u FROM e)
+        {fact('cluster_spread', [('cluster_distribution_similarity', 's', 6), ('augmented_uniformity', 'u', 6), ('n_clusters', str(k), 6)])}""",
+        "d6": compared("silhouette_score", silhouette, scores, "1 - abs(o - a)", False, [("high", ">", 0.5), ("medium", ">", 0.25)]),
+        "d7": compared("davies_bouldin_index", davies, scores, "1 / (1 + abs(o - a))", True, [("high", "<", 1.0), ("medium", "<", 2.0)]),
+        "d8": compared("intra_class_compactness", compact, icc, "1 / (1 + abs(o - a))", True, [("high", "<", 0.5), ("medium", "<", 1.0)]),
+    }
+
+
+def membership_sql(pair: str, guess: str) -> str:
+    """Membership facts of an attack that takes a row for an original where ``guess`` holds."""
+    return f"""WITH {pair}, t AS (SELECT ((SELECT avg(CASE WHEN {guess} THEN 1.0::DOUBLE ELSE 0 END) FROM o)
+     + (SELECT avg(CASE WHEN {guess} THEN 0.0::DOUBLE ELSE 1 END) FROM a)) / 2 AS acc)
+    {S.facts('privacy', 'membership_inference', 't', [('classifier_accuracy', 'acc', 6), ('privacy_score', 'greatest(0, 1 - (acc - 0.5) * 2)', 6),
+     ('distinguishability', 'acc', 6), ('privacy_level', S.grade('1 - (acc - 0.5) * 2', [('high', '>', 0.7), ('medium', '>', 0.4)], 'low'), 'word')])}"""
+
+
 def nearest_sql(pair: str, cols: list[str]) -> str:
     return f"""WITH {pair}, {S.scales('o', cols)}, n AS (SELECT a.id AS qid, o.id AS bid, {S.distance('a', 'o', cols, 'sd')} AS d
  FROM a, o, sd), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, bid) AS rank FROM n QUALIFY rank <= 2)"""
