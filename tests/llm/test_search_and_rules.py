@@ -102,6 +102,21 @@ def test_inverted_index_finds_what_brute_force_finds(spark):
             assert r.learned.confidence == max(k[2] for k in fits)
 
 
+def test_tokens_that_stand_together_are_one_item(spark):
+    bound = [f"b{k:02}" for k in range(18)]  # 2^18 rules, were each combination one
+    rows = [(sorted([*bound, f"x{k % 3}"]), "block") for k in range(30)] + [([f"x{k % 3}", "y"], "allow") for k in range(30)] + [(["z"], "block")]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string")
+    rules = url_rules.mine_rules(labelled, support=0.05, confidence=0.8)
+    kept = {(tuple(r.tokens), r.label): r for r in rules.collect()}
+    assert set(kept) == {(("b00",), "block"), (("y",), "allow")}
+    assert kept[("b00",), "block"].members == [bound] and kept[("b00",), "block"].confidence == 1.0
+    urls = spark.createDataFrame([(["b07"],), (["b07"],), (["b03", "b11", "q"],), (["x0"],), (["y", "z"],), ([],)], "tokens array<string>")
+    want = sorted([(["b07"], "block", ["b07"])] * 2 + [(["b03", "b11", "q"], "block", ["b11"]), (["x0"], None, None), (["y", "z"], "allow", ["y"]), ([], None, None)], key=str)
+    for most in (16_000_000, 0):
+        got = [(r.tokens, r.learned and r.learned.label, r.learned and r.learned.rule_tokens) for r in url_rules.match(urls, rules, most_broadcast=most).collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_top_k_keeps_vectors_with_large_components(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(0, 3, (40, 3)) * np.where(np.arange(40) % 3 == 0, 1e6, 1)[:, None]

@@ -1,8 +1,9 @@
 """URL filter: given host and path rules, and association rules that Spark's FP-growth mines from labelled urls.
 
 An url becomes a set of tokens (parts of its host, path segments with digits masked, query keys). Itemsets of tokens and a
-label give rules ``tokens => label``; those of enough support and confidence match through an inverted index: a rule is
-filed under its rarest token, an url looks up its own tokens and keeps the rules whose tokens it all has.
+label give rules ``tokens => label``; tokens that always stand together count as one, so that their combinations make no
+rules of their own. Rules of enough support and confidence match through an inverted index: a rule is filed under its rarest
+token, an url looks up its own tokens and keeps the rules whose tokens it all has.
 
 Results for odd input: null urls and urls without ``://`` have empty host and path and no tokens, so they get the default
 verdict; repeated rows give repeated results; other columns are ignored. Nothing runs in Python.
@@ -55,39 +56,61 @@ def base_rule(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> Col
     return out
 
 
-def mine_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.8, most_rules: int = 20_000) -> DataFrame:
-    """Rules (tokens, label, confidence, support, rarest) from rows (tokens, label), none of them null.
+def always_together(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Tokens in ``least`` rows or more, those that stand in the same rows as one item: (item, members, freq), the item being the
+    first of its members; and (tokens, items): the items of every token set. Rows are told apart by 128 bits of hash."""
+    sets = materialize(labelled.groupBy("tokens").agg(F.count("*").alias("rows")))
+    each = sets.select("rows", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit("together"), "tokens").alias("b"), F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.sum("rows").alias("freq"), F.count("*").alias("sets"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    classes = materialize(held.where(F.col("freq") >= least).groupBy("freq", "sets", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("members"))
+                          .select(F.col("members")[0].alias("item"), "members", "freq"))
+    items = (sets.select("tokens", F.explode("tokens").alias("item")).join(classes.select("item"), "item")
+             .groupBy("tokens").agg(F.collect_list("item").alias("items")))
+    return classes, materialize(items)
 
-    Support bounds the number of frequent tokens and so of rules, whatever the number of urls; more than ``most_rules``
-    is an error that asks for more support. A rule is dropped when a part of its tokens says the same as surely.
+
+def mine_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.8) -> DataFrame:
+    """Rules (tokens, members, label, confidence, support, rarest) from rows (tokens, label), none of them null.
+
+    Tokens that stand in the same labelled rows are one item, told by its first token; an url has the item if it has any of its
+    tokens, which is what a rule for each of them would say. ``members`` are the tokens of every item of a rule, ``rarest``
+    those of its rarest item. A rule is dropped when a part of its items says the same as surely.
     """
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    classes, items = always_together(labelled, support * labelled.count())
+    label = F.concat(F.lit(_LABEL), "label")
+    rows = labelled.join(items, "tokens", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(label)).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     mined = materialize(
         model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
         .select(F.array_sort("antecedent").alias("tokens"), F.regexp_replace(F.col("consequent")[0], f"^{_LABEL}", "").alias("label"), "confidence", "support"))
-    counted = mined.count()
-    if counted > most_rules:
-        raise ValueError(f"{counted} rules; raise support above {support}")
     each = mined.select("tokens", "label", "confidence", F.explode("tokens").alias("token"))
     shorter = mined.select(F.col("tokens").alias("part"), F.col("label").alias("part_label"), F.col("confidence").alias("part_confidence"),
                            F.col("tokens")[0].alias("token"))
     implied = (each.join(shorter, "token").where((F.col("label") == F.col("part_label")) & (F.col("part_confidence") >= F.col("confidence"))
                                                  & (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
                .select("tokens", "label").distinct())
-    counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = (mined.select("tokens", "label", F.explode("tokens").alias("token")).join(counts, "token")
-              .groupBy("tokens", "label").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest")))
-    return materialize(mined.join(implied, ["tokens", "label"], "left_anti").join(rarest, ["tokens", "label"]))
-
-
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (tokens) with their best rule: learned (label, confidence, rule tokens) or null. ``rules`` is bounded."""
-    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("rule_tokens"), "label", "confidence", "support")
-    seen = urls.select("tokens").distinct()
-    best = (seen.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
-            .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-            .groupBy("tokens").agg(F.max(F.struct("confidence", F.size("rule_tokens").alias("size"), "support", "label", "rule_tokens")).alias("learned")))
+    filed = (mined.select("tokens", "label", F.explode("tokens").alias("item")).join(classes, "item").groupBy("tokens", "label")
+             .agg(F.min_by("members", F.struct("freq", "item")).alias("rarest"), F.array_sort(F.collect_list("members")).alias("members")))
+    return materialize(mined.join(implied, ["tokens", "label"], "left_anti").join(filed, ["tokens", "label"]))
+
+
+def match(urls: DataFrame, rules: DataFrame, most_broadcast: int = 16_000_000, salts: int = 16) -> DataFrame:
+    """Rows (tokens) with their best rule: learned (label, confidence, rule tokens, as they stand in the url) or null.
+
+    An index of at most ``most_broadcast`` bytes travels to the tasks; a larger one is joined by a shuffle on token and salt,
+    so that an url token of very many urls is dealt to several tasks.
+    """
+    index = rules.select(F.explode("rarest").alias("token"), "members", "label", "confidence", "support")
+    size = index.agg(F.sum(F.octet_length(F.concat_ws(" ", F.flatten("members"))) + 64)).first()[0] or 0
+    pairs = urls.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    if size <= most_broadcast:
+        met = pairs.join(F.broadcast(index), "token")
+    else:
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = pairs.withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(salts)).cast("int")).join(salted, ["token", "salt"])
+    own = F.array_sort(F.transform("members", lambda m: F.array_max(F.array_intersect(m, F.col("tokens")))))
+    best = (met.where(F.forall("members", lambda m: F.arrays_overlap(m, F.col("tokens"))))
+            .groupBy("tokens").agg(F.max(F.struct("confidence", F.size("members").alias("size"), "support", "label", own.alias("rule_tokens"))).alias("learned")))
     # written, so that the join has a shuffle on both sides and a set of tokens of very many urls can be split
     return urls.join(materialize(best), "tokens", "left")
 
