@@ -85,6 +85,25 @@ def test_language(spark, odd):
     assert one == {"und", "en"}
 
 
+def test_every_language_has_landmarks_and_the_model_travels_as_codes():
+    import pickle
+    import random
+
+    rng = random.Random(6)
+    names = [f"l{k:03}" for k in range(150)]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for c in names}
+    rows = [(" ".join(rng.choice(words[c]) for _ in range(20)), c) for c in names for _ in range(8)]
+    model = language.KernelClassifier(*map(list, zip(*rows)))
+    assert model.marks.shape[1] == 300
+    fresh = [(" ".join(rng.choice(words[c]) for _ in range(20)), c) for c in names]
+    column = pa.array([t for t, _ in fresh], pa.large_string())
+    sent = pickle.dumps(model)
+    assert len(sent) < 20_000_000
+    scores = [np.concatenate(textarrays.per_span(m.scores, column)) for m in (model, pickle.loads(sent))]
+    assert np.array_equal(*scores)
+    assert np.mean([model.labels[k] == c for k, (_, c) in zip(scores[0].argmax(axis=1), fresh)]) > 0.97
+
+
 def test_kernel_equals_sets_of_grams():
     texts = ["Mora, teli!", "teli sano", "", "x"]
     model = language.KernelClassifier(["mora teli", "zukt brenk", "teli mora"], ["a", "b", "a"], landmarks=3)

@@ -46,12 +46,13 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 class KernelClassifier:
-    def __init__(self, texts: list[str], labels: list[str], landmarks: int = 128, ridge: float = 1e-2, seed: int = 7) -> None:
+    def __init__(self, texts: list[str], labels: list[str], landmarks: int = 128, ridge: float = 1e-2, seed: int = 7,
+                 least_per_label: int = 2) -> None:
         self.labels = sorted(set(labels))
         rng = np.random.default_rng(seed)
         by_label = [rng.permutation(np.flatnonzero(np.array(labels) == c)) for c in self.labels]
         ranked = [i for turn in range(max(map(len, by_label), default=0)) for c in by_label for i in c[turn : turn + 1]]
-        chosen = ranked[:landmarks]
+        chosen = ranked[: max(landmarks, least_per_label * len(self.labels))]
         self.table = None
         if len(self.labels) < 2:
             return
@@ -60,9 +61,7 @@ class KernelClassifier:
         pairs = [np.unique(np.stack([d, c], axis=1), axis=0) for d, c in _grams(data, bounds)]
         doc, code = np.concatenate(pairs).T
         codes = np.unique(code)
-        self.width = len(codes)
-        self.table = np.full((1 << 8) + (1 << 16) + (1 << 24), self.width, np.int32)
-        self.table[codes] = np.arange(self.width)
+        self.width, self.table = len(codes), self._places(codes)
         marks = np.zeros((self.width, len(chosen)), np.float32)
         marks[self.table[code], doc] = 1
         self.marks = marks / np.sqrt(np.maximum(marks.sum(axis=0), 1))
@@ -78,6 +77,23 @@ class KernelClassifier:
         solved = np.linalg.solve(xw.T @ x + ridge * len(texts) * np.eye(x.shape[1]), xw.T @ y)
         self.weights, self.bias = (nystrom @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
 
+    @staticmethod
+    def _places(codes: np.ndarray) -> np.ndarray:
+        """Column of every code; codes of no landmark have the one past the last."""
+        table = np.full((1 << 8) + (1 << 16) + (1 << 24), len(codes), np.int32)
+        table[codes] = np.arange(len(codes))
+        return table
+
+    def __getstate__(self) -> dict:
+        """The table travels as its sorted codes."""
+        codes = None if self.table is None else np.flatnonzero(self.table < self.width).astype(np.int32)
+        return {**self.__dict__, "table": codes}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        if self.table is not None:
+            self.table = self._places(self.table)
+
     def kernel(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Normalised kernel of every text with every landmark."""
         out = []
@@ -98,7 +114,8 @@ class KernelClassifier:
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_label: int = 250,
         landmarks: int = 128) -> KernelClassifier:
-    """Learn from about ``per_label`` texts of each language whose id is not held out (bounded by that parameter)."""
+    """Learn from about ``per_label`` texts of each language whose id is not held out (bounded by that parameter). There are
+    ``landmarks`` landmark texts, and two of each language at least, however many languages there are."""
     sample = labelled_texts(docs.where(remainder(id_col) != 1), None, lang_col, per_label, id_col, text_col)
     return KernelClassifier(sample["text"].tolist(), sample["_label"].tolist(), landmarks)
 
