@@ -79,6 +79,21 @@ def test_scenarios_leave_the_holdout_alone(spark):
     f = {(r.metric, r.feature, r.field): r.value for r in got.collect()}
     assert f[("combined", "lda", "accuracy")] > 0.9 and f[("combined", "lda", "cv_n_folds")] == 3
     assert 0 <= f[("utility", None, "overall_utility_score")] <= 1
+    cells = {k[2]: v for k, v in f.items() if k[:2] == ("combined", "lda") and k[2].startswith("confusion_")}
+    right = sum(v for k, v in cells.items() if len(set(k.split("_")[1:])) == 1)
+    assert sum(cells.values()) == len(held) and right / len(held) == pytest.approx(f[("combined", "lda", "accuracy")])
+
+
+def test_failing_models_leave_their_reason(spark):
+    df = spark.createDataFrame(blobs())
+    p = U.prepare_scenarios(df, df, "kind", "k")
+    got = U.evaluate(p, [{"type": "no_such_model"}, {"type": "dummy"}])
+    failed = got.where("field = 'failed'").collect()
+    assert {(r.model, r.scenario) for r in failed} == {("no_such_model", s) for s in U.SCENARIOS}
+    assert all("no_such_model" in r.label for r in failed)
+    assert got.where("model = 'dummy' AND field = 'accuracy'").count() == 3
+    facts = U.utility_facts(got).where("field = 'failed'").collect()
+    assert all("no_such_model" in r.label for r in facts) and len(facts) == 3
 
 
 def rings(n: int, classes: int, seed: int = 0) -> pd.DataFrame:

@@ -193,7 +193,6 @@ def prepare_scenarios(orig: DataFrame, aug: DataFrame, target: str | None = None
                     len(codes), info)
 
 
-
 def fold_rows(name: str, scenario: str, cv: DataFrame, k: int, cv_metric: str) -> list[tuple]:
     """Figures of every fold, their means and deviations; k rows come back."""
     figures, out = ("accuracy", "precision", "recall", "f1"), [(name, scenario, "cv_n_folds", float(k))]
@@ -211,11 +210,26 @@ def fold_rows(name: str, scenario: str, cv: DataFrame, k: int, cv_metric: str) -
     return out
 
 
+def reason(problem: Exception) -> str:
+    """Kind and first line of an error's message."""
+    lines = str(problem).strip().splitlines()
+    return f"{type(problem).__name__}: {lines[0]}" if lines else type(problem).__name__
+
+
+def matrix_cells(predictions: DataFrame) -> DataFrame:
+    """(field, value): ``confusion_<label>_<prediction>`` and how many rows it counts, for cells that are not zero."""
+    code = lambda c: F.col(c).cast("int").cast("string")
+    return confusion(predictions).select(F.concat_ws("_", F.lit("confusion"), code("label"), code("prediction")).alias("field"),
+                                         F.col("n").cast("double").alias("value"))
+
+
 def evaluate(p: Prepared, configs: list[dict], use_cv: bool = False, cv_folds: int = 5, cv_metric: str = "accuracy") -> DataFrame:
-    """(model, scenario, field, value): test figures, sizes, fit seconds, fold figures with mean and deviation.
+    """(model, scenario, field, value, label): test figures, sizes, fit seconds, fold figures with mean and deviation.
 
-    A model that fails in a scenario leaves one row there, field ``failed``; a failing cross-validation leaves
-    ``cv_failed`` beside the test figures. The folds of ``cv_metric`` are repeated as ``cv_score_<fold>``.
+    A model that fails in a scenario leaves one row there, field ``failed``, with the reason as label; a failing
+    cross-validation leaves ``cv_failed`` beside the test figures. The folds of ``cv_metric`` are repeated as
+    ``cv_score_<fold>``. Cells of the confusion matrix that are not zero are ``confusion_<label>_<prediction>``; they
+    stay a table, since their number grows with the classes.
 
     ``configs`` holds {type, params, cv}. Models and scenarios are submitted from a small
     pool; the scheduler overlaps their jobs.
@@ -225,18 +239,21 @@ def evaluate(p: Prepared, configs: list[dict], use_cv: bool = False, cv_folds: i
     sizes = {s: p.trains[s].count() for s in SCENARIOS}
     n_test = p.test.count()
 
+    cells: list[DataFrame] = []
+
     def guarded(job: tuple[dict, str]) -> list[tuple]:
         try:
             return one(job)
-        except Exception:  # noqa: BLE001 - one failing model must not stop the others
-            return [(job[0]["type"], job[1], "failed", 1.0)]
+        except Exception as problem:  # noqa: BLE001 - one failing model must not stop the others
+            return [(job[0]["type"], job[1], "failed", 1.0, reason(problem))]
 
     def one(job: tuple[dict, str]) -> list[tuple]:
         config, scenario = job
         name, params = config["type"], config.get("params") or {}
         start = time.time()
         test = p.test.withColumn("row_id", F.concat(F.lit("o"), F.col("row_id"))) if scenario == "combined" else p.test
-        figures = classification_metrics(fit_predict(name, params, p.trains[scenario], test, p.features, p.classes)).first()
+        predicted = fit_predict(name, params, p.trains[scenario], test, p.features, p.classes)
+        figures = classification_metrics(predicted).first()
         rows = [(name, scenario, "accuracy", figures["accuracy"]), (name, scenario, "precision", figures["precision"]),
                 (name, scenario, "recall", figures["recall"]), (name, scenario, "f1_weighted", figures["f1"]),
                 (name, scenario, "training_time_seconds", time.time() - start),
@@ -245,13 +262,17 @@ def evaluate(p: Prepared, configs: list[dict], use_cv: bool = False, cv_folds: i
         if use_cv and k >= 2 and sizes[scenario] >= k:
             try:
                 rows += fold_rows(name, scenario, cross_validate(name, params, p.trains[scenario], p.features, p.classes, k), k, cv_metric)
-            except Exception:  # noqa: BLE001 - the test figures stand without it
-                rows.append((name, scenario, "cv_failed", 1.0))
+            except Exception as problem:  # noqa: BLE001 - the test figures stand without it
+                rows.append((name, scenario, "cv_failed", 1.0, reason(problem)))
+        cells.append(matrix_cells(predicted).select(F.lit(name).alias("model"), F.lit(scenario).alias("scenario"), "field", "value"))
         return rows
 
     with ThreadPoolExecutor(3) as pool:
-        done = [row for rows in pool.map(guarded, jobs) for row in rows]
-    return spark.createDataFrame(done, "model string, scenario string, field string, value double")
+        done = [(*row, None)[:5] for rows in pool.map(guarded, jobs) for row in rows]
+    out = spark.createDataFrame(done, "model string, scenario string, field string, value double, label string")
+    for part in cells:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def model_table(results: DataFrame) -> DataFrame:
@@ -291,7 +312,7 @@ def utility_facts(results: DataFrame, variant: str = "main") -> DataFrame:
     """Metric facts of dimension ``utility``: per model under ``feature``, and overall."""
     none = F.lit(None).cast("string")
     per = results.select(F.lit("utility").alias("dimension"), F.col("scenario").alias("metric"), F.col("model").alias("feature"),
-                         "field", "value", none.alias("label"))
+                         "field", "value", F.col("label") if "label" in results.columns else none.alias("label"))
     o = overall_row(model_table(results))
     names = ["average_improvement_accuracy", "average_improvement_f1", "overall_utility_score", "best_accuracy", "best_f1"]
     cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value"), none.alias("label")) for n in names],
