@@ -11,6 +11,7 @@ from twinlens import Pair
 from twinlens.functions.gaussian import normal_cdf_sql, normal_ppf_sql
 from twinlens.functions.pvalue import exact_pvalue
 from twinlens.operators import clusters as C
+from twinlens.operators import distance_sums as D
 from twinlens.operators import neighbors as N
 from twinlens.operators import ranking as R
 from twinlens.operators.classes import within_class_bins
@@ -294,6 +295,47 @@ def test_silhouette_sums_few_pairs_of_separate_clusters(spark):
     assert summed < 0.5 * 1200**2
 
 
+@pytest.mark.parametrize("cols", [["a"], ["a", "b"]])
+def test_silhouette_by_node_weights(spark, monkeypatch, cols):
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"row_id": range(4000), "a": np.round(rng.standard_cauchy(4000), 2), "b": rng.integers(0, 9, 4000) * 1.0})
+    pdf.loc[:600, ["a", "b"]] = [0.5, 3.0]
+    pdf["label"] = rng.integers(0, 4, 4000)
+    pdf.loc[7, "label"] = 9  # alone
+    df = spark.createDataFrame(pdf)
+    want = C.silhouette(df, cols).orderBy("row_id").toPandas()
+    monkeypatch.setattr(C, "EXPAND_ROWS", 100)
+    monkeypatch.setattr(D, "LEAF_POINTS", 40)
+    got = C.silhouette(df, cols).orderBy("row_id").toPandas()
+    assert list(got.row_id) == list(want.row_id) and list(got.label) == list(want.label)
+    assert np.allclose(got.s, want.s, atol=1e-9) and got.s[7] == 0.0
+    assert C.mean_silhouette(df, cols).first()[0] == pytest.approx(want.s.mean(), abs=1e-9)
+    assert {r.s for r in C.silhouette(df.withColumn("label", F.lit(1)), cols).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("kind", ["uniform", "heavy tails"])
+def test_distance_sums_meet_few_points_one_by_one(kind):
+    rng = np.random.default_rng(6)
+    met = []
+    for n in (4000, 16000):
+        x = rng.random((n, 2)) if kind == "uniform" else rng.standard_cauchy((n, 2))
+        weight = np.eye(3)[rng.integers(0, 3, n)]
+        tree = D.Tree(x[::4], n // 50)
+        at = tree.located(x)
+        rows = {leaf: np.flatnonzero(at == leaf) for leaf in np.unique(at)}
+        box = [(x[r].min(axis=0), x[r].max(axis=0)) for r in rows.values()]
+        tree.describe(np.array(list(rows)), *np.array(box).transpose(1, 0, 2), np.stack([D.basis(x[r], *b).T @ weight[r] for r, b in zip(rows.values(), box)]))
+        met.append(0)
+        for leaf, r in rows.items():
+            far, half, near = tree.meets(leaf)
+            close = np.concatenate([rows[i] for i in near])
+            met[-1] += len(r) * len(close)
+            if leaf % 20 == 0:
+                got = tree.away(leaf, x[r], far, half) + D.summed(x[r], x[close], weight[close])
+                assert np.allclose(got, D.summed(x[r], x, weight), rtol=1e-9)
+    assert met[1] < 6 * met[0] and met[1] < 0.2 * 16000**2  # four times the points; all pairs would be 16 times as many
+
+
 def test_silhouette_block_salts_and_one_cluster(spark, monkeypatch):
     monkeypatch.setattr(C, "GROUP_ROWS", 30)
     pdf = cloud(300, 50, 4)
