@@ -336,6 +336,27 @@ def test_distance_sums_meet_few_points_one_by_one(kind):
     assert met[1] < 6 * met[0] and met[1] < 0.2 * 16000**2  # four times the points; all pairs would be 16 times as many
 
 
+def test_many_columns_take_matrix_products(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(700, 12)) + 1000, np.full((40, 12), 1000.5)])
+    x[600:640] = x[:40] + 1e-9  # very close, and equal rows
+    x[640:660] = x[:20]
+    cols = [f"x{i}" for i in range(12)]
+    pdf = pd.DataFrame(x, columns=cols).assign(row_id=range(740), label=rng.integers(0, 3, 740))
+    df = spark.createDataFrame(pdf)
+    d = np.sqrt(N.squared_distances(x, x, (1.0,) * 12))
+    assert np.allclose(C._sums(x, x), d.sum(axis=1), rtol=1e-9)
+    monkeypatch.setattr(N, "MANY_VISITS", 2)
+    plans, plan = [], N._plan_leaves
+    monkeypatch.setattr(N, "_plan_leaves", lambda *a: plans.append(a[3]) or plan(*a))
+    got = N.nearest(df, df, cols, [1.0] * 12, 3, skip_self=True, broadcast_rows=0, leaf_rows=30).orderBy("qid", "rank").toPandas()
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert np.array_equal(got.bid.to_numpy().reshape(-1, 3), order)
+    assert np.allclose(got.dist.to_numpy().reshape(-1, 3), np.take_along_axis(d, order, 1), rtol=1e-12, atol=0)
+    assert len(plans) == 2 and plans[1] > 30  # most leaves are visited, so they were made larger
+
+
 def test_silhouette_block_salts_and_one_cluster(spark, monkeypatch):
     monkeypatch.setattr(C, "GROUP_ROWS", 30)
     pdf = cloud(300, 50, 4)
