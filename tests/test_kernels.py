@@ -313,6 +313,17 @@ def test_silhouette_by_node_weights(spark, monkeypatch, cols):
     assert {r.s for r in C.silhouette(df.withColumn("label", F.lit(1)), cols).collect()} == {0.0}
 
 
+def test_mean_silhouette_counts_repeated_ids_once(spark, monkeypatch):
+    pdf = cloud(500, 20, 3)
+    pdf["label"] = pdf.row_id % 3
+    df = spark.createDataFrame(pd.concat([pdf, pdf[100:250]]))
+    want = C.silhouette(df, ["a", "b"]).orderBy("row_id").toPandas()
+    monkeypatch.setattr(C, "EXPAND_ROWS", 100)
+    got = C.silhouette(df, ["a", "b"]).orderBy("row_id").toPandas()
+    assert len(got) == 500 and np.allclose(got.s, want.s)
+    assert C.mean_silhouette(df, ["a", "b"]).first()[0] == pytest.approx(want.s.mean())
+
+
 @pytest.mark.parametrize("kind", ["uniform", "heavy tails"])
 def test_distance_sums_meet_few_points_one_by_one(kind):
     rng = np.random.default_rng(6)
