@@ -391,3 +391,30 @@ def test_davies_bouldin_has_no_bound_on_clusters(spark, n_clusters, block):
     np.fill_diagonal(gap, np.inf)
     want = ((s[:, None] + s[None]) / gap).max(axis=1).mean()
     assert C.davies_bouldin(spark.createDataFrame(pdf), ["a", "b"], pair_rows=block).first()[0] == pytest.approx(want)
+
+
+def test_long_passes_use_all_cores(spark, tmp_path):
+    from twinlens.session import SPREAD_ROWS, spread
+
+    n = SPREAD_ROWS
+    spark.range(n).coalesce(1).write.parquet(str(tmp_path / "one"))
+    few = spark.read.parquet(str(tmp_path / "one"))
+    dealt = spread(few, n)
+    assert few.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(n))
+    assert spread(few, n - 1) is few
+
+
+def test_metrics_are_built_side_by_side(spark):
+    from threading import Barrier
+
+    from twinlens.session import materialize_all
+
+    met = Barrier(2)
+
+    def made(x):
+        met.wait(60)  # breaks where one is built after the other
+        return spark.range(1).select(F.lit(x).alias("x"))
+
+    got = materialize_all([lambda: made("a"), lambda: made("b"), spark.range(1).select(F.lit("c").alias("x"))])
+    assert sorted(r.x for r in got.collect()) == ["a", "b", "c"]
