@@ -253,3 +253,19 @@ def test_sample_of_repeated_ids_keeps_labels_and_bounds(spark):
     assert 0 < few.groupby("_label")["text"].apply(lambda t: t.str.len().sum()).max() < 1600
     long_ = docs.limit(20).withColumn("text", F.repeat(F.lit("x"), 2000))
     assert len(sampling.labelled_texts(long_, None, "lang", 10, longest=1000)) == 0
+
+
+def test_the_network_is_fitted_in_a_task(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, sentence(rng, 30) + (" foul nasty" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    want = [r.score for r in toxicity.toxicity(docs, docs.select("doc_id", "toxic")).orderBy("doc_id").collect()]
+    driver = sampling.labelled_texts(docs.where(sampling.remainder("doc_id") != 1), docs.select("doc_id", "toxic"), "toxic", {1: 700, 0: 2000})
+    net = toxicity.train(driver["text"].tolist(), driver["_label"].to_numpy())
+    alone = np.concatenate(textarrays.per_span(net.score, pa.array([t for _, t, _ in rows], pa.large_string())))
+    assert np.allclose(want, alone, atol=1e-3)
+    monkeypatch.setattr(np, "bincount", None)  # training on the driver would need it
+    assert toxicity.fit(docs, docs.select("doc_id", "toxic")) is not None
+    assert toxicity.fit(docs.limit(0), docs.select("doc_id", "toxic")) is None
