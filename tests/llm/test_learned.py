@@ -269,3 +269,24 @@ def test_the_network_is_fitted_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(np, "bincount", None)  # training on the driver would need it
     assert toxicity.fit(docs, docs.select("doc_id", "toxic")) is not None
     assert toxicity.fit(docs.limit(0), docs.select("doc_id", "toxic")) is None
+
+
+def test_scored_text_travels_once(spark):
+    docs = spark.createDataFrame([(1, "a b c", "xx"), (2, None, None)], "doc_id long, text string, lang string")
+    for scored in (toxicity.score(docs, None, carried=docs.columns), language.predict(docs, language.fit(docs), carried=docs.columns)):
+        sent = scored._jdf.queryExecution().analyzed().children().head().output()
+        assert sorted(sent.apply(k).name() for k in range(sent.size())) == sorted(docs.columns)
+        assert sorted((r.doc_id, r.text, r.lang) for r in scored.collect()) == [(1, "a b c", "xx"), (2, None, None)]
+
+
+def test_first_states_depend_on_the_word_alone():
+    texts = ["one two three", "three"]
+    data, bounds = textarrays.utf8(pa.array(texts, pa.large_string()))
+    words = toxicity.Words(data, bounds)
+    net = toxicity.Network(words.hash, 5)
+    projected = net.project(net.inputs(words))
+    both = np.concatenate([projected["f"], projected["b"]], axis=1) * np.tile(net._scaled(), 2)
+    index = np.full((len(words.hash), toxicity.WINDOW), -1)
+    index[:, 0] = np.arange(len(words.hash))
+    one = [net._run(projected[s][index], index >= 0, s, None)[:, 0] for s in "fb"]
+    assert np.allclose(net._first_states(both), np.concatenate(one, axis=1), atol=1e-6)
