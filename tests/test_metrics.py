@@ -151,3 +151,17 @@ def test_no_common_numeric_column_gives_error_facts(spark):
 def test_ratings_at_bounds(spark):
     df = spark.createDataFrame([(v,) for v in (0.8, 0.6, 0.4, 0.2, 0.19)], "s double")
     assert [r[0] for r in df.select(score.rating(F.col("s"))).collect()] == ["Excellent", "Good", "Fair", "Adequate", "Poor"]
+
+
+def test_shared_steps_give_the_same_facts(spark):
+    from twinlens.operators import fidelity, privacy
+    from twinlens.pair import Pair
+
+    rows = [(k, float(k * 7 % 23), float(k * k % 31)) for k in range(60)] + [(60, None, 1.0)]
+    more = [(k, float(k * 5 % 19), float(k * k % 37)) for k in range(45)] + [(45, 2.0, None)]
+    pair = Pair(spark.createDataFrame(rows, "k long, a double, b double"), spark.createDataFrame(more, "k long, a double, b double"), key="k")
+    gaps, bins, near = fidelity.pair_gaps(pair), fidelity.divergences(pair), privacy.pair_neighbors(pair)
+    facts = lambda df: sorted(map(str, df.collect()))
+    for metric, shared in ((fidelity.ks_test, {"gaps": gaps}), (fidelity.statistical_moments, {"gaps": gaps}), (fidelity.kl_divergence, {"found": bins}),
+                           (fidelity.js_divergence, {"found": bins}), (fidelity.q_function, {"neighbors": near})):
+        assert facts(metric(pair)) == facts(metric(pair, **shared))
