@@ -290,3 +290,31 @@ def test_first_states_depend_on_the_word_alone():
     index[:, 0] = np.arange(len(words.hash))
     one = [net._run(projected[s][index], index >= 0, s, None)[:, 0] for s in "fb"]
     assert np.allclose(net._first_states(both), np.concatenate(one, axis=1), atol=1e-6)
+
+
+def test_passes_over_windows_share_their_arrays():
+    """A second pass, shorter or as long, gives what a pass of its own gives, and takes no new arrays."""
+    net, space = toxicity.Network(np.arange(1, 5, dtype=np.uint64)), toxicity._Space()
+    r = np.random.default_rng(4)
+    both = r.standard_normal((30, 48)).astype(np.float32)
+    both = np.concatenate([both, net._first_states(both)], axis=1)
+    passes = [np.ascontiguousarray(both[r.integers(0, 30, n)].T) for n in (400, 90, 400)]
+    got = [net._slide(passes[0], space)]
+    taken = {k: id(v) for k, v in space.held.items()}
+    got += [net._slide(x, space) for x in passes[1:]]
+    assert taken and taken == {k: id(v) for k, v in space.held.items()}
+    for x, y in zip(passes, got):
+        assert np.allclose(net._slide(x), y, atol=1e-6)
+    assert not any(isinstance(v, toxicity._Space) for v in vars(net).values())  # the network travels without them
+
+
+def test_largest_over_texts_that_end_inside_a_pass(monkeypatch):
+    net = toxicity.Network(np.arange(1, 5, dtype=np.uint64))
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "rho"], n)) for n in (40, 3, 150, 32, 0, 90)]
+    data, bounds = textarrays.utf8(pa.array(texts, pa.large_string()))
+    words = toxicity.Words(data, bounds)
+    whole = net.largest(words, len(texts))
+    monkeypatch.setattr(toxicity, "_SLIDE", 37)
+    assert np.allclose(net.largest(words, len(texts)), whole, atol=1e-5)
+    assert np.allclose([net.largest(toxicity.Words(*textarrays.utf8(pa.array([t], pa.large_string()))), 1)[0] if t else toxicity._EMPTY for t in texts], whole, atol=1e-5)
