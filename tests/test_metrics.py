@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,10 @@ def test_shared_steps_give_the_same_facts(spark):
     for metric, shared in ((fidelity.ks_test, {"gaps": gaps}), (fidelity.statistical_moments, {"gaps": gaps}), (fidelity.kl_divergence, {"found": bins}),
                            (fidelity.js_divergence, {"found": bins}), (fidelity.q_function, {"neighbors": near})):
         assert facts(metric(pair)) == facts(metric(pair, **shared))
+
+
+def test_cosines_of_turns_equal_those_of_angles():
+    turns = np.concatenate([np.linspace(-3, 3, 4001), [0.5, -0.5, 1.5, 123456.25, np.nan, np.inf]])
+    got = M.cosines(turns.reshape(-1, 1))[:, 0]
+    assert np.allclose(got[:-2], np.cos(2 * np.pi * turns[:-2]), rtol=0, atol=1e-10) and np.isnan(got[-2:]).all()
+    assert np.allclose(got[:4001], np.cos(2 * np.pi * turns[:4001]), rtol=0, atol=1e-14)
