@@ -28,6 +28,27 @@ def test_top_k_equals_brute_force(spark):
     assert bit_sliced.top_k(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [64, 128])
+def test_blocks_of_whole_words_are_indexed(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(1, n)] + [(0, [1.0] * 6), (50, [1.0, 2.0]), (51, [1.0, 2.0])]
+    rows = [r for r in rows if len(r[1]) == 2 or r[0] not in (50, 51)] + [(200, [0.5] * 6), (201, [0.25] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sum(len(v) == 6 for _, v in rows) == n  # one block, no bits to fill up
+    assert sorted(map(tuple, bit_sliced.top_k(frame).collect())) == brute_top(rows, 50, 5)
+
+
+def test_large_blocks_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(bit_sliced, "MANY_BLOCKS", 3)
+    monkeypatch.setattr(bit_sliced, "QUERY_BLOCKS", 2)
+    for values in (6 * 100, 10**6):
+        monkeypatch.setattr(bit_sliced, "LARGE_VALUES", values)
+        assert sorted(map(tuple, bit_sliced.top_k(frame, 10, 5, block_rows=20, block_queries=5).collect())) == brute_top(rows, 10, 5)
+
+
 def test_slices_add_up():
     rng = np.random.default_rng(1)
     values = rng.integers(-300, 300, (130, 9))
