@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from twinlens import Pair
 from twinlens.operators import diversity as D
 from twinlens.operators import fidelity as M
+from twinlens.operators import pairwise
 from twinlens.operators import privacy as V
 from twinlens.operators import profile as P
 from twinlens.plans import analyze as A
@@ -173,3 +174,59 @@ def test_cosines_of_turns_equal_those_of_angles():
     got = M.cosines(turns.reshape(-1, 1))[:, 0]
     assert np.allclose(got[:-2], np.cos(2 * np.pi * turns[:-2]), rtol=0, atol=1e-10) and np.isnan(got[-2:]).all()
     assert np.allclose(got[:4001], np.cos(2 * np.pi * turns[:4001]), rtol=0, atol=1e-14)
+
+
+def all_distances(x: np.ndarray) -> np.ndarray:
+    gap = x[:, None, :] - x[None, :, :]
+    return np.sqrt((gap * gap).sum(axis=2))[np.triu_indices(len(x), 1)]
+
+
+def test_intra_diversity_is_of_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(50, [1, 7], (300, 2))
+    x[0] = [80, 300]  # far from all others
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, x double, y double")
+    d = all_distances(x / x.std(axis=0))
+    f = facts(D.intra_diversity(Pair(df, df, key="k")))
+    for name, want in (("mean_pairwise_distance", d.mean()), ("std_pairwise_distance", d.std()), ("min_pairwise_distance", d.min()),
+                       ("max_pairwise_distance", d.max()), ("diversity_score", d.mean())):
+        assert f[("intra_diversity", None, name)] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 9])
+@pytest.mark.parametrize("twice", [False, True])
+def test_pair_distances_by_blocks_and_by_nodes(spark, dims, twice):
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(0, 1, (200, dims)), rng.uniform(5, 9, (150, dims))])
+    x = np.concatenate([x, x[:40]]) if twice else x
+    cols = ["w", "code", *(f"c{i}" for i in range(7))][:dims]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols))
+    d = all_distances(x)
+    want = (d.mean(), d.std(), d.min(), d.max())
+    for ways in ({}, {"block_rows": 64}, {"expand_rows": 10}):
+        got = pairwise.pair_distances(df, cols, **ways)
+        assert (got.mean, got.std, got.lo, got.hi) == pytest.approx(want, rel=1e-8, abs=1e-8)
+
+
+def test_pair_distances_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (4.0, 6.0), (4.0, 6.0)], "x double, y double")
+    zero = pairwise.Distances()
+    assert pairwise.pair_distances(df.limit(0), ["x", "y"]) == zero == pairwise.pair_distances(df.limit(1), ["x", "y"])
+    assert pairwise.pair_distances(df.where("x = 4"), ["x", "y"]) == zero
+    got = pairwise.pair_distances(df, ["x", "y"])
+    assert (got.mean, got.lo, got.hi) == pytest.approx((10 / 3, 0, 5)) and got.std == pytest.approx(np.std([5, 5, 0]))
+
+
+def test_corners_hold_the_largest_distance(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    turn = rng.uniform(0, 2 * np.pi, 500)
+    for x in (rng.normal(size=(2000, 2)), np.stack([np.cos(turn), np.sin(turn)], axis=1), rng.integers(0, 9, (500, 2)).astype(float),
+              np.stack([np.arange(100.0), 2 * np.arange(100.0)], axis=1), np.array([[1.0, 2.0]]), np.zeros((70, 2)) + [[3.0, 1.0]]):
+        ends = pairwise.corners(x)
+        assert len(ends) <= len(np.unique(x, axis=0))
+        assert max(all_distances(ends), default=0.0) == pytest.approx(all_distances(x).max(initial=0.0), rel=1e-12)
+    monkeypatch.setattr(pairwise, "CORNERS", 10)  # they meet in blocks then
+    ring = spark.createDataFrame([(float(np.cos(t)), float(np.sin(t)) * 2) for t in turn], "x double, y double")
+    got = pairwise.pair_distances(ring, ["x", "y"], expand_rows=10, block_rows=64)
+    d = all_distances(np.stack([np.cos(turn), 2 * np.sin(turn)], axis=1))
+    assert (got.mean, got.std, got.lo, got.hi) == pytest.approx((d.mean(), d.std(), d.min(), d.max()), rel=1e-8)
